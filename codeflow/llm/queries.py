@@ -10,7 +10,9 @@ from .common import table
 from .decontam import contaminated
 from .minhash import near_duplicates
 from .packing import pack
+from .quality import quality
 from .secrets import secrets
+from .sharding import shard
 from .toxicity import toxicity
 
 
@@ -18,6 +20,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,7 +45,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_decontamination, op6_secrets, op7_packing, op8_minhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op4_quality, op5_decontamination, op6_secrets, op7_packing, op8_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
