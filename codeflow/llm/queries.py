@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
 from .decontam import contaminated
 from .minhash import near_duplicates
@@ -24,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +50,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op4_quality, op5_decontamination, op6_secrets, op7_packing, op8_minhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_ann, op4_quality, op5_decontamination, op6_secrets, op7_packing, op8_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
