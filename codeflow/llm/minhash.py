@@ -21,6 +21,10 @@ from .common import BLACK, cut, flat, mix, pieces, shingle_hashes, small, word_h
 
 #: Size of the circle of positions on which the second permutation is shifted.
 CIRCLE = 1 << 20
+#: Rows of a bucket up to which its open pairs are listed; larger ones are compared block by block.
+SMALL_BUCKET = 8
+#: Texts and shingles of a block.
+BLOCK_TEXTS, BLOCK_SHINGLES = 600, 400_000
 #: Rows to a band, and bands: a pair at similarity 0.8 is missed with probability (1 - 0.8^6)^56 = 4e-8.
 ROWS, BANDS = 6, 56
 
@@ -112,6 +116,51 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(_verifier(k, percent), "a long, b long")
 
 
+def _block_links(k: int, percent: int):
+    """Links between different components of two blocks (or inside one), by products of their 0/1 shingle matrices."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, comp, left = (group.column(x).to_numpy() for x in ("rep", "c", "is_left"))
+        sets = list(_sets(*flat(group.column("text")), k))
+        size = np.array([len(x) for x in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), size)
+        _, column, df = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        shared = df[column] > 1
+        column, row = column[shared], row[shared]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        number = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+        one = bool(left.all())
+        x, y = np.flatnonzero(left), np.flatnonzero(left if one else ~left)
+        both = np.zeros((len(x), len(y)), np.float32)
+        for low in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+            a, b = np.searchsorted(number, [low, low + 4096])
+            matrix = np.zeros((len(sets), 4096), np.float32)
+            matrix[row[a:b], number[a:b] - low] = 1
+            both += matrix[x] @ matrix[y].T
+        n = both.astype(np.int64)
+        i, j = np.nonzero((100 * n >= percent * (size[x][:, None] + size[y][None, :] - n)) & (comp[x][:, None] != comp[y][None, :]) & (n > 0))
+        a, b = rep[x[i]], rep[y[j]]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
+
+    return run
+
+
+def _links_in_large(docs: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components in the large buckets (key, rep, n, c): classes that share such a bucket, directly or
+    through others, form a family; it is dealt into blocks of bounded size, and each pair of blocks is one group."""
+    low = large.groupBy("key").agg(F.min("rep").alias("a"))
+    family = components(large.join(low, "key").select("a", F.col("rep").alias("b")))
+    members = cut(large.groupBy("rep").agg(F.max("n").alias("n"), F.first("c").alias("c")).join(family, F.col("rep") == F.col("node")).select("rep", "n", "c", F.col("component").alias("family")))
+    number = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+    dealt = members.join(number, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    texts = docs.join(small(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    rows = texts.join(dealt, F.col("doc_id") == F.col("rep")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "c", (F.col("own") <= F.col("other")).alias("is_left"), "text")
+    return rows.groupBy("family", "i", "j").applyInArrow(_block_links(k, percent), "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b): the least node reachable. Labels travel along links and
     jump to their own label's label; every round is written to the shared checkpoint folder."""
@@ -133,8 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept for every row: link texts with 100 * intersection >= percent * union.
 
     Equal sets form a class of which the smallest id stands for all. In every bucket the class with the smallest id is
-    held against all others (as many pairs as rows); once these links are joined, only classes of one bucket that are
-    still in different components are held against each other, until no bucket can join two components any more.
+    held against all others (as many pairs as rows). Once these links are joined, only classes of one bucket that are
+    still in different components are held against each other: pair by pair in small buckets, block by block in others.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = cut(docs.mapInArrow(_digest(k, rows, bands), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
@@ -152,12 +201,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = buckets.join(label, buckets["rep"] == label["node"], "left").select("key", "rep", "n", "head", F.coalesce("component", "rep").alias("c"))
     still = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
     rest = cut(at.join(still, "key", "left_semi"))
-    x = rest.select("key", "head", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    sized = cut(rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key"))
+    few = sized.filter(F.col("rows") <= SMALL_BUCKET)
+    x = few.select("key", "head", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    y = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
     cross = x.join(y, "key").filter(f"a < b and c_a != c_b and a != head and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
-    more = cut(cross)
-    if not more.isEmpty():
-        links = cut(links.union(verified(one, more, k, percent)))
+    more, large = cut(cross), sized.filter(F.col("rows") > SMALL_BUCKET)
+    found = [verified(one, more, k, percent)] if not more.isEmpty() else []
+    if not large.isEmpty():
+        found.append(_links_in_large(one, large, k, percent))
+    if found:
+        for x in found:
+            links = links.union(x)
+        links = cut(links)
         label = components(links)
     final = classes.select("s1", "s2", F.col("n_shingles"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("linked"))
     out = sets.drop("bands").join(final, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("linked", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
