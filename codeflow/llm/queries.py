@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import table
 from .decontam import contaminated
+from .html import extract
 from .lm import score_texts
 from .minhash import near_duplicates
 from .packing import pack
@@ -50,12 +51,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_ann, op4_quality, op5_decontamination, op6_secrets, op7_packing, op8_minhash, op10_lm)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_ann, op4_quality, op5_decontamination, op6_secrets, op7_packing, op8_minhash, op9_html, op10_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
