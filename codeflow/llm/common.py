@@ -144,19 +144,35 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+_PLACES = [np.uint64(pow(int(_BASE), 2 * j + 1, 1 << 64) ^ 0x5BD1E995 << 8 | 1) for j in range(64)]
+
+
 def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words of each row (a row of fewer words: its whole sequence), and where each row's
     begin; rows without words have none."""
-    n = np.diff(first)
-    count = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
-    at = np.concatenate([[0], np.cumsum(count)])
-    row = np.repeat(np.arange(len(n)), count)
-    begin = first[:-1][row] + (np.arange(at[-1]) - at[row])
-    size = np.minimum(n[row], k)
-    out = size.astype(np.uint64)
-    for j in range(k):
-        inside = size > j
-        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + np.where(inside, h[np.minimum(begin + j, max(len(h) - 1, 0))], np.uint64(0)) if len(h) else out)
+    n, m = np.diff(first), len(h)
+    at = np.concatenate([[0], np.cumsum(np.where(n >= k, n - k + 1, n > 0))])
+    runs = np.zeros(0, np.uint64)
+    if m >= k:  # over all rows at once; runs that reach over the end of a row are left out afterwards
+        runs = h[: m - k + 1] * _PLACES[0]
+        for j in range(1, k):
+            runs += h[j : m - k + 1 + j] * _PLACES[j]
+        inside = np.ones(len(runs), bool)
+        for j in range(1, k):
+            over = first[1:] - j
+            inside[over[(over >= 0) & (over < len(runs))]] = False
+        runs = mix(runs[inside] + np.uint64(k))
+    brief = np.flatnonzero((n > 0) & (n < k))
+    if not len(brief):
+        return runs, at
+    out, rest = np.empty(at[-1], np.uint64), np.ones(at[-1], bool)
+    rest[at[brief]] = False
+    out[rest] = runs
+    whole = n[brief].astype(np.uint64)
+    for j in range(k - 1):
+        has = n[brief] > j
+        whole[has] += h[first[brief[has]] + j] * _PLACES[j]
+    out[at[brief]] = mix(whole)
     return out, at
 
 
