@@ -152,7 +152,7 @@ def _links_in_large(docs: DataFrame, large: DataFrame, k: int, percent: int) ->
     through others, form a family; it is dealt into blocks of bounded size, and each pair of blocks is one group."""
     low = large.groupBy("key").agg(F.min("rep").alias("a"))
     family = components(large.join(low, "key").select("a", F.col("rep").alias("b")))
-    members = cut(large.groupBy("rep").agg(F.max("n").alias("n"), F.first("c").alias("c")).join(family, F.col("rep") == F.col("node")).select("rep", "n", "c", F.col("component").alias("family")))
+    members = cut(large.groupBy("rep").agg(F.max("n").alias("n"), F.first("c").alias("c")).join(family, F.col("rep") == F.col("node"), "left").select("rep", "n", "c", F.coalesce("component", "rep").alias("family")))
     number = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     dealt = members.join(number, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = docs.join(small(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
@@ -161,21 +161,35 @@ def _links_in_large(docs: DataFrame, large: DataFrame, k: int, percent: int) ->
     return rows.groupBy("family", "i", "j").applyInArrow(_block_links(k, percent), "a long, b long")
 
 
+def _then(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels whose components were joined further by ``more`` (both: node, component; least nodes are left out)."""
+    on = more.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    return labels.join(on, "component", "left").select("node", F.coalesce("further", "component").alias("component")).union(more)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of the links (a, b): the least node reachable. Labels travel along links and
-    jump to their own label's label; every round is written to the shared checkpoint folder."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "to"))
-    labels = cut(edges.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("component")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        new = cut(
-            labels.join(near, "node").join(jump, "component", "left")
-            .select("node", F.least("component", "near", F.coalesce("far", "component")).alias("new"), F.col("component").alias("old"))
-        )
-        if new.filter("new != old").isEmpty():
-            return labels
-        labels = new.select("node", F.col("new").alias("component"))
+    """(node, component) for the nodes of the links (a, b) that are not the least of their component. In each round every
+    node hangs under its least smaller neighbour, the trees are flattened by pointer jumping, and the links contract to
+    their roots; links inside a tree are gone then, so a star takes one round. Each round is written to the shared
+    checkpoint folder."""
+    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    labels = None
+    while labels is None or not edges.isEmpty():
+        parent, moving = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))), True
+        while moving:
+            up = parent.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+            jumped = cut(parent.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")))
+            parent, moving = jumped.select("node", "component"), not jumped.filter("moved").isEmpty()
+        labels = parent if labels is None else cut(_then(labels, parent))
+        edges = _contracted(edges, parent)
+    return labels
+
+
+def _contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links between different components, as links between their least nodes."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("x")), labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    ends = links.join(b, "b", "left").withColumn("y", F.coalesce("y", "b")).filter("y != a").join(a, "a", "left").select(F.coalesce("x", "a").alias("x"), "y")
+    return cut(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -211,10 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         found.append(_links_in_large(one, large, k, percent))
     if found:
-        for x in found:
-            links = links.union(x)
-        links = cut(links)
-        label = components(links)
+        links = found[0] if len(found) == 1 else found[0].union(found[1])
+        label = cut(_then(label, components(_contracted(links, label))))
     final = classes.select("s1", "s2", F.col("n_shingles"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("linked"))
     out = sets.drop("bands").join(final, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("linked", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
