@@ -5,7 +5,7 @@ into ``BLOCKS`` blocks; two fingerprints that differ in fewer bits than there ar
 into one table per block finds every item within the radius of BLOCKS - 1 bits (at a weighted similarity of 0.8, 39 bits
 differ on average with a deviation of 6, so the radius lies 4 deviations off). Items found are held against the window
 by the exact weighted Jaccard similarity of the shingles, weights being their counts. Windows of which too few shingles
-occur in the benchmark at all cannot reach the similarity (at least 2t/(1+t) of the shingles must be shared), and get no
+occur in items of its size cannot reach the similarity (at least 2t/(1+t) of the shingles must be shared), and get no
 fingerprint; that loses none. The benchmark is read in blocks of a fixed number of items, each a pass over the documents.
 
 Defined results: null and empty texts and items without a word match nothing; an item of fewer than five words is one
@@ -67,6 +67,7 @@ class Index:
     items: list[tuple[int, dict[int, int], np.ndarray]] = field(default_factory=list)
     tables: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)
     known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    sizes_of: dict[int, set[int]] = field(default_factory=dict)  # the sizes of the items that hold a shingle
 
 
 def build(rows: list[tuple[int, str]], k: int) -> Index:
@@ -84,6 +85,8 @@ def build(rows: list[tuple[int, str]], k: int) -> Index:
             table[block].setdefault(value, []).append(len(out.items))
         out.items.append((item, _weights(own), print_))
         known.append(own)
+        for x in own.tolist():
+            out.sizes_of.setdefault(x, set()).add(n)
     out.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *known]))
     return out
 
@@ -98,7 +101,6 @@ def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarr
     filter_ = np.zeros(1 << 20, bool)
     filter_[(index.known >> np.uint64(44)).astype(np.int64)] = True
     brief = sorted(n for n in index.tables if n < k)
-    sizes = sorted(n for n in index.tables if n >= k)
     for a, b in pieces(off):
         part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
         starts, ends, first = words(part, at, ALNUM)
@@ -113,10 +115,12 @@ def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarr
             best: dict[int, tuple[float, int, int, int]] = {}
             own = s[begin[i] : begin[i + 1]]
             seen = mark[begin[i] : begin[i + 1]]
-            where = np.flatnonzero(seen)
-            total = np.concatenate([[0], np.cumsum(seen)])
+            where: dict[int, list[int]] = {}  # a window can only be like items of its size, so only their shingles count
+            for c, x in zip(np.flatnonzero(seen).tolist(), own[seen].tolist(), strict=True):
+                for n in index.sizes_of[x]:
+                    where.setdefault(n, []).append(c)
             n_words = int(first[i + 1] - first[i])
-            for n in [*brief, *sizes]:
+            for n in [*brief, *sorted(n for n in where if n >= k)]:
                 if n_words < n:
                     break
                 if n < k:
@@ -125,11 +129,12 @@ def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarr
                 else:
                     grams, m = own, n - k + 1
                     need = math.ceil(2 * least / (1 + least) * m - 1e-9)
-                    if len(where) < need:
+                    if len(where[n]) < need:
                         continue
-                    around = np.unique(where[:, None] - np.arange(m - need + 1)[None, :])  # the first known shingle stands among these
+                    at_ = np.array(where[n])
+                    around = np.unique(at_[:, None] - np.arange(m - need + 1)[None, :])  # the first known shingle stands among these
                     around = around[(around >= 0) & (around + m <= len(own))]
-                    candidates = around[total[around + m] - total[around] >= need]
+                    candidates = around[np.searchsorted(at_, around + m) - np.searchsorted(at_, around) >= need]
                 for c in candidates.tolist():
                     window = grams[c : c + m]
                     print_ = fingerprint(window)
