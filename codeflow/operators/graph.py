@@ -97,8 +97,13 @@ def endpoint_graph(nodes: DataFrame, edges: DataFrame, root_id: str, filters: Se
     root = nodes.filter(F.col("id") == root_id).take(1)
     if not root:
         raise ValueError(f"no node {root_id}")
-    if application and root[0][application] is not None:
-        nodes = nodes.filter(F.col(application) == root[0][application])
+    value = None
+    if application:
+        value = root[0]
+        for part in application.split("."):
+            value = value[part]
+    if value is not None:
+        nodes = nodes.filter(F.col(application) == value)
     edge_ok = F.col("confidence").isin(list(confidences)) if confidences else None
     node_ok = F.size(F.array_except("filter_ids", F.array(*map(F.lit, filters)))) == 0 if filters else None
     reached = cut(reachable(nodes, edges, nodes.sparkSession.createDataFrame([(root_id,)], "id string"), node_ok, edge_ok))

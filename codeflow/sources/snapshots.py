@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 ENGINE_VERSION = "1"
@@ -66,9 +68,8 @@ class SnapshotStore:
                 if info is None or info["engine_version"] != ENGINE_VERSION:
                     continue
                 return {t: self.spark.read.parquet(f"{self.root}/v{info['version']}/{t}") for t in info["tables"]}
-            except Exception as e:  # noqa: BLE001 - an unreadable snapshot is a miss, as long as Spark itself says so
-                if "AnalysisException" not in type(e).__name__ and "Spark" not in type(e).__name__:
-                    raise
+            except (AnalysisException, Py4JJavaError):
+                continue  # unreadable: the version before it, or a cold start
         return None
 
     def clear(self) -> None:

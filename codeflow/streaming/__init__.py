@@ -1 +1 @@
-
+"""File changes as a stream."""
