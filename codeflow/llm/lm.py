@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import BLACK, cut, flat, held_out, mix, pieces, word_hashes, words
 
 #: Text of a chunk, and tokens of a part of the n-grams.
-CHUNK_BYTES, PART_TOKENS = 8 << 20, 3_000_000
+CHUNK_BYTES, PART_TOKENS = 5 << 20, 2_000_000
 #: One training document in so many is held out while the mixture weights are learned.
 HELD = 10
 #: Steps of a power of two by which component probabilities are grouped for the expectation maximisation.
