@@ -564,6 +564,39 @@ def diagnostic_dedupe(t):
     return I.merge_diagnostics(d, d.limit(0), ["event_type", "user_id", "v"])
 
 
+# ---------------------------------------------------------------- Java sources (no SQL can say them)
+
+
+def _java(t, n: int = 60):
+    from .plans import synthetic, workspace
+    from .plans.discovery import Request
+
+    return workspace.analyze(synthetic.chain(t.spark, n, fan=2), Request(synthetic.ROOT))
+
+
+@query(None)
+def java_endpoint_graph(t):
+    """Nodes of the one endpoint's graph of a synthetic workspace, with their depth."""
+    from .plans import workspace
+
+    index = _java(t).index
+    nodes, _ = workspace.endpoint_graph(index, index.endpoints.first()["id"])
+    return nodes.select(F.col("symbol.qualified_name").alias("name"), "role", _long("depth"))
+
+
+@query(None)
+def java_call_edges(t):
+    index = _java(t).index
+    name = index.nodes.select("id", F.col("symbol.qualified_name").alias("name"))
+    e = index.edges.join(name.withColumnsRenamed({"id": "source", "name": "caller"}), "source").join(name.withColumnsRenamed({"id": "target", "name": "callee"}), "target")
+    return e.select("caller", "callee", "confidence", "occurrence_count")
+
+
+@query(None)
+def java_endpoints(t):
+    return _java(t).index.endpoints.select("id", F.array_join("http_methods", "|").alias("methods"), F.array_join("paths", ",").alias("paths"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes reached from one region over the table graph, with their depth."""
     t = Tables(spark, sf_dir)

@@ -196,3 +196,32 @@ def test_report(analysis):
     text = S.report(analysis.index.nodes, analysis.index.endpoints)
     assert "controller:" in text and "GET /api/orders/{id}, /v2/orders/{id}" in text
     assert S.as_json(analysis.index.endpoints.select("id", "paths")).filter(F.contains("json", F.lit('"paths"'))).count() == 2
+
+
+def test_session(spark, tmp_path):
+    from codeflow.plans import session as X
+
+    s = X.Session(spark, SnapshotStore(spark, f"file://{tmp_path}/s"), Request(ROOT))
+    files = S.from_memory(spark, FILES.items())
+    assert X.choose(files).name == W.PARSER_ID and X.choose(files, "other").name == W.PARSER_ID
+    first = s.analyze(files)
+    assert first.indexed == 7 and s.analyze(files).reused == 7 and s.timings["total_ms"] > 0
+    (find,) = [r for r in s.last.index.endpoints.collect() if r["http_methods"] == ["GET"]]
+    said, graph = s.refresh(find["id"])
+    assert said == "updated" and graph[0].count() > 3 and s.refresh("gone") == ("endpointUnavailable", None)
+    assert s.location(find["handler_symbol_id"])["uri"].endswith("OrderController.java") and s.location("gone") is None
+    assert {r["code"] for r in s.diagnostics().collect()} == {"java.syntaxError"}
+
+    def overtaken(*a, **k):
+        s._begin()
+        return first
+
+    X.REGISTRY[W.PARSER_ID].analyze = overtaken
+    try:
+        with pytest.raises(X.Cancelled):
+            s.analyze(files)
+    finally:
+        X.REGISTRY[W.PARSER_ID].analyze = W.analyze
+    assert s.last is not None and s.store.load() is not None  # the last good result stays
+    s.clear()
+    assert s.store.load() is None
