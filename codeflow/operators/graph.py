@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +25,17 @@ def allowed_edges(nodes: DataFrame, edges: DataFrame, node_allowed: Column | Non
     """The edges (source, target) that a traversal may take: allowed themselves and into an allowed node."""
     ends = nodes if node_allowed is None else nodes.filter(node_allowed)
     taken = edges if edge_allowed is None else edges.filter(edge_allowed)
-    return taken.join(ends.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target").distinct()
+    return taken.join(ends.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target")
 
 
-def _levels(edges: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
+def _levels(edges: pa.Table, roots: pa.Table) -> pa.Table:
     """Depths of all nodes reached, by whole levels over an adjacency in compressed rows."""
-    names, back = np.unique(np.concatenate([edges["source"], edges["target"], roots["id"]]).astype(object), return_inverse=True)
-    m = len(edges)
+    m = edges.num_rows
+    back, names = pd.factorize(np.concatenate([edges.column("s").to_numpy(), edges.column("t").to_numpy(), roots.column("h").to_numpy()]))
     source, target = back[:m], back[m : 2 * m]
     order = np.argsort(source, kind="stable")
     target, first = target[order], np.searchsorted(source[order], np.arange(len(names) + 1))
-    depth = np.full(len(names), -1)
+    depth = np.full(len(names), -1, np.int32)
     front = np.unique(back[2 * m :])
     depth[front] = level = 0
     while len(front):
@@ -45,20 +46,22 @@ def _levels(edges: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
         front = front[depth[front] < 0]
         depth[front] = level
     seen = np.flatnonzero(depth >= 0)
-    return pd.DataFrame({"id": names[seen], "depth": depth[seen]})
+    return pa.table([pa.array(names[seen], pa.int64()), pa.array(depth[seen], pa.int32())], names=["h", "depth"])
 
 
-def reachable_local(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, depth) from the roots by one worker; any depth, one shuffle."""
-    both = edges.withColumn("g", F.lit(0)).groupBy("g").cogroup(roots.withColumn("g", F.lit(0)).groupBy("g"))
-    return both.applyInPandas(_levels, "id string, depth int")
+def reachable_local(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, depth) from the roots by one worker over hashed ids; any depth. For graphs of LOCAL_EDGES edges at most, so
+    that two ids with one 64-bit hash need not be feared."""
+    e = edges.select(F.xxhash64("source").alias("s"), F.xxhash64("target").alias("t"), F.lit(0).alias("g"))
+    r = roots.select(F.xxhash64("id").alias("h"), F.lit(0).alias("g"))
+    found = e.groupBy("g").cogroup(r.groupBy("g")).applyInArrow(_levels, "h long, depth int")
+    return nodes.select("id", F.xxhash64("id").alias("h")).distinct().join(found, "h").select("id", "depth")
 
 
 def reachable_distributed(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, depth) from the roots, a join for each level; levels are written to the shared folder."""
     seen = front = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     level = 0
-    edges = cut(edges)
     while not front.isEmpty():
         level += 1
         new = edges.join(front.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
@@ -70,11 +73,11 @@ def reachable_distributed(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, node_allowed: Column | None = None, edge_allowed: Column | None = None, strategy: str | None = None) -> DataFrame:
     """(id, depth) of everything reached from the roots. Predicates hold inside the traversal: what a pruned node
     leads to is not reached through it; roots are exempt. Nodes without a row are never entered."""
-    taken = allowed_edges(nodes, edges, node_allowed, edge_allowed)
+    taken = cut(allowed_edges(nodes, edges, node_allowed, edge_allowed))
     roots = roots.select("id").join(nodes.select("id"), "id", "left_semi")
     if strategy is None:
-        strategy = "local" if edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES else "distributed"
-    return (reachable_local if strategy == "local" else reachable_distributed)(taken, roots)
+        strategy = "local" if taken.count() <= LOCAL_EDGES else "distributed"
+    return reachable_local(nodes, taken, roots) if strategy == "local" else reachable_distributed(taken, roots)
 
 
 def induced(edges: DataFrame, reached: DataFrame, edge_allowed: Column | None = None) -> DataFrame:
