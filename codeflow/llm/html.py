@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .quality import marginals
 
 #: Labelled pages that the generator makes for training.
-TRAINING_PAGES = 400
-_STEPS, _RATE = 120, 0.15
+TRAINING_PAGES = 1600
+_STEPS, _RATE = 150, 0.15
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -160,6 +160,12 @@ def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
     if path:
         out.add(f"leaf {path[-1].split()[0]}")
         out.update(f"leaf named {w}" for w in path[-1].split()[1:])
+    inner = next((name.split()[1:] for name in reversed(path) if " " in name), [])
+    leaf = path[-1].split()[0] if path else ""
+    for w in inner:  # the innermost names say more than those around
+        out.update((f"inner {w}", f"inner {w} {leaf}"))
+    for name in path[-3:]:
+        out.add(f"{leaf} in {name.split()[0]}")
     out.add(f"depth {min(len(path), 8)}")
     return tuple(sorted(out))
 
@@ -229,18 +235,18 @@ class Model:
 def train(pages: list[tuple[list[Block], list[bool]]]) -> Model:
     """A field from pages whose blocks are labelled: gradient steps (Adam) on the exact likelihood."""
     names: dict[str, int] = {}
-    rows, cols, y, first = [], [], [], [0]
+    cols, size, y, first = [], [], [], [0]
     for all_, good in pages:
         if not all_:
             continue
         for i in range(len(all_)):
-            for f in (*_path_features(all_[i].path), *_text_features(all_, i)):
-                rows.append(len(y))
-                cols.append(names.setdefault(f, len(names)))
+            own = (*_path_features(all_[i].path), *_text_features(all_, i))
+            cols += [names.setdefault(f, len(names)) for f in own]
+            size.append(len(own))
             y.append(bool(good[i]))
         first.append(len(y))
-    x = np.zeros((len(y), len(names)), np.float32)
-    np.add.at(x, (rows, cols), 1)
+    cols, size = np.array(cols, np.int32), np.array(size)
+    start, row = np.cumsum(size) - size, np.repeat(np.arange(len(size), dtype=np.int32), size)
     label, first = np.array(y, float), np.array(first)
     seen = np.zeros((2, 2))
     inside = np.ones(len(y), bool)
@@ -250,8 +256,8 @@ def train(pages: list[tuple[list[Block], list[bool]]]) -> Model:
     w = np.zeros(len(names) + 4)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, _STEPS + 1):
-        good, expected = marginals(x @ w[:-4], first, w[-4:].reshape(2, 2))
-        g = np.concatenate([x.T @ (label - good), (seen - expected).ravel()]) / len(y) - 2e-4 * w
+        good, expected = marginals(np.add.reduceat(w[cols], start), first, w[-4:].reshape(2, 2))
+        g = np.concatenate([np.bincount(cols, (label - good)[row], len(names)), (seen - expected).ravel()]) / len(y) - 5e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += _RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Model({f: float(w[i]) for f, i in names.items()}, w[-4:].reshape(2, 2))
@@ -296,7 +302,7 @@ class _Writer:
             return ""
         if r < 0.3:
             return f' class="{"".join(self.r.choices("bcdfghjkmpqrstvwxz", k=6))}"'
-        words = self.r.choice(_NAMES[kind])
+        words = _NAMES[kind][min(self.r.randrange(len(_NAMES[kind])), self.r.randrange(len(_NAMES[kind])))]  # the first are the most common
         return f' {self.r.choice(["class", "class", "id"])}="{words}{self.r.choice(["", "", "", " wide", "-1", " block", "-box"])}"'
 
     def links(self, low: int, high: int) -> str:
@@ -323,39 +329,42 @@ class _Writer:
         if r.random() < 0.85:
             h = r.choice(["h1", "h1", "h2"])
             out.append(f"<{h}>{self.keep(self.say(2, 14, r.random() < 0.4))}</{h}>")
-        plain = r.random() < 0.1
+        plain, boxes = r.random() < 0.2, r.choice([0.03, 0.1, 0.25])
         for k in range(r.choice([1, 2, 3, 4, 5, 6, 8, 10, 15])):
             kind, size = r.random(), r.choice([(1, 4), (4, 15), (15, 60), (20, 80), (40, 150)])
             text = self.inline(self.say(*size, r.random() < 0.9))
             if r.random() < 0.08:  # an article, too, can speak of such things
                 text = r.choice(["All rights reserved.", "Copyright 2020.", "Comments", "Share", "(c) 2021", "Log in", "Subscribe", f"{self.say(2, 8, False)} {r.choice(['comment', 'reply', 'cookies', 'newsletter', 'sponsor', 'copyright', 'related'])} {self.say(2, 12)}"])
+            if r.random() < boxes:
+                out.append(r.choice([self.ad, self.share, self.notice, self.form, self.aside])())
             if plain:
                 out.append(f"<div>{self.keep(text)}</div>")
-            elif kind < 0.72:
+            elif kind < 0.75:
                 if not k and r.random() < 0.4:
                     text = f"<b>{text}<br>"
                     out.append("<p>" + self.keep(text))
                 else:
                     out.append(f"<p>{self.keep(text)}" + "</p>" * (r.random() < 0.9))
-            elif kind < 0.78:
+            elif kind < 0.8:
                 out.append(f"<h{r.choice('23')}>{self.keep(self.say(1, 8, False))}</h2>")
-            elif kind < 0.84:
+            elif kind < 0.86:
                 out.append("<ul>" + "".join(f"<li>{self.keep(self.say(2, 25, r.random() < 0.6))}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
-            elif kind < 0.88:
+            elif kind < 0.9:
                 out.append(f"<blockquote>{self.keep(text)}</blockquote>")
-            elif kind < 0.91:
+            elif kind < 0.94:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.keep(self.say(1, 5, False))}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif kind < 0.93:
+            elif kind < 0.97:
                 out.append(f"<pre>{self.keep(text)}</pre>")
-            elif kind < 0.95:
-                out.append(f"<figure><img src='a.png'><figcaption>{self.keep(self.say(3, 15))}</figcaption></figure>")
             else:
-                out.append(r.choice([self.ad, self.share, self.notice])())
+                out.append(f"<figure><img src='a.png'><figcaption>{self.keep(self.say(3, 15))}</figcaption></figure>")
         return "".join(out)
 
     def ad(self) -> str:
         return self.box("ad", ["div", "div", "aside", "section", "ins"], f"{'<p>' * (self.r.random() < 0.3)}{self.say(2, 30)}")
 
+    def aside(self) -> str:
+        return self.box("side", ["aside", "aside", "div"], f"<p>{self.say(3, 30)}</p>" if self.r.random() < 0.6 else self.links(1, 5))
+
     def share(self) -> str:
         return self.box("share", ["div", "ul", "p"], self.links(2, 5))
 
@@ -366,7 +375,7 @@ class _Writer:
         return f"<form{self.name('form')}>" + "".join(f"<label>{self.say(1, 3, False)}</label><input name='q'>" for _ in range(self.r.randint(1, 3))) + f"<p>{self.say(2, 20)}</p><button>{self.say(1, 2, False)}</button></form>"
 
     def comments(self) -> str:
-        r, out = self.r, [f"<h3>{self.say(1, 3, False)}</h3>"] if self.r.random() < 0.7 else []
+        r, out = self.r, [f"<{(h := self.r.choice(['h2', 'h3', 'h3', 'h4']))}>{self.say(1, 4, False)}</{h}>"] if self.r.random() < 0.7 else []
         tag = r.choice(["div", "li", "article", "p"])
         for _ in range(r.randint(1, 8)):
             who = r.choice(["<b>{}</b>", "<div class='author'>{}</div>", "<span class='user'>{}</span>: ", "{}: "]).format(self.say(1, 2, False))
@@ -393,10 +402,12 @@ class _Writer:
         if r.random() < 0.3:
             inner, comments = inner + comments, ""
         if kind < 0.45:
+            if r.random() < 0.3:
+                inner = f"<div{self.name('main')}>{inner}</div>"
             main = f"<article{self.name('main') if r.random() < 0.4 else ''}>{inner}</article>"
         elif kind < 0.6:
             main = f"<main>{inner}</main>"
-        elif kind < 0.92:
+        elif kind < 0.93:
             main = f"<{(t := r.choice(['div', 'div', 'section']))}{self.name('main')}>{inner}</{t}>"
         else:
             main = inner
