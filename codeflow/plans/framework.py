@@ -22,7 +22,7 @@ CONTROLLERS = (_W + "RestController", "org.springframework.stereotype.Controller
 ENTITY_TABLES = ("jakarta.persistence.Table", "javax.persistence.Table")
 FEIGN_CLIENT = "org.springframework.cloud.openfeign.FeignClient"
 
-#: Filters of a graph view: (id, label, section, target, selected by default), in order.
+# Filters of a graph view: (id, label, section, target, selected by default), in order.
 NODE_FILTERS = [
     ("controller", "Controller", "Classes", "group", True), ("service", "Service", "Classes", "group", True), ("repository", "Repository", "Classes", "group", True),
     ("httpClient", "HTTP client", "Classes", "group", True), ("component", "Component", "Classes", "group", False), ("helper", "Helper", "Classes", "group", False),
