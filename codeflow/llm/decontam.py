@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,45 +50,80 @@ def blocks_of(print_: np.ndarray) -> list[int]:
     return (print_.reshape(BLOCKS, -1) * weights).sum(axis=1).tolist()
 
 
-def weighted_similarity(a: dict[int, int], b: dict[int, int]) -> float:
-    both = sum(min(n, b[x]) for x, n in a.items() if x in b)
-    return both / max(1, sum(a.values()) + sum(b.values()) - both)
+def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard of two sets of (sorted keys, weights)."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def _weights(shingles: np.ndarray) -> dict[int, int]:
-    keys, n = np.unique(shingles, return_counts=True)
-    return dict(zip(keys.tolist(), n.tolist(), strict=True))
+def _weights(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(shingles, return_counts=True)
+
+
+@dataclass
+class Tables:
+    """Items of one number of words: fingerprints, and for each block the items in order of their value."""
+
+    items: np.ndarray
+    prints: np.ndarray  # packed bits
+    order: np.ndarray  # BLOCKS x items
+    bounds: np.ndarray  # BLOCKS x (values + 1)
+
+    def within(self, print_: np.ndarray) -> list[tuple[int, int]]:
+        """(item, bits that differ) of all items in fewer than BLOCKS bits."""
+        found = np.unique(np.concatenate([self.order[k, self.bounds[k, v] : self.bounds[k, v + 1]] for k, v in enumerate(blocks_of(print_))]))
+        differ = np.bitwise_count(self.prints[found] ^ np.packbits(print_)).sum(axis=1, dtype=np.int64)
+        near = differ < BLOCKS
+        return list(zip(self.items[found[near]].tolist(), differ[near].tolist(), strict=True))
 
 
 @dataclass
 class Index:
-    """Items by number of words: weights and fingerprint of each, and for each block the items by its value."""
+    """Items in arrays: some 400 bytes and 10 for each shingle, whatever is asked."""
+
+    ids: np.ndarray
+    at: np.ndarray  # where each item's weights begin
+    keys: np.ndarray
+    counts: np.ndarray
+    tables: dict[int, Tables]
+    known: np.ndarray  # all shingles, sorted
+    sizes_at: np.ndarray  # where each shingle's sizes begin
+    sizes: np.ndarray  # the sizes of the items that hold it
 
-    items: list[tuple[int, dict[int, int], np.ndarray]] = field(default_factory=list)
-    tables: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)
-    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    sizes_of: dict[int, set[int]] = field(default_factory=dict)  # the sizes of the items that hold a shingle
+    def weights(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.at[item], self.at[item + 1])
+        return self.keys[part], self.counts[part]
+
+    def sizes_of(self, shingle: int) -> list[int]:
+        k = int(np.searchsorted(self.known, np.uint64(shingle)))
+        return self.sizes[self.sizes_at[k] : self.sizes_at[k + 1]].tolist()
 
 
 def build(rows: list[tuple[int, str]], k: int) -> Index:
-    out, known = Index(), []
     data, off = flat(pa.array([t for _, t in rows], pa.string()))
     starts, ends, first = words(data, off, ALNUM)
-    h, at = shingle_hashes(word_hashes(data, starts, ends), first, k)
-    for i, (item, _) in enumerate(rows):
-        n, own = int(first[i + 1] - first[i]), h[at[i] : at[i + 1]]
-        if not n:
-            continue
-        print_ = fingerprint(own)
-        table = out.tables.setdefault(n, [{} for _ in range(BLOCKS)])
-        for block, value in enumerate(blocks_of(print_)):
-            table[block].setdefault(value, []).append(len(out.items))
-        out.items.append((item, _weights(own), print_))
-        known.append(own)
-        for x in own.tolist():
-            out.sizes_of.setdefault(x, set()).add(n)
-    out.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *known]))
-    return out
+    h, begin = shingle_hashes(word_hashes(data, starts, ends), first, k)
+    n = np.diff(first)
+    ids, weights, prints, words_of = [], [], [], []
+    for i in np.flatnonzero(n).tolist():
+        own = h[begin[i] : begin[i + 1]]
+        ids.append(rows[i][0])
+        weights.append(_weights(own))
+        prints.append(fingerprint(own))
+        words_of.append(int(n[i]))
+    at = np.concatenate([[0], np.cumsum([len(w[0]) for w in weights])]).astype(np.int64)
+    keys, counts = np.concatenate([np.zeros(0, np.uint64), *(w[0] for w in weights)]), np.concatenate([np.zeros(0, np.int64), *(w[1] for w in weights)]).astype(np.int32)
+    tables, size = {}, np.array(words_of, np.int64)
+    for m in np.unique(size).tolist():
+        items = np.flatnonzero(size == m)
+        values = np.array([blocks_of(prints[x]) for x in items])
+        order = np.argsort(values, axis=0, kind="stable").T
+        bounds = np.stack([np.searchsorted(np.sort(values[:, j]), np.arange((1 << BITS // BLOCKS) + 1)) for j in range(BLOCKS)])
+        tables[m] = Tables(items, np.stack([np.packbits(prints[x]) for x in items]), np.ascontiguousarray(order), bounds)
+    pairs = np.unique(np.stack([keys, np.repeat(size, np.diff(at)).astype(np.uint64)], 1), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
+    known, sizes_at = np.unique(pairs[:, 0], return_index=True)
+    return Index(np.array(ids, np.int64), at, keys, counts, tables, known, np.concatenate([sizes_at, [len(pairs)]]), pairs[:, 1].astype(np.int64))
 
 
 def _short(h: np.ndarray, k: int) -> np.ndarray:
@@ -117,7 +152,7 @@ def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarr
             seen = mark[begin[i] : begin[i + 1]]
             where: dict[int, list[int]] = {}  # a window can only be like items of its size, so only their shingles count
             for c, x in zip(np.flatnonzero(seen).tolist(), own[seen].tolist(), strict=True):
-                for n in index.sizes_of[x]:
+                for n in index.sizes_of(x):
                     where.setdefault(n, []).append(c)
             n_words = int(first[i + 1] - first[i])
             for n in [*brief, *sorted(n for n in where if n >= k)]:
@@ -136,19 +171,14 @@ def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarr
                     around = around[(around >= 0) & (around + m <= len(own))]
                     candidates = around[np.searchsorted(at_, around + m) - np.searchsorted(at_, around) >= need]
                 for c in candidates.tolist():
-                    window = grams[c : c + m]
-                    print_ = fingerprint(window)
-                    found = {x for table, value in zip(index.tables[n], blocks_of(print_), strict=True) for x in table.get(value, ())}
-                    weights = None
-                    for x in found:
-                        differ = int(np.count_nonzero(print_ != index.items[x][2]))
-                        if differ < BLOCKS:
-                            weights = weights or _weights(window)
-                            like = weighted_similarity(weights, index.items[x][1])
-                            if like >= least - 1e-12 and (x not in best or (-like, c) < (-best[x][0], best[x][1])):
-                                best[x] = (like, c, n, differ)
+                    window, weights = grams[c : c + m], None
+                    for x, differ in index.tables[n].within(fingerprint(window)):
+                        weights = weights or _weights(window)
+                        like = weighted_similarity(weights, index.weights(x))
+                        if like >= least - 1e-12 and (x not in best or (-like, c) < (-best[x][0], best[x][1])):
+                            best[x] = (like, c, n, differ)
             for x, (like, c, n, differ) in sorted(best.items()):
-                yield a + i, index.items[x][0], int(starts[first[i] + c] - at[i]), int(ends[first[i] + c + n - 1] - at[i]), like, differ
+                yield a + i, int(index.ids[x]), int(starts[first[i] + c] - at[i]), int(ends[first[i] + c + n - 1] - at[i]), like, differ
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
