@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of (long) keys may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that the Python side works on at once.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python at most (a longer row is a batch of its own).
+BATCH_BYTES = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,16 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Arrow batches of BATCH_BYTES at most, so that the memory of a Python worker
+    does not depend on the length of the texts. A smaller setting stays."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def crc(col: str | Column) -> Column:
     """Unsigned CRC-32 of the column as text."""
     c = F.col(col) if isinstance(col, str) else col

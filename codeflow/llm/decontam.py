@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, code_points, flat, mix, pieces, shingle_hashes, word_hashes, words
+from .common import ALNUM, bounded, code_points, flat, mix, pieces, shingle_hashes, word_hashes, words
 
 #: Bits of a fingerprint, and blocks of which one must agree.
 BITS, BLOCKS = 256, 64
@@ -207,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
 
         return run
 
-    plain, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
+    plain, out = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
     for rows in _blocks(benchmark):
         found = plain.mapInArrow(finder(build(rows, k)), "doc_id long, item_id long, start long, end long, similarity double, bits int")
         out = found if out is None else out.union(found)
@@ -228,5 +228,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similar
         return run
 
     for rows in _blocks(benchmark):
-        docs = docs.mapInArrow(keeper(build(rows, k)), schema)
+        docs = bounded(docs).mapInArrow(keeper(build(rows, k)), schema)
     return docs

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLACK, cut, flat, held_out, mix, pieces, word_hashes, words
+from .common import BLACK, bounded, cut, flat, held_out, mix, pieces, word_hashes, words
 
 #: Text of a chunk, and tokens of a part of the n-grams.
-CHUNK_BYTES, PART_TOKENS = 5 << 20, 2_000_000
+CHUNK_BYTES, PART_TOKENS = 6 << 20, 2_000_000
 #: One training document in so many is held out while the mixture weights are learned.
 HELD = 10
 #: Steps of a power of two by which component probabilities are grouped for the expectation maximisation.
@@ -197,7 +197,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
     crc32(doc_id as text) mod ``modulus`` is not ``remainder``."""
     out = held_out("doc_id", modulus, remainder)
     role = F.when(out, _HELD_OUT).when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, _EM).otherwise(_KEPT).cast("int")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = cut(plain.select("doc_id", "text", role.alias("role")).mapInArrow(_chunks, _CHUNKS_SQL))
     sums = chunks.agg(F.sum("trained"), F.sum("tokens"), F.sum(F.when(~F.col("em"), F.col("trained")))).first()
     n, tokens, n_kept = (int(x or 0) for x in sums)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLACK, cut, flat, mix, pieces, shingle_hashes, small, word_hashes, words
+from .common import BLACK, bounded, cut, flat, mix, pieces, shingle_hashes, small, word_hashes, words
 
 #: Size of the circle of positions on which the second permutation is shifted.
 CIRCLE = 1 << 20
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held against all others (as many pairs as rows). Once these links are joined, only classes of one bucket that are
     still in different components are held against each other: pair by pair in small buckets, block by block in others.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = cut(docs.mapInArrow(_digest(k, rows, bands), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
     classes = cut(sets.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     # repeated ids: the text of any row that has the id of a class

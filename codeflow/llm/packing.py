@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, flat, pieces, small, words
+from .common import bounded, cut, flat, pieces, small, words
 
 #: Permitted sequence lengths.
 CAPACITIES = (256, 512, 1024, 2048, 4096)
@@ -142,7 +142,7 @@ def _pieces(most: int):
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """doc_id, piece, start (first token), length, bin_id, bin_capacity, bin_offset of every piece of every row."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(plain.mapInArrow(_pieces(max(capacities)), "doc_id long, piece int, start long, length int"))
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     segments, first_bin, capacity = best_fit(histogram, capacities)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, held_out, pieces, word_hashes, words
+from .common import bounded, flat, held_out, pieces, word_hashes, words
 from .toxicity import labelled, logistic
 
 #: Labelled documents to learn from at most (those with the smallest hashes of their ids).
@@ -212,5 +212,5 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int
                     score = 1 / (1 + np.exp(-np.clip(model.bias + model.slope * _logit(raw_quality(x, size, first, model.weights, model.transitions)), -30, 30)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(score), pa.array(np.diff(first), pa.int32())], schema=schema)
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_lines int")
+    found = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_lines int")
     return found.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_lines")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat
+from .common import bounded, flat
 
 #: Kinds in the order of the result; (pattern, group whose length counts, least length).
 PATTERNS = {
@@ -232,7 +232,7 @@ def secrets(docs: DataFrame) -> DataFrame:
             rows = [([sum(k == x for _, k, _ in base) for x in range(3)], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)) for _, base, every in scan(batch.column(1))]
             yield pa.record_batch([batch.column(0), *(pa.array([r[0][x] for r in rows], pa.int64()) for x in range(3)), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -261,4 +261,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     batch = batch.set_column(column, batch.schema.field(column), filled)
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, code_points, cut, flat, held_out, lookup, pieces, small, word_hashes, words
+from .common import ALNUM, bounded, code_points, cut, flat, held_out, lookup, pieces, small, word_hashes, words
 
 #: Labelled rows to learn from at most (those with the smallest hashes of their ids).
 MAX_LABELLED = 40_000
@@ -119,7 +119,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
     """(text, y) of the ``most`` labelled rows with the smallest hashes whose crc32(doc_id) has not that remainder."""
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     rows = cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(rows), "doc_id").select("text", "y")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(rows), "doc_id").select("text", "y")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append(own)
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(p) for p in passages], pa.int32()), pa.array(passages, out.field(4).type)], schema=out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, n_passages int, passages array<struct<start:bigint,end:bigint,score:double,e_value:double>>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, n_passages int, passages array<struct<start:bigint,end:bigint,score:double,e_value:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
@@ -217,7 +217,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [model.bias + model.slope * math.log1p(_evidence(model, n, got)) < 0 for n, got in _scan(model, *flat(batch.column(at)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 __all__ = ["Model", "fit", "labelled", "logistic", "reject_toxic", "score", "segments", "toxicity"]
