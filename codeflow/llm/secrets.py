@@ -2,8 +2,8 @@
 
 The text itself is the first layer. Every layer is scanned for secrets and for encoded stretches: percent-encoded bytes
 and Unicode escapes are unwrapped in place, Base64 runs become layers of their own, unpacked if they hold gzip, zlib,
-bzip2, xz or Zstandard data. New layers join the worklist until none is left; a layer whose content was seen before in
-the text is not taken again, so cycles end. Each character of a layer knows the stretch of the original text that it
+bzip2, xz or Zstandard data. New layers join the worklist until none is left; a layer whose content was seen before
+at the same place of the text is not taken again, so cycles end and repeated stretches all count. Each character of a layer knows the stretch of the original text that it
 comes from, so every span found maps back.
 
 Defined results: a null text counts as empty; an empty text has no span; a null doc_id stays null; repeated rows are
@@ -100,6 +100,10 @@ class Layer:
     def __init__(self, text: str, begin: np.ndarray, end: np.ndarray):
         self.text, self.begin, self.end = text, begin, end
 
+    def key(self) -> bytes:
+        """A digest of the text and where it comes from."""
+        return hashlib.blake2b(b"".join([self.text.encode("utf-8", "surrogatepass"), self.begin.tobytes(), self.end.tobytes()]), digest_size=16).digest()
+
     def replaced(self, parts: list[tuple[int, int, str]]) -> Layer:
         """A layer with each part (from, to, text) put in place; its characters share the source of the whole part."""
         text, begin, end, at = [], [], [], 0
@@ -183,11 +187,12 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
     """The base spans and those of every layer below, as stretches of the text."""
     found = set(base)
     begin = np.arange(len(text))
-    work, seen = [Layer(text, begin, begin + 1)], {text}
+    work = [Layer(text, begin, begin + 1)]
+    seen = {work[0].key()}
     while work:
         for new in _unwrapped(work.pop()):
-            if new.text and new.text not in seen:
-                seen.add(new.text)
+            if new.text and (key := new.key()) not in seen:
+                seen.add(key)
                 found |= {(int(new.begin[a]), kind, int(new.end[b - 1])) for a, kind, b in base_spans(new.text)}
                 work.append(new)
     return sorted(found)

@@ -60,6 +60,24 @@ def test_cycles_end():
     assert S.all_spans(text, []) == []
 
 
+@pytest.mark.parametrize("packs", [(bytes, bytes), (gzip.compress, gzip.compress), (bytes, gzip.compress), (gzip.compress, bz2.compress, bytes)])
+def test_repeated_encoded_secret(packs):
+    """One secret text, wrapped alike or in several ways at several places: each place has its spans."""
+    runs = [base64.b64encode(pack(b"say token=abcdefghij")).decode() for pack in packs]
+    text = "\n".join(f"line {run} end" for run in [*runs, *runs])
+    ((_, base, every),) = S.scan(pa.array([text]))
+    assert not base
+    at = [m.span() for run in set(runs) for m in re.finditer(re.escape(run), text)]
+    assert len(at) == 2 * len(runs)
+    assert all(sum(k == 0 and a <= x < y <= b for x, k, y in every) == 1 for a, b in at)
+
+
+def test_redact_repeated_encoded_secret(make):
+    run = base64.b64encode(b"say token=abcdefghij").decode()
+    (r,) = S.redact(make([(1, f"a {run} b {run} c")])).collect()
+    assert r["text"].count("[SECRET]") == 2 and not S.all_spans(r["text"], [])
+
+
 def test_query_columns(odd, make):
     docs = make([(1, f"t {KEY} token=abcdefgh 0123456789abcdef01234567"), (2, None)]).union(odd)
     rows = S.secrets(docs).collect()
