@@ -201,17 +201,14 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
 def scan(batch_text: pa.Array) -> Iterator[tuple[str, list[Span], list[Span]]]:
     """The text, base spans and all spans of each row."""
     data, off = flat(batch_text)
-    # rows with a run of 16 signs of the Base64 alphabets: only there can a long hexadecimal or Base64 run be
-    inside = np.concatenate([[False], _B64_BYTE[data], [False]])
+    # rows with a run of 16 signs of the Base64 alphabets: only there can a long hexadecimal or Base64 run be; a sign of
+    # no run stands before each row and after the last, so that no run reaches over a border
+    border = off + np.arange(len(off))
+    inside = np.insert(_B64_BYTE[data], off, False)
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     long_run = edge[0::2][edge[1::2] - edge[0::2] >= 16]
-    runs = np.searchsorted(long_run, np.maximum(off, 0))
-    near = np.searchsorted(off, long_run, "right") - 1
     with_run = np.zeros(len(off), bool)
-    with_run[near] = True
-    # a run can reach over a row's end, so the next row counts too
-    with_run[1:] |= with_run[:-1].copy()
-    del runs
+    with_run[np.searchsorted(border, long_run, "right") - 1] = True
     raw = data.tobytes()
     for i in range(len(off) - 1):
         part = raw[off[i] : off[i + 1]]

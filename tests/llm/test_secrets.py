@@ -78,6 +78,19 @@ def test_redact_repeated_encoded_secret(make):
     assert r["text"].count("[SECRET]") == 2 and not S.all_spans(r["text"], [])
 
 
+HEX = "0123456789abcdef01234567"
+
+
+@pytest.mark.parametrize("texts", [["plain words", None, f"{HEX} is it"], ["plain words", "", HEX], ["a", "b", f"{HEX} tail"], [HEX] * 4, [None, "", HEX, "", None, f"x {HEX}", "abc"], [f"{HEX} ", "", "", HEX, ""], ["a" * 15, "b" * 15, base64.b64encode(b"say token=abcdefghij").decode().rstrip("=")]])
+def test_rows_do_not_depend_on_their_neighbours(texts):
+    """Batches with empty rows and rows of one token, whole and sliced, against each row alone."""
+    alone = [next(S.scan(pa.array([t], pa.string()))) for t in texts]
+    assert [a[1] for a in alone] == [brute(t) for t in texts]
+    together = list(S.scan(pa.array(["before", *texts], pa.string()).slice(1)))
+    assert [r[1:] for r in together] == [r[1:] for r in alone]
+    assert [r[1:] for r in S.scan(pa.array(texts, pa.string()))] == [r[1:] for r in alone]
+
+
 def test_query_columns(odd, make):
     docs = make([(1, f"t {KEY} token=abcdefgh 0123456789abcdef01234567"), (2, None)]).union(odd)
     rows = S.secrets(docs).collect()
