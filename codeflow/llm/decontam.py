@@ -6,7 +6,8 @@ into one table per block finds every item within the radius of BLOCKS - 1 bits (
 differ on average with a deviation of 6, so the radius lies 4 deviations off). Items found are held against the window
 by the exact weighted Jaccard similarity of the shingles, weights being their counts. Windows of which too few shingles
 occur in items of its size cannot reach the similarity (at least 2t/(1+t) of the shingles must be shared), and get no
-fingerprint; that loses none. The benchmark is read in blocks of a fixed number of items, each a pass over the documents.
+fingerprint; that loses none. A document with fewer words than an item is held against it as a whole: the items that
+share enough of its shingles are looked up exactly. The benchmark is read in blocks of a fixed number of items, each a pass over the documents.
 
 Defined results: null and empty texts and items without a word match nothing; an item of fewer than five words is one
 shingle of its whole sequence; repeated items match under each of their ids; a null item_id is left out; repeated rows
@@ -80,9 +81,11 @@ class Tables:
 
 @dataclass
 class Index:
-    """Items in arrays: some 400 bytes and 10 for each shingle, whatever is asked."""
+    """Items in arrays: some 600 bytes and 50 for each shingle, whatever is asked."""
 
     ids: np.ndarray
+    words_of: np.ndarray
+    prints: np.ndarray  # packed bits
     at: np.ndarray  # where each item's weights begin
     keys: np.ndarray
     counts: np.ndarray
@@ -90,6 +93,8 @@ class Index:
     known: np.ndarray  # all shingles, sorted
     sizes_at: np.ndarray  # where each shingle's sizes begin
     sizes: np.ndarray  # the sizes of the items that hold it
+    holders_at: np.ndarray  # where each shingle's items begin
+    holders: np.ndarray  # the items that hold it
 
     def weights(self, item: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.at[item], self.at[item + 1])
@@ -99,6 +104,17 @@ class Index:
         k = int(np.searchsorted(self.known, np.uint64(shingle)))
         return self.sizes[self.sizes_at[k] : self.sizes_at[k + 1]].tolist()
 
+    def like(self, weights: tuple[np.ndarray, np.ndarray], beyond: int, k: int, least: float) -> list[tuple[int, float]]:
+        """(item, similarity) of all items of more than ``beyond`` words, at least k, that reach the similarity."""
+        at = np.searchsorted(self.known, weights[0])
+        items = np.concatenate([np.zeros(0, np.int32), *(self.holders[self.holders_at[x] : self.holders_at[x + 1]] for x in at[np.isin(weights[0], self.known)].tolist())])
+        items, shared = np.unique(items, return_counts=True)
+        words_of, own, distinct = self.words_of[items], int(weights[1].sum()), len(weights[0])
+        # of the distinct shingles at most own - distinct more are shared by weight
+        maybe = (words_of >= max(k, beyond + 1)) & (shared + own - distinct >= least / (1 + least) * (own + words_of - k + 1) - 1e-9)
+        found = [(x, weighted_similarity(weights, self.weights(x))) for x in items[maybe].tolist()]
+        return [(x, like) for x, like in found if like >= least - 1e-12]
+
 
 def build(rows: list[tuple[int, str]], k: int) -> Index:
     data, off = flat(pa.array([t for _, t in rows], pa.string()))
@@ -115,15 +131,19 @@ def build(rows: list[tuple[int, str]], k: int) -> Index:
     at = np.concatenate([[0], np.cumsum([len(w[0]) for w in weights])]).astype(np.int64)
     keys, counts = np.concatenate([np.zeros(0, np.uint64), *(w[0] for w in weights)]), np.concatenate([np.zeros(0, np.int64), *(w[1] for w in weights)]).astype(np.int32)
     tables, size = {}, np.array(words_of, np.int64)
+    packed = np.stack([np.packbits(x) for x in prints]) if prints else np.zeros((0, BITS // 8), np.uint8)
     for m in np.unique(size).tolist():
         items = np.flatnonzero(size == m)
         values = np.array([blocks_of(prints[x]) for x in items])
         order = np.argsort(values, axis=0, kind="stable").T
         bounds = np.stack([np.searchsorted(np.sort(values[:, j]), np.arange((1 << BITS // BLOCKS) + 1)) for j in range(BLOCKS)])
-        tables[m] = Tables(items, np.stack([np.packbits(prints[x]) for x in items]), np.ascontiguousarray(order), bounds)
+        tables[m] = Tables(items, packed[items], np.ascontiguousarray(order), bounds)
     pairs = np.unique(np.stack([keys, np.repeat(size, np.diff(at)).astype(np.uint64)], 1), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
     known, sizes_at = np.unique(pairs[:, 0], return_index=True)
-    return Index(np.array(ids, np.int64), at, keys, counts, tables, known, np.concatenate([sizes_at, [len(pairs)]]), pairs[:, 1].astype(np.int64))
+    order = np.argsort(keys, kind="stable")
+    holders = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at))[order]
+    holders_at = np.concatenate([np.searchsorted(keys[order], known), [len(keys)]])
+    return Index(np.array(ids, np.int64), size, packed, at, keys, counts, tables, known, np.concatenate([sizes_at, [len(pairs)]]), pairs[:, 1].astype(np.int64), holders_at, holders)
 
 
 def _short(h: np.ndarray, k: int) -> np.ndarray:
@@ -132,7 +152,8 @@ def _short(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, float, int]]:
-    """(row, item, begin byte, end byte, similarity, bits that differ): the best window of each item in each row."""
+    """(row, item, begin byte, end byte, similarity, bits that differ): the best window of each item in each row,
+    which is the whole row where the item has more words."""
     filter_ = np.zeros(1 << 20, bool)
     filter_[(index.known >> np.uint64(44)).astype(np.int64)] = True
     brief = sorted(n for n in index.tables if n < k)
@@ -177,6 +198,13 @@ def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarr
                         like = weighted_similarity(weights, index.weights(x))
                         if like >= least - 1e-12 and (x not in best or (-like, c) < (-best[x][0], best[x][1])):
                             best[x] = (like, c, n, differ)
+            longest = k - 1 + int((n_words - k + 1) / least + 1e-9)  # words of the longest item that the whole row can be like
+            whole = [n for n in where if n_words < n <= longest]
+            if n_words >= k and any(len(where[n]) >= least * (n - k + 1) - 1e-9 for n in whole):
+                bits = None
+                for x, like in index.like(_weights(own), n_words, k, least):
+                    bits = np.packbits(fingerprint(own)) if bits is None else bits
+                    best[x] = (like, 0, n_words, int(np.bitwise_count(index.prints[x] ^ bits).sum()))
             for x, (like, c, n, differ) in sorted(best.items()):
                 yield a + i, int(index.ids[x]), int(starts[first[i] + c] - at[i]), int(ends[first[i] + c + n - 1] - at[i]), like, differ
 

@@ -88,3 +88,35 @@ def test_several_passes(spark, make, prose, monkeypatch):
     docs = make([(i, "x y z " + prose(20, 500 + i)) for i in range(5)] + [(9, prose(80, 9))])
     assert sorted((r["doc_id"], r["item_id"]) for r in D.contaminated(docs, bench).collect()) == [(i, i) for i in range(5)]
     assert [r["doc_id"] for r in D.drop_contaminated(docs, bench).collect()] == [9]
+
+
+def brute_whole(docs, items, k, least):
+    """The whole text against the items that have more words."""
+    like = {(i, item): round(similarity(weights(D_words(t), k), weights(D_words(text), k)), 9) for i, text in docs for item, t in items if len(D_words(t)) > len(D_words(text)) > 0}
+    return {x: n for x, n in like.items() if n >= least - 1e-12}
+
+
+def test_documents_shorter_than_an_item(spark, make, prose):
+    items = [(i, prose(n, 3000 + i)) for i, n in enumerate([60, 50, 20, 9, 10, 6, 40, 60])] + [(8, "one two"), (9, " ".join(["same words again"] * 12)), (10, prose(60, 3000))]
+    docs = []
+    for _, text in items:
+        w = text.split()
+        for n in range(1, len(w)):
+            docs += [w[n:], w[:-n], w[n // 2 : len(w) - (n + 1) // 2]]
+        docs += [w[: len(w) // 2] + w[len(w) // 2 + 1 :], w[: len(w) // 2] + ["changed"] + w[len(w) // 2 + 2 :]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    want = brute(docs, items, 5, 0.8) | brute_whole(docs, items, 5, 0.8)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = D.contaminated(make(docs), bench).collect()
+    assert {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in rows} == want and len(rows) == len(want)
+    assert {0, 1, 4, 9, 10} <= {item for _, item in brute_whole(docs, items, 5, 0.8)}
+    assert all((x["start"], x["end"]) == (0, len(docs[x["doc_id"]][1])) for x in rows if len(D_words(docs[x["doc_id"]][1])) < len(D_words(items[x["item_id"]][1])))
+    assert {x["doc_id"] for x in D.drop_contaminated(make(docs), bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_one_word_cut_off_or_deleted(spark, make, prose):
+    a, b = prose(60, 4000), prose(50, 4001).split()
+    docs = make([(1, a.rsplit(" ", 1)[0]), (2, " ".join(b[:25] + b[26:])), (3, prose(59, 4002))])
+    bench = spark.createDataFrame([(1, a), (2, " ".join(b))], "item_id long, text string")
+    assert sorted((x["doc_id"], x["item_id"], round(x["similarity"], 2)) for x in D.contaminated(docs, bench).collect()) == [(1, 1, 0.98), (2, 2, 0.82)]
+    assert [x["doc_id"] for x in D.drop_contaminated(docs, bench).collect()] == [3]
