@@ -1,8 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 The text itself is the first layer. Every layer is scanned for secrets and for encoded stretches: percent-encoded bytes
-and Unicode escapes are unwrapped in place, Base64 runs become layers of their own, unpacked if they hold gzip, zlib,
-bzip2, xz or Zstandard data. New layers join the worklist until none is left; a layer whose content was seen before
+and Unicode escapes are unwrapped in place, Base64 runs become layers of their own, unpacked for as long as they hold gzip,
+zlib, bzip2, xz or Zstandard data. New layers join the worklist until none is left; a layer whose content was seen before
 at the same place of the text is not taken again, so cycles end and repeated stretches all count. Each character of a layer knows the stretch of the original text that it
 comes from, so every span found maps back.
 
@@ -171,11 +171,13 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        packed = unpack(raw)
-        text = _readable(raw if packed is None else packed)
+        unpacked = {raw}
+        while (inner := unpack(raw)) is not None and inner not in unpacked:
+            unpacked.add(raw := inner)
+        text = _readable(raw)
         if text is None:
             continue
-        if packed is None:
+        if len(unpacked) == 1:
             first = np.cumsum([0, *(len(c.encode()) for c in text)])  # bytes of each character: 3 of them come of 4 signs
             a, b = m.start() + first[:-1] * 4 // 3, np.minimum(m.start() + -(-first[1:] * 4 // 3), m.end()) - 1
             yield Layer(text, layer.begin[a], layer.end[b])

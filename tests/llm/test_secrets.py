@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -44,6 +45,24 @@ def test_packed_layers(pack):
     assert all(start <= a < b <= start + len(run) for a, _, b in added)
 
 
+PACKS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress]
+
+
+@pytest.mark.parametrize("packs", [*itertools.product(PACKS, PACKS), (gzip.compress, bz2.compress, lzma.compress, zlib.compress), (gzip.compress,) * 6])
+def test_packed_in_packed(packs):
+    raw = f"éé secret=topsecret99 and {KEY} in plain words".encode()
+    for pack in packs:
+        raw = pack(raw)
+    run = base64.b64encode(raw).decode()
+    ((_, base, every),) = S.scan(pa.array([f"ünder {run} end"]))
+    assert {(a, k, b) for a, k, b in every if (a, k, b) not in base} == {(6, 0, 6 + len(run)), (6, 1, 6 + len(run))}
+
+
+def test_unpacking_cycles_end(monkeypatch):
+    monkeypatch.setattr(S, "unpack", lambda raw: raw[1:] + raw[:1])
+    assert S.all_spans(base64.b64encode(b"\x01\x02 turns round for ever").decode(), []) == []
+
+
 def test_nested_and_mapped():
     text = "x %2541%254b%2549%2541IOSFODNN7EXAMPLE1 " + quote(base64.b64encode(b"say token=abcdefghij").decode() + "==", safe="") + " \\u0041KIAIOSFODNN7EXAMPLE2"
     ((_, base, every),) = S.scan(pa.array([text]))
