@@ -2,7 +2,8 @@
 
 The text itself is the first layer. Every layer is scanned for secrets and for encoded stretches: percent-encoded bytes
 and Unicode escapes are unwrapped in place, Base64 runs become layers of their own, unpacked for as long as they hold gzip,
-zlib, bzip2, xz or Zstandard data. New layers join the worklist until none is left; a layer whose content was seen before
+zlib, bzip2, xz or Zstandard data; lines wrapped at one width of 16 signs or more are one run as well, and of a run that
+cannot be read the parts behind '/', '-' or '_' are tried. New layers join the worklist until none is left; a layer whose content was seen before
 at the same place of the text is not taken again, so cycles end and repeated stretches all count. Each character of a layer knows the stretch of the original text that it
 comes from, so every span found maps back.
 
@@ -15,7 +16,6 @@ job); nothing else is bounded. Only doc_id and text are read, so further columns
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -42,7 +42,14 @@ MAX_UNPACKED = 32 << 20
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Signs of the standard and of the URL alphabet, and those among them that also stand before a stretch.
+_ALPHABETS = [(re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile("/")), (re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile("[-_]"))]
+#: Lines of Base64, each but the first with nothing else before it, and each but the last with nothing behind it.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_UNREADABLE = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\udc80-\\udcff]")
+_MAGIC = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78]")
 _B64_BYTE = np.zeros(256, bool)
 _B64_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 47, 45, 95]] = True
 
@@ -159,30 +166,92 @@ def _escapes(text: str) -> Iterator[tuple[int, int, str]]:
                     i += 1
 
 
+def _bytes(signs: str) -> bytes:
+    """What the signs of either alphabet stand for."""
+    body = signs.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+
+
+def _content(raw: bytes) -> tuple[str | None, bool]:
+    """The readable text of bytes, and whether it was packed."""
+    unpacked = {raw}
+    while (inner := unpack(raw)) is not None and inner not in unpacked:
+        unpacked.add(raw := inner)
+    return _readable(raw), len(unpacked) > 1
+
+
+def _tails(signs: str, separator: re.Pattern[str]) -> Iterator[tuple[int, str, bool]]:
+    """(first sign, text, whether packed) of the parts behind a separator that can be read to their end. Parts that begin
+    in step share their bytes, so the signs are decoded four times at most, and of the parts in step the longest counts."""
+    steps: dict[int, list[int]] = {}
+    for m in separator.finditer(signs):
+        if len(signs) - m.end() >= 16:
+            steps.setdefault(m.end() % 4, []).append(m.end())
+    for step, begins in steps.items():
+        raw = _bytes(signs[step:])
+        text = raw.decode("utf-8", "surrogateescape")
+        text = text[max((m.end() for m in _UNREADABLE.finditer(text)), default=0) :]
+        least = len(raw) - len(text.encode())  # all that can be read to the end begins from here
+        for at in begins:
+            i = (at - step) // 4 * 3
+            if _MAGIC.match(raw, i):
+                inner, packed = _content(raw[i:])
+                if packed and inner is not None:
+                    yield at, inner, True
+            if least <= i < len(raw) and raw[i] & 0xC0 != 0x80:
+                yield at, raw[i:].decode(), False
+                least = len(raw)
+
+
+def _contents(signs: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(first sign, end, text, whether packed) of the stretches of one alphabet, or of their readable parts."""
+    seen = set()
+    for alphabet, separator in _ALPHABETS:
+        for m in alphabet.finditer(signs):
+            text, packed = (None, False) if m.span() in seen else _content(_bytes(m[0]))
+            seen.add(m.span())
+            if text is not None:
+                yield *m.span(), text, packed
+            else:
+                yield from ((m.start() + at, m.end(), *found) for at, *found in _tails(m[0], separator))
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Signs of both alphabets and where each stands: runs, and lines wrapped at one width, of which the last may be
+    shorter (it is left out too) and the first may have more before it."""
+    for m in _RUN.finditer(text):
+        yield m[0], np.arange(*m.span())
+    for block in _WRAPPED.finditer(text):
+        lines = [m.span() for m in _LINE.finditer(text, *block.span())]
+        lines[-1], wide = (lines[-1][0], block.end()), [b - a for a, b in lines]
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and wide[j] == wide[i]:
+                j += 1
+            if wide[i] >= 16:
+                for first in {i, 0 if i == 1 and wide[0] > wide[1] else i}:
+                    for last in [j, j + 1] if j < len(lines) and wide[j] < wide[i] else [j]:
+                        if last - first > 1:
+                            part = lines[first:last]
+                            yield "".join(text[a:b] for a, b in part), np.concatenate([np.arange(a, b) for a, b in part])
+            i = j
+
+
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
     for find in (_percent, _escapes):
         if parts := [p for p in find(layer.text) if p[1] > p[0]]:
             yield layer.replaced(parts)
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        unpacked = {raw}
-        while (inner := unpack(raw)) is not None and inner not in unpacked:
-            unpacked.add(raw := inner)
-        text = _readable(raw)
-        if text is None:
-            continue
-        if len(unpacked) == 1:
-            first = np.cumsum([0, *(len(c.encode()) for c in text)])  # bytes of each character: 3 of them come of 4 signs
-            a, b = m.start() + first[:-1] * 4 // 3, np.minimum(m.start() + -(-first[1:] * 4 // 3), m.end()) - 1
-            yield Layer(text, layer.begin[a], layer.end[b])
-        else:
-            yield Layer(text, np.full(len(text), layer.begin[m.start()]), np.full(len(text), layer.end[m.end() - 1]))
+    for signs, place in _runs(layer.text):
+        for a, b, text, packed in _contents(signs):
+            own = place[a:b]
+            if packed:
+                yield Layer(text, np.full(len(text), layer.begin[own[0]]), np.full(len(text), layer.end[own[-1]]))
+            else:
+                first = np.cumsum([0, *(len(c.encode()) for c in text)])  # bytes of each character: 3 of them come of 4 signs
+                yield Layer(text, layer.begin[own[first[:-1] * 4 // 3]], layer.end[own[np.minimum(-(-first[1:] * 4 // 3), len(own)) - 1]])
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:

@@ -63,6 +63,50 @@ def test_unpacking_cycles_end(monkeypatch):
     assert S.all_spans(base64.b64encode(b"\x01\x02 turns round for ever").decode(), []) == []
 
 
+def wrapped(raw, width=76, end="\n"):
+    run = base64.b64encode(raw).decode()
+    return end.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+WORDS = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:9] for i in range(30))
+
+
+@pytest.mark.parametrize("pack", [lambda b: b, *PACKS])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("frame", ["{}", "before {} after", "before {}\nafter", "before\n{}\n\nafter", "cert: {}", "id-{}", "some/path/{} x"])
+@pytest.mark.parametrize("size", [40, 95, 171, 228])
+def test_wrapped_lines(pack, end, frame, size):
+    raw = WORDS[:size].encode() + b" secret=topsecret99abcdefghijklmnopqrstuvwxyzabcdefghijk and " + KEY.encode() + b" end"
+    run = wrapped(pack(raw), end=end)
+    text = frame.format(run)
+    ((_, base, every),) = S.scan(pa.array([text]))
+    start = text.index(run)
+    inside = [(k, text[a:b]) for a, k, b in every if (a, k, b) not in base and start <= a < b <= start + len(run)]
+    if pack in PACKS:
+        assert (0, run) in inside and (1, run) in inside
+    else:
+        want = len("secret=topsecret99abcdefghijklmnopqrstuvwxyzabcdefghijk")
+        assert max(len("".join(x.split())) for k, x in inside if k == 0) * 3 // 4 >= want
+        assert any(k == 1 for k, _ in inside)
+
+
+@pytest.mark.parametrize("before", ["id-", "/x/y/", "a_b_", "x/y-z_", "k-1/", "/some-long_path/of/many-parts/"])
+@pytest.mark.parametrize("pack", [lambda b: b, *PACKS])
+def test_run_behind_a_separator(before, pack):
+    for n in range(8):
+        run = base64.b64encode(pack(("é?>" * n + f" say token=abcdefghij{n} {KEY}").encode())).decode()
+        text = f"at {before}{run} end"
+        ((_, base, every),) = S.scan(pa.array([text]))
+        start = text.index(run)
+        assert {0, 1} <= {k for a, k, b in set(every) - set(base) if start <= a < b <= start + len(run)}, n
+
+
+def test_long_unreadable_run():
+    run = base64.b64encode(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(20_000))).decode()
+    assert S.all_spans(run, []) == []
+    assert S.all_spans(wrapped(base64.b64decode(run)), []) == []
+
+
 def test_nested_and_mapped():
     text = "x %2541%254b%2549%2541IOSFODNN7EXAMPLE1 " + quote(base64.b64encode(b"say token=abcdefghij").decode() + "==", safe="") + " \\u0041KIAIOSFODNN7EXAMPLE2"
     ((_, base, every),) = S.scan(pa.array([text]))
