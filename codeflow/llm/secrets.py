@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +79,8 @@ def _readable(raw: bytes) -> str | None:
     return text if text and all(c >= " " or c in "\t\n\r" for c in text) and "\x7f" not in text else None
 
 
-def unpack(raw: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2, xz or Zstandard data hold."""
+def _member(raw: bytes) -> tuple[bytes, bytes] | None:
+    """What the first member of gzip, zlib, bzip2, xz or Zstandard data holds, and the data behind it."""
     try:
         if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
             d = zlib.decompressobj(47)
@@ -91,14 +92,27 @@ def unpack(raw: bytes) -> bytes | None:
             d = lzma.LZMADecompressor()
             out, ended = d.decompress(raw, MAX_UNPACKED), d.eof
         elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out, ended = zstandard.ZstdDecompressor().decompress(raw, max_output_size=MAX_UNPACKED), True
+            out = zstandard.ZstdDecompressor().decompress(raw, max_output_size=MAX_UNPACKED)
+            d, ended = zstandard.ZstdDecompressor().decompressobj(), True
+            d.decompress(raw)
         else:
             return None
     except Exception:  # broken data of any format: nothing is packed here
         return None
-    return out if ended else None
+    return (out, d.unused_data) if ended else None
+
+
+def unpack(raw: bytes) -> bytes | None:
+    """What gzip, zlib, bzip2, xz or Zstandard data hold, in all members of one format."""
+    if (found := _member(raw)) is None:
+        return None
+    out, size, magic = [found[0]], len(found[0]), raw[:3]
+    while (rest := found[1].lstrip(b"\0"))[:3] == magic and (found := _member(rest)) is not None:
+        out.append(found[0])
+        size += len(found[0])
+        if size > MAX_UNPACKED:
+            return None
+    return b"".join(out)
 
 
 class Layer:

@@ -10,6 +10,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pytest
+import zstandard
 
 from codeflow.llm import secrets as S
 
@@ -63,6 +64,15 @@ def test_unpacking_cycles_end(monkeypatch):
     assert S.all_spans(base64.b64encode(b"\x01\x02 turns round for ever").decode(), []) == []
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+@pytest.mark.parametrize("between", [b"", b"\0" * 8])
+def test_all_members(pack, between):
+    raw = between.join(pack(t) for t in (b"some plain words ", b"say token=", b"abcdefghij end")) + b"tail"
+    assert S.unpack(raw) == b"some plain words say token=abcdefghij end"
+    assert [k for _, k, _ in S.all_spans("x " + base64.b64encode(raw).decode(), [])] == [0]
+    assert S.unpack(pack(b"one") + pack(b"two")[:-5]) == b"one" and S.unpack(pack(b"one")[:-5]) is None
+
+
 def wrapped(raw, width=76, end="\n"):
     run = base64.b64encode(raw).decode()
     return end.join(run[i : i + width] for i in range(0, len(run), width))
