@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of (long) keys may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a side may be broadcast, and their bytes; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Bytes of text that the Python side works on at once.
 PIECE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python at most (a longer row is a batch of its own).
@@ -27,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where none is set, a local master gets a temporary one, and
+    any other is an error: executors of several machines don't share a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="codeflow-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -46,14 +50,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is (the join then shuffles)."""
+def small(df: DataFrame, most: int = BROADCAST_ROWS, row_bytes: int = 64) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows and, at ``row_bytes`` each, at most BROADCAST_BYTES;
+    else as it is (the join then shuffles)."""
+    most = min(most, BROADCAST_BYTES // row_bytes)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def joined(rows: DataFrame, table: DataFrame, on: list[str], size: str, how: str = "inner", hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key; its column ``size`` says how many rows have the key, and goes). Keys of
+    more than ``hot`` rows, of which there are few, are joined by broadcast, so that no task gets all rows of a key."""
+    few = table.filter(F.col(size) > hot)
+    if (few_ := small(few)) is few or few.isEmpty():  # a join that has to shuffle all, or no hot key
+        return rows.join(small(table.drop(size)), on, how)
+    heads, rest = few_.drop(size), table.filter(F.col(size) <= hot).drop(size)
+    return rows.join(heads, on).unionByName(rows.join(F.broadcast(few.select(on)), on, "left_anti").join(small(rest), on, how))
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, whose session from now on sends Arrow batches of BATCH_BYTES at most, so that the memory of a Python worker
-    does not depend on the length of the texts. A smaller setting stays."""
+    does not depend on the length of the texts. A smaller setting stays. (Plans run when their results are asked for, so the
+    setting can't be taken back here.)"""
     key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     now = conf.get(key).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:

@@ -9,19 +9,21 @@ comes from, so every span found maps back.
 
 Defined results: a null text counts as empty; an empty text has no span; a null doc_id stays null; repeated rows are
 scanned each; equal spans of one kind count once; spans are ordered by start, kind (assign, access, hex), end; an empty
-table gives an empty result. Unpacked data over ``MAX_UNPACKED`` bytes stay packed (a decompression bomb must not stop a
-job); nothing else is bounded. Only doc_id and text are read, so further columns may have any name.
+table gives an empty result. Nothing is dropped for its size: unpacked data of any length are scanned, those over ``BLOCK``
+bytes as a stream (a decompression bomb takes time, not memory). Only doc_id and text are read, so further columns may have
+any name.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ PATTERNS = {
     "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
 }
 KINDS = list(PATTERNS)
-#: Bytes that one packed stretch may unpack to.
-MAX_UNPACKED = 32 << 20
+#: Unpacked bytes that are held at once; longer data are read as a stream, block by block.
+BLOCK = 4 << 20
+#: Bytes that a block without any sign to cut at takes from the one before.
+OVERLAP = 64 << 10
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
@@ -50,6 +54,8 @@ _ALPHABETS = [(re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile("/")), (re.co
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _UNREADABLE = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\udc80-\\udcff]")
+#: Signs that stand in no secret and in no encoded stretch.
+_BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:"'\s%\\{}-]""")
 _MAGIC = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78]")
 _B64_BYTE = np.zeros(256, bool)
 _B64_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 47, 45, 95]] = True
@@ -76,43 +82,145 @@ def _readable(raw: bytes) -> str | None:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and all(c >= " " or c in "\t\n\r" for c in text) and "\x7f" not in text else None
-
-
-def _member(raw: bytes) -> tuple[bytes, bytes] | None:
-    """What the first member of gzip, zlib, bzip2, xz or Zstandard data holds, and the data behind it."""
+    return text if text and not _UNREADABLE.search(text) else None
+
+
+_ZSTANDARD = type(zstandard.ZstdDecompressor().decompressobj())
+_PIECE = 1 << 20
+
+
+class _Broken(Exception):
+    """Data that are not packed, or whose first member has no end."""
+
+
+class _Member:
+    """One member of packed data, unpacked in bounded pieces; ``eof`` and ``unused_data`` as usual."""
+
+    def __init__(self, d):
+        self.d, self.eof, self.unused_data = d, False, b""
+
+    def steps(self, data: bytes) -> Iterator[bytes]:
+        if isinstance(self.d, _ZSTANDARD):  # its output has no bound, so it gets little at a time
+            for i in range(0, len(data), 64):
+                piece = self.d.decompress(data[i : i + 64])
+                if self.d.eof:
+                    self.eof, self.unused_data = True, self.d.unused_data + data[i + 64 :]
+                yield piece
+                if self.eof:
+                    return
+            return
+        piece = self.d.decompress(data, _PIECE)
+        while True:
+            yield piece
+            if self.d.eof:
+                self.eof, self.unused_data = True, self.d.unused_data
+                return
+            data = getattr(self.d, "unconsumed_tail", b"")
+            if not data and getattr(self.d, "needs_input", True):
+                return
+            piece = self.d.decompress(data, _PIECE)
+
+
+def _member(head: bytes) -> _Member | None:
+    """For data that begin so, or None."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0):
+        return _Member(zlib.decompressobj(47))
+    if head[:3] == b"BZh":
+        return _Member(bz2.BZ2Decompressor())
+    if head[:6] == b"\xfd7zXZ\x00":
+        return _Member(lzma.LZMADecompressor())
+    return _Member(zstandard.ZstdDecompressor().decompressobj()) if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _unpacked(source: Iterator[bytes]) -> Iterator[bytes | None]:
+    """What gzip, zlib, bzip2, xz or Zstandard data hold, all members of one format, in pieces, and None after each member.
+    Data behind the members, and a later member that breaks off, end it."""
+    data, magic = b"", b""
+    while True:
+        while len(data) < 6 and (more := next(source, None)) is not None:
+            data = (data + more).lstrip(b"\0") if magic else data + more
+        if (d := _member(data)) is None or (magic and data[:3] != magic):
+            if magic:
+                return
+            raise _Broken
+        first, magic = not magic, data[:3]
+        try:
+            while True:
+                yield from d.steps(data)
+                if d.eof:
+                    break
+                if (data := next(source, None)) is None:
+                    raise EOFError
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError) as e:
+            if first:
+                raise _Broken from e
+            return
+        yield None
+        data = d.unused_data.lstrip(b"\0")
+
+
+Source = Callable[[], Iterator[bytes]]
+
+
+def _first(source: Source, size: int) -> Iterator[bytes]:
+    """The first ``size`` bytes of what the source holds packed."""
+    for piece in _unpacked(source()):
+        if piece and size:
+            yield piece[:size]
+            size -= min(size, len(piece))
+
+
+def _opened(source: Source) -> tuple[Source, bytes] | None:
+    """What all whole members of a source hold, as a source, and its digest; None if it holds no packed data."""
+    held, size, whole, digest, found = [], 0, 0, hashlib.blake2b(digest_size=16), b""
     try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out, ended = d.decompress(raw, MAX_UNPACKED), d.eof
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out, ended = d.decompress(raw, MAX_UNPACKED), d.eof
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-            out, ended = d.decompress(raw, MAX_UNPACKED), d.eof
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().decompress(raw, max_output_size=MAX_UNPACKED)
-            d, ended = zstandard.ZstdDecompressor().decompressobj(), True
-            d.decompress(raw)
-        else:
-            return None
-    except Exception:  # broken data of any format: nothing is packed here
+        for piece in _unpacked(source()):
+            if piece is None:
+                whole, found = size, digest.digest()
+                continue
+            size += len(piece)
+            digest.update(piece)
+            if size <= BLOCK:
+                held.append(piece)
+            else:
+                held.clear()
+    except _Broken:
         return None
-    return (out, d.unused_data) if ended else None
+    raw = b"".join(held)[:whole]
+    return (lambda: iter([raw])) if size <= BLOCK else (lambda: _first(source, whole)), found
 
 
 def unpack(raw: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2, xz or Zstandard data hold, in all members of one format."""
-    if (found := _member(raw)) is None:
-        return None
-    out, size, magic = [found[0]], len(found[0]), raw[:3]
-    while (rest := found[1].lstrip(b"\0"))[:3] == magic and (found := _member(rest)) is not None:
-        out.append(found[0])
-        size += len(found[0])
-        if size > MAX_UNPACKED:
-            return None
-    return b"".join(out)
+    """What packed data hold, in memory."""
+    return None if (found := _opened(lambda: iter([raw]))) is None else b"".join(found[0]())
+
+
+def _texts(source: Source) -> Iterator[str]:
+    """The text of a source, if all of it can be read: whole, or in blocks of about BLOCK characters that end where no secret
+    and no encoded stretch can go on. (Where a block has no such place, the next one repeats its last OVERLAP signs; parts
+    of a secret of that length are secrets of the same kind.)"""
+
+    def pieces() -> Iterator[str]:
+        decoder = codecs.getincrementaldecoder("utf-8")()
+        for piece in source():
+            yield decoder.decode(piece)
+        yield decoder.decode(b"", True)
+
+    try:
+        if any(_UNREADABLE.search(text) for text in pieces()):
+            return
+    except UnicodeDecodeError:
+        return
+    held = ""
+    for text in pieces():
+        held += text
+        while len(held) > BLOCK:
+            cuts = [m.end() for m in _BREAK.finditer(held, BLOCK // 2, BLOCK)]
+            at = cuts[-1] if cuts else BLOCK
+            yield held[:at]
+            held = held[at if cuts else at - OVERLAP :]
+    if held:
+        yield held
 
 
 class Layer:
@@ -188,12 +296,16 @@ def _bytes(signs: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
 
 
-def _content(raw: bytes) -> tuple[str | None, bool]:
-    """The readable text of bytes, and whether it was packed."""
-    unpacked = {raw}
-    while (inner := unpack(raw)) is not None and inner not in unpacked:
-        unpacked.add(raw := inner)
-    return _readable(raw), len(unpacked) > 1
+def _content(raw: bytes) -> tuple[Iterator[str], bool]:
+    """The readable text of bytes (in blocks, if it is long; none, if it can't be read), and whether it was packed."""
+    if _member(raw) is None or (found := _opened(lambda: iter([raw]))) is None:
+        return iter([text] if (text := _readable(raw)) is not None else []), False
+    seen = set()
+    while found is not None and found[1] not in seen:  # packed data inside packed data
+        source, digest = found
+        seen.add(digest)
+        found = _opened(source)
+    return _texts(source), True
 
 
 def _tails(signs: str, separator: re.Pattern[str]) -> Iterator[tuple[int, str, bool]]:
@@ -212,8 +324,8 @@ def _tails(signs: str, separator: re.Pattern[str]) -> Iterator[tuple[int, str, b
             i = (at - step) // 4 * 3
             if _MAGIC.match(raw, i):
                 inner, packed = _content(raw[i:])
-                if packed and inner is not None:
-                    yield at, inner, True
+                if packed:
+                    yield from ((at, text, True) for text in inner)
             if least <= i < len(raw) and raw[i] & 0xC0 != 0x80:
                 yield at, raw[i:].decode(), False
                 least = len(raw)
@@ -224,11 +336,13 @@ def _contents(signs: str) -> Iterator[tuple[int, int, str, bool]]:
     seen = set()
     for alphabet, separator in _ALPHABETS:
         for m in alphabet.finditer(signs):
-            text, packed = (None, False) if m.span() in seen else _content(_bytes(m[0]))
+            texts, packed = (iter(()), False) if m.span() in seen else _content(_bytes(m[0]))
             seen.add(m.span())
-            if text is not None:
+            none = True
+            for text in texts:
+                none = False
                 yield *m.span(), text, packed
-            else:
+            if none:
                 yield from ((m.start() + at, m.end(), *found) for at, *found in _tails(m[0], separator))
 
 
@@ -272,14 +386,16 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
     """The base spans and those of every layer below, as stretches of the text."""
     found = set(base)
     begin = np.arange(len(text))
-    work = [Layer(text, begin, begin + 1)]
-    seen = {work[0].key()}
-    while work:
-        for new in _unwrapped(work.pop()):
-            if new.text and (key := new.key()) not in seen:
-                seen.add(key)
-                found |= {(int(new.begin[a]), kind, int(new.end[b - 1])) for a, kind, b in base_spans(new.text)}
-                work.append(new)
+    first = Layer(text, begin, begin + 1)
+    seen, work = {first.key()}, [_unwrapped(first)]
+    while work:  # depth first: of each layer above, only the place where it was left is kept
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+        elif new.text and (key := new.key()) not in seen:
+            seen.add(key)
+            found |= {(int(new.begin[a]), kind, int(new.end[b - 1])) for a, kind, b in base_spans(new.text)}
+            work.append(_unwrapped(new))
     return sorted(found)
 
 

@@ -60,7 +60,12 @@ def test_packed_in_packed(packs):
 
 
 def test_unpacking_cycles_end(monkeypatch):
-    monkeypatch.setattr(S, "unpack", lambda raw: raw[1:] + raw[:1])
+    def turned(source):
+        raw = b"".join(source())
+        return (lambda: iter([raw[1:] + raw[:1]])), raw
+
+    monkeypatch.setattr(S, "_opened", turned)
+    monkeypatch.setattr(S, "_member", lambda raw: True)
     assert S.all_spans(base64.b64encode(b"\x01\x02 turns round for ever").decode(), []) == []
 
 
@@ -182,3 +187,30 @@ def test_redact(make, odd):
     rows = {(r["doc_id"], r["text"]): r for r in left.collect()}
     assert (1, "é [SECRET] [SECRET] end") in rows and rows[(1, "é [SECRET] [SECRET] end")]["n_chars"] == 23
     assert (2, "clean text") in rows and left.count() == docs.count()
+
+
+@pytest.mark.parametrize("pack", [*PACKS, zstandard.compress])
+def test_long_unpacked_data_are_scanned_as_a_stream(pack, monkeypatch):
+    """The same spans whether the data fit a block or not, with secrets on every border of the blocks."""
+    plain = b"".join(b"line %d, some plain words; " % i for i in range(400))
+    for at in range(0, 9000, 450):
+        raw = plain[:at] + f" secret=topsecret99 then {KEY} and {base64.b64encode(b'inner token=abcdefghij').decode()} ".encode() + plain[at:]
+        text = "x " + base64.b64encode(pack(pack(raw))).decode() + " y"
+        monkeypatch.setattr(S, "BLOCK", 4 << 20)
+        whole = S.all_spans(text, [])
+        monkeypatch.setattr(S, "BLOCK", 1024)
+        assert S.all_spans(text, []) == whole and {k for _, k, _ in whole} == {0, 1}
+
+
+def test_a_bomb_takes_no_memory():
+    """Readable data that unpack to 256 MB, and data that cannot be read."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    raw = b"plain words; " * (1 << 20)
+    d = zlib.compressobj(9)
+    bomb = b"".join([*(d.compress(raw) for _ in range(4)), d.compress(b" token=abcdefghij "), d.flush()])
+    text = base64.b64encode(bomb).decode()
+    assert [k for _, k, _ in S.all_spans(text, [])] == [0]
+    assert S.all_spans(base64.b64encode(zstandard.compress(bytes(256 << 20))).decode(), []) == []
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10 < 900
