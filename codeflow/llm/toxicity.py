@@ -27,9 +27,7 @@ from .common import ALNUM, bounded, code_points, cut, flat, held_out, lookup, pi
 
 #: Labelled rows to learn from at most (those with the smallest hashes of their ids).
 MAX_LABELLED = 40_000
-#: Tokens in the model at most: those of the largest z-scores.
-MAX_TOKENS = 50_000
-#: z-score from which a token's log-odds count.
+#: z-score from which a token's log-odds count (tokens of so few texts that they can't reach it never get to the driver).
 Z = 3.0
 #: Pseudo-counts of the Dirichlet prior in all, as a share of the counts.
 PRIOR = 0.1
@@ -51,8 +49,9 @@ class Model:
 
 def segments(at: np.ndarray, gain: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, end, score) of a sequence in which the tokens ``at`` have the scores
-    ``gain`` and all others cost ``gap``; linear in the number of scored tokens."""
-    found: list[list] = []  # first, end, sum before, sum after
+    ``gain`` and all others cost ``gap``; linear in the number of scored tokens, as every candidate knows the nearest one
+    to its left that begins lower, so that candidates passed over once are never looked at again."""
+    found: list[tuple] = []  # first, end, sum before, sum after, place of the nearest candidate that begins lower (or -1)
     total, last = 0.0, -1
     for i, g in zip(at.tolist(), gain.tolist(), strict=True):
         total -= gap * (i - last - 1)
@@ -60,17 +59,17 @@ def segments(at: np.ndarray, gain: np.ndarray, gap: float) -> list[tuple[int, in
         before, total = total, total + g
         if g <= 0:
             continue
-        new = [i, i + 1, before, total]
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+        first, j = i, len(found) - 1
+        while True:
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            first, _, before, _, low = found[j]  # it grows to the left over this one and all behind it
             del found[j:]
-        found.append(new)
-    return [(a, b, after - before) for a, b, before, after in found]
+            j = low
+        found.append((first, i + 1, before, total, j))
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 def _tokens(data: np.ndarray, off: np.ndarray):
@@ -144,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     prior = F.lit(PRIOR) * (F.col("y1") + F.col("y0"))
     odds = F.log((F.col("y1") + prior) / (F.lit(n1 + pseudo) - F.col("y1") - prior)) - F.log((F.col("y0") + prior) / (F.lit(n0 + pseudo) - F.col("y0") - prior))
     z = odds / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
-    chosen = counts.select("h", "y0", odds.alias("odds"), z.alias("z"), prior.alias("prior")).filter(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "h").limit(MAX_TOKENS).toPandas()
+    chosen = counts.select("h", "y0", odds.alias("odds"), z.alias("z"), prior.alias("prior")).filter(F.abs("z") >= Z).orderBy("h").toPandas()
     keys = chosen.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     scores = chosen.odds.to_numpy()[order]
@@ -167,15 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
 
     def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(n, max((v for *_, v in g), default=0.0), [v for *_, v in g]) for n, g in _scan(model, *flat(batch.column(0)))]
-            yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.list_(pa.float64()))], names=["y", "n", "best", "all"])
-
-    seen = rows.mapInArrow(maxima, "y int, n long, best double, all array<double>").toPandas()
-    clean = seen[(seen.y == 0) & (seen.n > 0)]
-    u = clean.n.to_numpy() * np.exp(-lam * clean.best.to_numpy())
-    model.k = float(min(1.0, max(1e-6, 1 / max(u.mean(), 1e-12))))  # exponential with rate K
-    x = np.array([_evidence(model, n, [(0, 0, v) for v in g]) for n, g in zip(seen.n, seen["all"], strict=True)])
-    model.bias, model.slope = logistic(np.log1p(x), (seen.y == 1).to_numpy(float))
+            got = [(n, [v for *_, v in g]) for n, g in _scan(model, *flat(batch.column(0)))]
+            yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([n for n, _ in got], pa.int64()), pa.array([v for _, v in got], pa.list_(pa.float64()))], names=["y", "n", "all"])
+
+    seen = cut(rows.mapInArrow(maxima, "y int, n long, all array<double>"))
+    # the best segments of clean texts, as n exp(-lambda S), are exponential with rate K
+    u = seen.filter("y = 0 and n > 0").agg(F.avg(F.col("n") * F.exp(-lam * F.coalesce(F.array_max("all"), F.lit(0.0))))).first()[0]
+    model.k = float(min(1.0, max(1e-6, 1 / max(1.0 if u is None else u, 1e-12))))
+    price = F.log(F.greatest(F.lit(model.k) * F.greatest("n", F.lit(1)), F.lit(1e-300)))
+    evidence = F.aggregate("all", F.lit(0.0), lambda a, v: a + F.greatest(F.lit(0.0), lam * v - price))
+    x = seen.select("y", F.log1p(evidence).alias("x")).orderBy("x", "y").toPandas()  # two numbers of each labelled row
+    model.bias, model.slope = logistic(x.x.to_numpy(), (x.y == 1).to_numpy(float))
     return model
 
 
@@ -190,12 +191,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores, passages = [], []
             for i, (n, got) in enumerate(_scan(model, data, off)):
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + model.slope * math.log1p(_evidence(model, n, got)))))))
-                own = []
+                own, byte, char = [], off[i], 0
                 for a, b, v in got:
                     e = model.k * n * math.exp(-model.lam * v)
                     if e <= E_VALUE:
-                        start = code_points(data, off[i], off[i] + a)
-                        own.append({"start": start, "end": start + code_points(data, off[i] + a, off[i] + b), "score": v, "e_value": e})
+                        start = char + code_points(data, byte, off[i] + a)
+                        byte, char = off[i] + b, start + code_points(data, off[i] + a, off[i] + b)
+                        own.append({"start": start, "end": char, "score": v, "e_value": e})
                 passages.append(own)
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(p) for p in passages], pa.int32()), pa.array(passages, out.field(4).type)], schema=out)
 
@@ -209,7 +211,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: in
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with all columns, without those that the model predicts toxic."""
+    """The rows of ``docs`` with all columns, without those that the model predicts toxic. Null and empty texts, rows with a
+    null id and repeated rows are judged by their text alone; without usable labels, and of an empty table, all rows stay."""
     model, schema, at = fit(docs, labels), docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,27 @@ def test_maximal_segments():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segments_take_linear_time():
+    """Separated hits of rising and of falling size, which a rescan of all candidates takes quadratic time for."""
+    import time
+
+    def seconds(n, gain):
+        at = np.arange(n) * 9
+        t = time.process_time()
+        T.segments(at, np.array([gain(i) for i in range(n)]), 0.25)
+        return time.process_time() - t
+
+    for gain in (lambda i: 1.0, lambda i: 1 + i * 1e-4, lambda i: 10 - i * 1e-4):
+        assert min(seconds(64_000, gain) for _ in range(3)) < 0.5
+
+
+def test_a_long_toxic_text(labelled, make):
+    docs, labels = labelled
+    model = T.fit(docs, labels)
+    (r,) = T.score(make([(1, " ".join(["vile plain words and more of them here"] * 40_000))]), model).collect()
+    assert r["predicted"] == 1 and r["n_passages"] >= 1
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, make, prose):
     docs, labels = [], []
