@@ -6,8 +6,10 @@ while the weights are learned on it by expectation maximisation; the model then
 
 No count table is collected or broadcast. Documents become chunks of word numbers. A chunk asks for each of its distinct
 n-grams once, along with how often it holds them; n-grams are dealt by hash, every part adds up all chunks' counts and
-answers each chunk in the order it asked. So whatever the corpus, a task holds one chunk or one part, and the number of
-parts follows the number of tokens. Unigrams are known by 64-bit hashes; longer n-grams by 40 bits inside their part.
+answers each chunk in the order it asked. A task holds one chunk or one part. Chunks and parts both grow with the square
+root of the corpus, so that the rows exchanged (one for a chunk, a part and an order, of about ``ROW_TOKENS`` tokens) grow
+in proportion to it and not with its square. Unigrams are known by 64-bit hashes; longer n-grams by 40 bits inside their
+part.
 
 Defined results: null and empty texts have one token, the end; a null doc_id counts as not held out; repeated rows count
 and are scored each; without training documents N and V are 0; an empty table gives an empty result. Only doc_id and
@@ -24,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLACK, bounded, cut, flat, held_out, mix, pieces, word_hashes, words
+from .common import BLACK, PIECE_BYTES, bounded, cut, flat, held_out, mix, pieces, word_hashes, words
 
-#: Text of a chunk, and tokens of a part of the n-grams.
-CHUNK_BYTES, PART_TOKENS = 6 << 20, 2_000_000
+#: Tokens of a row of the exchange, tokens of a chunk at least, and tokens of a part for each token of a chunk.
+ROW_TOKENS, LEAST_CHUNK, PART_SHARE = 1000, 50_000, 2
+#: Bytes of text that count as a token when chunks are sized.
+TOKEN_BYTES = 6
 #: One training document in so many is held out while the mixture weights are learned.
 HELD = 10
 #: Steps of a power of two by which component probabilities are grouped for the expectation maximisation.
@@ -55,33 +59,48 @@ _CHUNKS = pa.schema([("chunk", pa.string()), ("em", pa.bool_()), ("trained", pa.
 _CHUNKS_SQL = "chunk string, em boolean, trained long, tokens long, types long, doc_ids array<long>, lens array<long>, roles array<int>, vocab binary, ids binary"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, task = 0, TaskContext.get().partitionId()
-    for batch in batches:
-        data, off = flat(batch.column(1))
-        role = np.asarray(batch.column(2))
-        for a, b in pieces(off, CHUNK_BYTES):
-            parts, counts = [], []
-            for x, y in pieces(off[a : b + 1] - off[a]):  # hashing needs several numbers a byte
-                own, at = data[off[a + x] : off[a + y]], off[a + x : a + y + 1] - off[a + x]
+def _chunk_tokens(size: int) -> int:
+    """Tokens of a chunk for a corpus of so many bytes: chunks x parts is then the number of tokens over ROW_TOKENS."""
+    return max(LEAST_CHUNK, int((size / TOKEN_BYTES * ROW_TOKENS / PART_SHARE) ** 0.5))
+
+
+def _chunks(most: int):
+    """Chunks of about ``most`` tokens, over the batches of a task; a longer text is a chunk of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, task = 0, TaskContext.get().partitionId()
+        held: dict[bool, list[tuple]] = {False: [], True: []}  # (ids, roles, tokens of each text, words)
+        size = {False: 0, True: 0}
+
+        def chunk(em: bool) -> pa.RecordBatch:
+            nonlocal number
+            parts, held[em], size[em] = held[em], [], 0
+            lens, roles = np.concatenate([p[2] for p in parts]), np.concatenate([p[1] for p in parts])
+            seq, last = np.full(int(lens.sum()), _END), np.zeros(int(lens.sum()), bool)
+            last[np.cumsum(lens) - 1] = True
+            seq[~last] = np.concatenate([p[3] for p in parts])
+            vocab, ids = np.unique(seq, return_inverse=True)
+            number += 1
+            return pa.record_batch([[f"{task}-{number}"], [em], [int(lens[roles != _HELD_OUT].sum())], [len(seq)], [len(vocab)], [[i for p in parts for i in p[0]]], [lens.tolist()], [roles.tolist()], [_pack(np.diff(vocab, prepend=np.uint64(0)))], [_pack(ids)]], schema=_CHUNKS)
+
+        for batch in batches:
+            data, off = flat(batch.column(1))
+            role = np.asarray(batch.column(2))
+            for a, b in pieces(off, min(PIECE_BYTES, most * TOKEN_BYTES)):  # hashing needs several numbers a byte
+                own, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 starts, ends, first = words(own, at, BLACK)
-                parts.append(word_hashes(own, starts, ends))
-                counts.append(np.diff(first))
-            h, n = np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
-            for em in (False, True):
-                mine = np.flatnonzero((role[a:b] == _EM) == em)
-                if not len(mine):
-                    continue
-                inside = np.repeat((role[a:b] == _EM) == em, n)
-                lens = n[mine] + 1
-                seq = np.full(int(lens.sum()), _END)
-                last = np.zeros(len(seq), bool)
-                last[np.cumsum(lens) - 1] = True
-                seq[~last] = h[inside]
-                vocab, ids = np.unique(seq, return_inverse=True)
-                trained = int(lens[role[a:b][mine] != _HELD_OUT].sum())
-                yield pa.record_batch([[f"{task}-{number}"], [em], [trained], [len(seq)], [len(vocab)], [batch.column(0).slice(a, b - a).take(pa.array(mine)).to_pylist()], [lens.tolist()], [role[a:b][mine].tolist()], [_pack(np.diff(vocab, prepend=np.uint64(0)))], [_pack(ids)]], schema=_CHUNKS)
-                number += 1
+                h, n = word_hashes(own, starts, ends), np.diff(first)
+                for em in (False, True):
+                    mine = (role[a:b] == _EM) == em
+                    if mine.any():
+                        ids = batch.column(0).slice(a, b - a).filter(pa.array(mine)).to_pylist()
+                        held[em].append((ids, role[a:b][mine], n[mine] + 1, h[np.repeat(mine, n)]))
+                        size[em] += int((n[mine] + 1).sum())
+                        if size[em] >= most:
+                            yield chunk(em)
+        yield from (chunk(em) for em in (False, True) if held[em])
+
+    return run
 
 
 class Chunk:
@@ -198,10 +217,11 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
     out = held_out("doc_id", modulus, remainder)
     role = F.when(out, _HELD_OUT).when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, _EM).otherwise(_KEPT).cast("int")
     plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = cut(plain.select("doc_id", "text", role.alias("role")).mapInArrow(_chunks, _CHUNKS_SQL))
+    most = _chunk_tokens(int(plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0))
+    chunks = cut(plain.select("doc_id", "text", role.alias("role")).mapInArrow(_chunks(most), _CHUNKS_SQL))
     sums = chunks.agg(F.sum("trained"), F.sum("tokens"), F.sum(F.when(~F.col("em"), F.col("trained")))).first()
     n, tokens, n_kept = (int(x or 0) for x in sums)
-    parts = max(1, -(-tokens // PART_TOKENS))
+    parts = max(1, -(-tokens // (PART_SHARE * most)))
     ask, ask_sql = _requests(parts)
     answers = chunks.select("chunk", "em", "tokens", "types", "lens", "roles", "vocab", "ids").mapInArrow(ask, ask_sql).groupBy("part", "ord").applyInArrow(_answers, "chunk string, part int, ord int, n long, every binary, kept binary, types long")
     answers = cut(answers)

@@ -178,6 +178,66 @@ def test_language_model(make, odd, prose):
     assert lm.score_texts(docs.limit(0)).count() == 0
 
 
+def brute_mixture(rows, held):
+    """log10 of the interpolated trigram probability of each text, with dictionaries; n-grams before a text begin with None
+    and texts end with an end."""
+    grams = lambda t: [(x, y, z) for x, y, z in zip(["<"] * 2 + t, ["<"] + t, t)]
+    bucket = lambda c: min(15, math.ceil(math.log2(c + 1)))
+
+    def counts(texts):
+        c = [Counter(), Counter(), Counter()]
+        for t in texts:
+            for x, y, z in grams(t):
+                c[0][z] += 1
+                c[1][y, z] += 1
+                c[2][x, y, z] += 1
+        return c, len(texts)
+
+    def parts(c, docs, n, v, g):
+        x, y, z = g
+        pair = docs if y == "<" else c[1][x, y]
+        single = docs if y == "<" else c[0][y]
+        return bucket(pair) * 16 + bucket(single), [min(1, c[2][g] / max(pair, 1)), min(1, c[1][y, z] / max(single, 1)), c[0][z] / max(n, 1), 1 / (v + 1)]
+
+    train = [(em, t) for (i, em, t) in rows if not held(i)]
+    every, docs = counts([t for _, t in train])
+    kept, docs_kept = counts([t for em, t in train if not em])
+    n, v, n_kept = sum(every[0].values()), len(every[0]), sum(kept[0].values())
+    seen = Counter()
+    for em, t in train:
+        for g in grams(t) if em else []:
+            b, p = parts(kept, docs_kept, n_kept, v, g)
+            q = [round(-math.log2(x) / lm.STEP) if x > 0 else -1 for x in p[:3]]
+            seen[b, *q] += 1
+    w = lm._weights([{"bucket": b, "q3": q3, "q2": q2, "q1": q1, "number": c} for (b, q3, q2, q1), c in seen.items()], n_kept, v)
+
+    def score(t):
+        return sum(math.log10(float(w[b] @ np.array(p))) for b, p in (parts(every, docs, n, v, g) for g in grams(t)))
+
+    return [(i, score(t)) for i, _, t in rows]
+
+
+@pytest.mark.parametrize("row_tokens", [1000, 4])
+def test_language_model_against_dictionaries(make, spark, prose, monkeypatch, row_tokens):
+    monkeypatch.setattr(lm, "ROW_TOKENS", row_tokens)
+    monkeypatch.setattr(lm, "LEAST_CHUNK", 50)
+    docs = make([(i, prose(3 + i % 40, i // 2)) for i in range(160)] + [(700, ""), (701, None), (None, prose(9, 3))])
+    em = {r[0]: r[1] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {lm.HELD}) = 0 as em").collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(r["doc_id"], em[r["doc_id"]], (r["text"] or "").split() + [">"]) for r in docs.collect()]
+    want = sorted(((i, s) for i, s in brute_mixture(rows, held)), key=lambda x: (x[0] is None, x))
+    got = sorted(((r["doc_id"], r["score"]) for r in lm.score_texts(docs).collect()), key=lambda x: (x[0] is None, x))
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-6)
+
+
+def test_rows_of_the_exchange_grow_with_the_corpus():
+    rows = []
+    for size in (1 << 34, 5 << 34, 1 << 44):
+        tokens, most = size / lm.TOKEN_BYTES, lm._chunk_tokens(size)
+        rows.append(tokens / most * tokens / (lm.PART_SHARE * most) / tokens)
+    assert max(rows) / min(rows) < 1.01
+
+
 def test_language_model_is_a_distribution():
     """The mixture over all words of a vocabulary and the end adds up to one with the share of unseen words."""
     w = lm._weights([], 10, 4)
