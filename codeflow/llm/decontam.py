@@ -1,10 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle check.
 
 A window of as many words as a benchmark item gets a 256-bit SimHash of its weighted shingles. The fingerprint is cut
-into ``BLOCKS`` blocks; two fingerprints that differ in fewer bits than there are blocks agree on some block, so a look
-into one table per block finds every item within the radius of BLOCKS - 1 bits (at a weighted similarity of 0.8, 39 bits
-differ on average with a deviation of 6, so the radius lies 4 deviations off). Items found are held against the window
-by the exact weighted Jaccard similarity of the shingles, weights being their counts. Windows of which too few shingles
+into ``BLOCKS`` blocks; of two fingerprints within ``RADIUS`` bits, some block differs in at most RADIUS // BLOCKS bits, so
+a look into one table per block at all values so near finds every item within the radius, and one item in six of the
+others (at a weighted similarity of 0.8, 39 bits differ on average with a deviation of 6, so the radius lies 4 deviations
+off). Items found are held against the window by the exact weighted Jaccard similarity of the shingles, weights being their
+counts. Of windows that overlap, the most similar one counts for an item. Windows of which too few shingles
 occur in items of its size cannot reach the similarity (at least 2t/(1+t) of the shingles must be shared), and get no
 fingerprint; that loses none. A document with fewer words than an item is held against it as a whole: the items that
 share enough of its shingles are looked up exactly. The benchmark is read in blocks of a fixed number of items, each a pass over the documents.
@@ -17,9 +18,12 @@ tables give an empty result. Only doc_id, text, item_id and text are read, so fu
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, bounded, code_points, flat, mix, pieces, shingle_hashes, word_hashes, words
 
-#: Bits of a fingerprint, and blocks of which one must agree.
-BITS, BLOCKS = 256, 64
+#: Bits of a fingerprint, its blocks, and bits in which fingerprints may differ.
+BITS, BLOCKS, RADIUS = 256, 16, 63
 #: Items that one pass over the documents looks for.
 ITEMS_A_PASS = 20_000
 _LANES = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -46,9 +50,16 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
     return (2 * _signs(shingles).sum(axis=0, dtype=np.int64) > len(shingles)).astype(np.uint8)
 
 
-def blocks_of(print_: np.ndarray) -> list[int]:
-    weights = 1 << np.arange(BITS // BLOCKS)
-    return (print_.reshape(BLOCKS, -1) * weights).sum(axis=1).tolist()
+def blocks_of(print_: np.ndarray) -> np.ndarray:
+    """The numbers of the blocks."""
+    return print_.reshape(BLOCKS, -1) @ (1 << np.arange(BITS // BLOCKS))
+
+
+@lru_cache(1)
+def _near() -> np.ndarray:
+    """Masks of at most RADIUS // BLOCKS bits of a block."""
+    bits = [1 << i for i in range(BITS // BLOCKS)]
+    return np.array([sum(c) for n in range(RADIUS // BLOCKS + 1) for c in itertools.combinations(bits, n)])
 
 
 def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -64,19 +75,27 @@ def _weights(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tables:
-    """Items of one number of words: fingerprints, and for each block the items in order of their value."""
+    """For each block the items in order of its value, and where each value begins."""
 
-    items: np.ndarray
     prints: np.ndarray  # packed bits
     order: np.ndarray  # BLOCKS x items
     bounds: np.ndarray  # BLOCKS x (values + 1)
 
-    def within(self, print_: np.ndarray) -> list[tuple[int, int]]:
-        """(item, bits that differ) of all items in fewer than BLOCKS bits."""
-        found = np.unique(np.concatenate([self.order[k, self.bounds[k, v] : self.bounds[k, v + 1]] for k, v in enumerate(blocks_of(print_))]))
+    def candidates(self, print_: np.ndarray) -> np.ndarray:
+        """The items of which some block is near that of the fingerprint."""
+        at = blocks_of(print_)[:, None] ^ _near()[None, :]
+        block = np.arange(BLOCKS)[:, None]
+        low, high = self.bounds[block, at], self.bounds[block, at + 1]
+        k, j = np.nonzero(high > low)
+        low, n = low[k, j], (high - low)[k, j]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.unique(self.order[np.repeat(k, n), np.repeat(low, n) + within])
+
+    def within(self, print_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All items within the radius, and the bits in which they differ."""
+        found = self.candidates(print_)
         differ = np.bitwise_count(self.prints[found] ^ np.packbits(print_)).sum(axis=1, dtype=np.int64)
-        near = differ < BLOCKS
-        return list(zip(self.items[found[near]].tolist(), differ[near].tolist(), strict=True))
+        return found[differ <= RADIUS], differ[differ <= RADIUS]
 
 
 @dataclass
@@ -89,7 +108,7 @@ class Index:
     at: np.ndarray  # where each item's weights begin
     keys: np.ndarray
     counts: np.ndarray
-    tables: dict[int, Tables]
+    tables: Tables
     known: np.ndarray  # all shingles, sorted
     sizes_at: np.ndarray  # where each shingle's sizes begin
     sizes: np.ndarray  # the sizes of the items that hold it
@@ -130,14 +149,12 @@ def build(rows: list[tuple[int, str]], k: int) -> Index:
         words_of.append(int(n[i]))
     at = np.concatenate([[0], np.cumsum([len(w[0]) for w in weights])]).astype(np.int64)
     keys, counts = np.concatenate([np.zeros(0, np.uint64), *(w[0] for w in weights)]), np.concatenate([np.zeros(0, np.int64), *(w[1] for w in weights)]).astype(np.int32)
-    tables, size = {}, np.array(words_of, np.int64)
+    size = np.array(words_of, np.int64)
     packed = np.stack([np.packbits(x) for x in prints]) if prints else np.zeros((0, BITS // 8), np.uint8)
-    for m in np.unique(size).tolist():
-        items = np.flatnonzero(size == m)
-        values = np.array([blocks_of(prints[x]) for x in items])
-        order = np.argsort(values, axis=0, kind="stable").T
-        bounds = np.stack([np.searchsorted(np.sort(values[:, j]), np.arange((1 << BITS // BLOCKS) + 1)) for j in range(BLOCKS)])
-        tables[m] = Tables(items, packed[items], np.ascontiguousarray(order), bounds)
+    values = np.array([blocks_of(x) for x in prints], np.int64).reshape(-1, BLOCKS)
+    order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
+    bounds = np.stack([np.searchsorted(np.sort(values[:, j]), np.arange((1 << BITS // BLOCKS) + 1)) for j in range(BLOCKS)]).astype(np.int32)
+    tables = Tables(packed, order, bounds)
     pairs = np.unique(np.stack([keys, np.repeat(size, np.diff(at)).astype(np.uint64)], 1), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
     known, sizes_at = np.unique(pairs[:, 0], return_index=True)
     order = np.argsort(keys, kind="stable")
@@ -151,12 +168,22 @@ def _short(h: np.ndarray, k: int) -> np.ndarray:
     return shingle_hashes(h, np.array([0, len(h)]), k)[0] if len(h) >= k else np.zeros(0, np.uint64)
 
 
+def _apart(found: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int, int]]:
+    """Of (similarity, first word, words, bits) those that overlap no better one."""
+    kept: list[tuple[int, int, float, int]] = []  # first word, end, similarity, bits: in order
+    for like, c, n, bits in sorted(found, key=lambda x: (-x[0], x[1])):
+        i = bisect.bisect_left(kept, (c,))
+        if (i == 0 or kept[i - 1][1] <= c) and (i == len(kept) or c + n <= kept[i][0]):
+            kept.insert(i, (c, c + n, like, bits))
+    return [(like, c, end - c, bits) for c, end, like, bits in kept]
+
+
 def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, float, int]]:
-    """(row, item, begin byte, end byte, similarity, bits that differ): the best window of each item in each row,
-    which is the whole row where the item has more words."""
+    """(row, item, begin byte, end byte, similarity, bits that differ): the windows of each item in each row, of those that
+    overlap the best; where the item has more words than the row, the whole row is the window."""
     filter_ = np.zeros(1 << 20, bool)
     filter_[(index.known >> np.uint64(44)).astype(np.int64)] = True
-    brief = sorted(n for n in index.tables if n < k)
+    brief = sorted(set(index.words_of[index.words_of < k].tolist()))
     for a, b in pieces(off):
         part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
         starts, ends, first = words(part, at, ALNUM)
@@ -168,7 +195,7 @@ def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarr
         hits = np.flatnonzero(mark)
         rows = np.unique(np.searchsorted(begin, hits, "right") - 1) if not brief else np.arange(b - a)
         for i in rows.tolist():
-            best: dict[int, tuple[float, int, int, int]] = {}
+            found: dict[int, list[tuple[float, int, int, int]]] = {}
             own = s[begin[i] : begin[i + 1]]
             seen = mark[begin[i] : begin[i + 1]]
             where: dict[int, list[int]] = {}  # a window can only be like items of its size, so only their shingles count
@@ -193,20 +220,22 @@ def _matches(index: Index, k: int, least: float, data: np.ndarray, off: np.ndarr
                     candidates = around[np.searchsorted(at_, around + m) - np.searchsorted(at_, around) >= need]
                 for c in candidates.tolist():
                     window, weights = grams[c : c + m], None
-                    for x, differ in index.tables[n].within(fingerprint(window)):
-                        weights = weights or _weights(window)
-                        like = weighted_similarity(weights, index.weights(x))
-                        if like >= least - 1e-12 and (x not in best or (-like, c) < (-best[x][0], best[x][1])):
-                            best[x] = (like, c, n, differ)
+                    for x, differ in zip(*index.tables.within(fingerprint(window)), strict=True):
+                        if index.words_of[x] == n:
+                            weights = weights or _weights(window)
+                            like = weighted_similarity(weights, index.weights(x))
+                            if like >= least - 1e-12:
+                                found.setdefault(int(x), []).append((like, c, n, int(differ)))
             longest = k - 1 + int((n_words - k + 1) / least + 1e-9)  # words of the longest item that the whole row can be like
             whole = [n for n in where if n_words < n <= longest]
             if n_words >= k and any(len(where[n]) >= least * (n - k + 1) - 1e-9 for n in whole):
                 bits = None
                 for x, like in index.like(_weights(own), n_words, k, least):
                     bits = np.packbits(fingerprint(own)) if bits is None else bits
-                    best[x] = (like, 0, n_words, int(np.bitwise_count(index.prints[x] ^ bits).sum()))
-            for x, (like, c, n, differ) in sorted(best.items()):
-                yield a + i, int(index.ids[x]), int(starts[first[i] + c] - at[i]), int(ends[first[i] + c + n - 1] - at[i]), like, differ
+                    found[x] = [(like, 0, n_words, int(np.bitwise_count(index.prints[x] ^ bits).sum()))]
+            for x, windows in sorted(found.items()):
+                for like, c, n, differ in _apart(windows):
+                    yield a + i, int(index.ids[x]), int(starts[first[i] + c] - at[i]), int(ends[first[i] + c + n - 1] - at[i]), like, differ
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -220,7 +249,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, start, end (code points), similarity, bits."""
+    """One row for each window of a document that is like an item, without those that overlap a window more like it: doc_id,
+    item_id, start, end (code points), similarity, bits."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("similarity", pa.float64()), ("bits", pa.int32())])
 
     def finder(index: Index):
@@ -228,9 +258,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
             for batch in batches:
                 data, off = flat(batch.column(1))
                 rows = []
+                last, byte, char = (-1, -1), 0, 0  # the windows of an item come in order
                 for i, item, x, y, like, bits in _matches(index, k, similarity, data, off):
-                    start = code_points(data, off[i], off[i] + x)
-                    rows.append((batch.column(0)[i].as_py(), item, start, start + code_points(data, off[i] + x, off[i] + y), like, bits))
+                    if (i, item) != last:
+                        last, byte, char = (i, item), off[i], 0
+                    start = char + code_points(data, byte, off[i] + x)
+                    byte, char = off[i] + y, start + code_points(data, off[i] + x, off[i] + y)
+                    rows.append((batch.column(0)[i].as_py(), item, start, char, like, bits))
                 yield pa.record_batch([pa.array([r[j] for r in rows], schema.types[j]) for j in range(6)], schema=schema)
 
         return run
@@ -243,7 +277,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns. Null and empty texts hold none; a row with a
+    null id, and each of repeated rows, is judged by its text; with an empty benchmark all rows stay."""
     schema, at = docs.schema, docs.columns.index("text")
 
     def keeper(index: Index):

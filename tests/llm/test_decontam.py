@@ -55,7 +55,9 @@ def test_against_brute_force(spark, make, prose):
         if i == 7:
             text += "and two words".split()
         docs.append((i, " ".join(text)))
-    got = {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in D.contaminated(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {}
+    for x in D.contaminated(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect():
+        got[x["doc_id"], x["item_id"]] = max(got.get((x["doc_id"], x["item_id"]), 0), round(x["similarity"], 9))
     assert got == brute(docs, [x for x in items if x[1]], 5, 0.8)
     left = {x["doc_id"] for x in D.drop_contaminated(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert left == {i for i, _ in docs} - {i for i, _ in got}
@@ -73,13 +75,59 @@ def test_spans_and_odd_rows(spark, make, odd, prose):
     assert D.drop_contaminated(docs, bench).count() == docs.count() - 2 and D.drop_contaminated(docs, bench).schema == docs.schema
 
 
-def test_blocks_find_all_within_the_radius():
+def shingles(w):
+    data, off = common.flat(pa.array([" ".join(w)]))
+    starts, ends, first = common.words(data, off, common.ALNUM)
+    return common.shingle_hashes(common.word_hashes(data, starts, ends), first, 5)[0]
+
+
+def flipped(r, a, n):
+    b = a.copy()
+    b[r.choice(D.BITS, n, replace=False)] ^= 1
+    return b
+
+
+def test_blocks_find_all_within_the_radius_and_few_others(prose):
+    """Items of a benchmark as fingerprints: all within the radius come back, under a fifth of the others are looked at."""
     r = np.random.default_rng(0)
-    for _ in range(50):
-        a = r.integers(0, 2, D.BITS).astype(np.uint8)
-        b = a.copy()
-        b[r.choice(D.BITS, D.BLOCKS - 1, replace=False)] ^= 1
-        assert any(x == y for x, y in zip(D.blocks_of(a), D.blocks_of(b), strict=True))
+    index = D.build([(i, prose(30, i)) for i in range(3000)], 5)
+    prints = np.unpackbits(index.prints, axis=1)
+    looked = []
+    for i in range(60):
+        x = flipped(r, prints[i], D.RADIUS - i % 3)
+        found, differ = index.tables.within(x)
+        assert i in found and set(found) == set(np.flatnonzero((prints != x).sum(1) <= D.RADIUS)) and max(differ) <= D.RADIUS
+        looked.append(len(index.tables.candidates(r.integers(0, 2, D.BITS).astype(np.uint8))) / 3000)
+    assert np.mean(looked) < 0.2
+
+
+def test_radius_holds_windows_at_the_least_similarity(prose):
+    """The share of windows of similarity 0.8 or little more that the fingerprints find, against exact comparison."""
+    found = 0
+    for i in range(300):
+        w = prose(60, i).split()
+        v = w.copy()
+        for j in (7, 40) if i % 2 else (20,):
+            v[j] = "changed"
+        a, b = (shingles(t) for t in (w, v))
+        found += int((D.fingerprint(a) != D.fingerprint(b)).sum()) <= D.RADIUS
+    assert found / 300 >= 0.99
+
+
+def test_every_occurrence_is_reported(spark, make, prose):
+    item, other = prose(30, 1), prose(30, 2)
+    text = " ".join([item, prose(10, 3), item.upper(), other, item])
+    rows = D.contaminated(make([(1, text)]), spark.createDataFrame([(7, item), (8, other)], "item_id long, text string")).collect()
+    assert sorted((r["item_id"], text[r["start"] : r["end"]].lower()) for r in rows) == [(7, item)] * 3 + [(8, other)]
+    # of windows that overlap, the best counts
+    (r,) = D.contaminated(make([(1, "x " + " ".join(item.split()[:29]) + " y z")]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert r["similarity"] < 1
+
+
+def test_ties_between_windows(spark, make):
+    """A text of one word repeated: every window is like the item; the first ones that do not overlap are reported."""
+    rows = D.contaminated(make([(1, "go " * 50)]), spark.createDataFrame([(3, "go " * 12)], "item_id long, text string")).collect()
+    assert sorted(r["start"] for r in rows) == [0, 36, 72, 108] and {r["similarity"] for r in rows} == {1.0}
 
 
 def test_several_passes(spark, make, prose, monkeypatch):
