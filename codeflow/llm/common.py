@@ -60,11 +60,13 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS, row_bytes: int = 64) -> Dat
 def joined(rows: DataFrame, table: DataFrame, on: list[str], size: str, how: str = "inner", hot: int = 1000) -> DataFrame:
     """``rows`` joined with ``table`` (one row a key; its column ``size`` says how many rows have the key, and goes). Keys of
     more than ``hot`` rows, of which there are few, are joined by broadcast, so that no task gets all rows of a key."""
-    few = table.filter(F.col(size) > hot)
-    if (few_ := small(few)) is few or few.isEmpty():  # a join that has to shuffle all, or no hot key
-        return rows.join(small(table.drop(size)), on, how)
-    heads, rest = few_.drop(size), table.filter(F.col(size) <= hot).drop(size)
-    return rows.join(heads, on).unionByName(rows.join(F.broadcast(few.select(on)), on, "left_anti").join(small(rest), on, how))
+    all_, few, rest = table.drop(size), table.filter(F.col(size) > hot), table.filter(F.col(size) <= hot)
+    if (whole := small(all_, row_bytes=256)) is not all_:
+        return rows.join(whole, on, how)
+    heads = few.drop(size)
+    if few.isEmpty() or (hinted := small(heads, row_bytes=256)) is heads:
+        return rows.join(all_, on, how)
+    return rows.join(hinted, on).unionByName(rows.join(F.broadcast(few.select(on)), on, "left_anti").join(rest.drop(size), on, how))
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 circular shifts give every coordinate of the signature, banding, and exact Jaccard verification on full sets.
 
 Defined results: a text that is null or holds no word has the empty set (0 shingles) and is linked with nothing; fewer
-than ``k`` words make one shingle of the whole sequence; rows that share a doc_id are one node; a null doc_id has a null
-component and is not kept; repeated rows come back as often as they were given; an empty table gives an empty result.
+than ``k`` words make one shingle of the whole sequence; rows that share a doc_id are one node, whatever their texts, which
+are all compared; a null doc_id has a null component and is not kept; repeated rows come back as often as they were given; an empty table gives an empty result.
 Only ``id_col`` and ``text_col`` are read, so further columns may have any name.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLACK, bounded, cut, flat, mix, pieces, shingle_hashes, small, word_hashes, words
+from .common import BLACK, bounded, cut, flat, joined, mix, pieces, shingle_hashes, small, word_hashes, words
 
 #: Size of the circle of positions on which the second permutation is shifted.
 CIRCLE = 1 << 20
@@ -58,7 +58,7 @@ def _sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
 
 
 def _digest(k: int, rows: int, bands: int):
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
@@ -77,7 +77,7 @@ def _digest(k: int, rows: int, bands: int):
                     keys.append(np.zeros(0, np.int64))
             lens = np.cumsum([0, *map(len, keys)])
             yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)),
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))],
                 schema=out,
             )
@@ -91,7 +91,8 @@ def _verifier(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            again = np.array([i > 0 and ids[0][i] == ids[0][i - 1] for i in range(len(ids[0]))], bool)
+            text = list(zip(ids[0], batch.column(4).to_pylist(), strict=True))
+            again = np.array([i > 0 and text[i] == text[i - 1] for i in range(len(text))], bool)
             left = batch.column(2).filter(pa.array(~again)) if len(again) else batch.column(2)  # a leader's text stands once for its run of pairs
             lefts, rights = _sets(*flat(left), k), _sets(*flat(batch.column(3)), k)
             a, b, x = [], [], None
@@ -106,13 +107,15 @@ def _verifier(k: int, percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets reach the similarity. ``docs``: doc_id, text, one row an id."""
+def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, repeated: bool) -> DataFrame:
+    """Those of the pairs (a, t_a, b, t_b) whose full shingle sets reach the similarity. ``docs``: doc_id, t (which names
+    the text), text; ``repeated``: rows can have the same id and text."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.join(small(ids), "doc_id", "left_semi")
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    texts = texts.dropDuplicates(["doc_id", "t"]) if repeated else texts
+    right = texts.select(F.col("doc_id").alias("b"), F.col("t").alias("t_b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("t").alias("t_a"), F.col("text").alias("text_a"))
+    both = pairs.join(right, ["b", "t_b"]).join(left, ["a", "t_a"]).select("a", "b", "text_a", "text_b", "t_a")
     return both.mapInArrow(_verifier(k, percent), "a long, b long")
 
 
@@ -147,16 +150,17 @@ def _block_links(k: int, percent: int):
     return run
 
 
-def _links_in_large(docs: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components in the large buckets (key, rep, n, c): classes that share such a bucket, directly or
-    through others, form a family; it is dealt into blocks of bounded size, and each pair of blocks is one group."""
-    low = large.groupBy("key").agg(F.min("rep").alias("a"))
-    family = components(large.join(low, "key").select("a", F.col("rep").alias("b")))
-    members = cut(large.groupBy("rep").agg(F.max("n").alias("n"), F.first("c").alias("c")).join(family, F.col("rep") == F.col("node"), "left").select("rep", "n", "c", F.coalesce("component", "rep").alias("family")))
+def _links_in_large(docs: DataFrame, large: DataFrame, k: int, percent: int, repeated: bool) -> DataFrame:
+    """Links between components in the large buckets (key, rows, rep, t, n, c): classes that share such a bucket, directly
+    or through others, form a family; it is dealt into blocks of bounded size, and each pair of blocks is one group."""
+    low = cut(large.groupBy("key").agg(F.min("rep").alias("a"), F.max("rows").alias("size")))
+    family = components(joined(large.drop("rows"), low, ["key"], "size").select("a", F.col("rep").alias("b")))
+    members = cut(large.groupBy("rep", "t").agg(F.max("n").alias("n"), F.first("c").alias("c")).join(family, F.col("rep") == F.col("node"), "left").select("rep", "t", "n", "c", F.coalesce("component", "rep").alias("family")))
     number = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    dealt = members.join(number, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = docs.join(small(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    rows = texts.join(dealt, F.col("doc_id") == F.col("rep")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.join(number, "family").withColumn("own", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
+    texts = docs.join(small(members.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    texts = texts.dropDuplicates(["rep", "t"]) if repeated else texts
+    rows = texts.join(dealt, ["rep", "t"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "c", (F.col("own") <= F.col("other")).alias("is_left"), "text")
     return rows.groupBy("family", "i", "j").applyInArrow(_block_links(k, percent), "a long, b long")
 
@@ -199,37 +203,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held against all others (as many pairs as rows). Once these links are joined, only classes of one bucket that are
     still in different components are held against each other: pair by pair in small buckets, block by block in others.
     """
-    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(docs.mapInArrow(_digest(k, rows, bands), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
-    classes = cut(sets.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    # repeated ids: the text of any row that has the id of a class
-    keyed = classes.filter("rep is not null").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    buckets = cut(keyed.join(heads, "key"))
-    one = docs.filter("doc_id is not null")
-    sizes = classes.groupBy(F.col("rep").alias("a")).agg(F.max("n_shingles").alias("n_a"))
-    stars = buckets.filter("rep != head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("n_b")).join(sizes, "a")
-    pairs = cut(stars.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b"))
-    links = cut(verified(one, pairs, k, percent))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null")
+    repeated = not ids.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    text = F.col(text_col).cast("string")
+    # t names a text among those of an id
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("t"))
+    sets = cut(docs.mapInArrow(_digest(k, rows, bands), "doc_id long, t long, n_shingles long, s1 long, s2 long, bands array<long>"))
+    one, set_ = docs.filter("doc_id is not null"), ["s1", "s2", "n_shingles"]
+    least = lambda *names: F.min(F.struct(*names)) if repeated else F.struct(F.min(names[0]).alias(names[0]), *(F.min_by(n, names[0]).alias(n) for n in names[1:]))
+    named = sets.filter("n_shingles > 0").withColumn("known", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    named = named.groupBy(set_).agg(least("known", "t").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"), F.count("doc_id").alias("ids"))
+    classes = cut(named.filter("ids > 0").select(*set_, F.col("rep.known").alias("rep"), F.col("rep.t").alias("t"), "bands", "copies"))
+    keyed = classes.select("rep", "t", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    heads = cut(keyed.groupBy("key").agg(least("rep", "t", "n").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    buckets = cut(joined(keyed, heads.select("key", F.col("head.rep").alias("head"), F.col("head.t").alias("head_t"), F.col("head.n").alias("head_n"), "size"), ["key"], "size"))
+    stars = buckets.filter("rep != head").groupBy(F.col("head").alias("a"), F.col("head_t").alias("t_a"), F.col("rep").alias("b"), F.col("t").alias("t_b")).agg(F.max("n").alias("n_b"), F.max("head_n").alias("n_a"))
+    pairs = cut(stars.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "t_a", "b", "t_b"))
+    links = verified(one, pairs, k, percent, repeated)
+    if repeated:  # the classes of rows that share an id belong together
+        shared = joined(sets.filter("n_shingles > 0 and doc_id is not null").select("doc_id", *set_), classes.select(*set_, "rep", "copies"), set_, "copies")
+        links = links.union(shared.filter("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = cut(links)
     label = components(links)
-    at = buckets.join(label, buckets["rep"] == label["node"], "left").select("key", "rep", "n", "head", F.coalesce("component", "rep").alias("c"))
-    still = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
-    rest = cut(at.join(still, "key", "left_semi"))
-    sized = cut(rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key"))
+    at = buckets.join(small(label), buckets["rep"] == label["node"], "left").select("key", "rep", "t", "n", "head", "head_t", F.coalesce("component", "rep").alias("c"))
+    still = cut(at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low != high").select("key", "rows", F.col("rows").alias("size")))
+    sized = cut(joined(at, still, ["key"], "size"))
     few = sized.filter(F.col("rows") <= SMALL_BUCKET)
-    x = few.select("key", "head", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    y = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    cross = x.join(y, "key").filter(f"a < b and c_a != c_b and a != head and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
+    x = few.select("key", "head", "head_t", F.col("rep").alias("a"), F.col("t").alias("t_a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    y = few.select("key", F.col("rep").alias("b"), F.col("t").alias("t_b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    cross = x.join(y, "key").filter(f"a < b and c_a != c_b and (a != head or t_a != head_t) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "t_a", "b", "t_b").distinct()
     more, large = cut(cross), sized.filter(F.col("rows") > SMALL_BUCKET)
-    found = [verified(one, more, k, percent)] if not more.isEmpty() else []
+    found = [verified(one, more, k, percent, repeated)] if not more.isEmpty() else []
     if not large.isEmpty():
-        found.append(_links_in_large(one, large, k, percent))
+        found.append(_links_in_large(one, large, k, percent, repeated))
     if found:
         links = found[0] if len(found) == 1 else found[0].union(found[1])
         label = cut(_then(label, components(_contracted(links, label))))
-    final = classes.select("s1", "s2", F.col("n_shingles"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("linked"))
-    out = sets.drop("bands").join(final, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("linked", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    final = classes.select(*set_, "rep", "copies").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*set_, "copies", F.coalesce("component", "rep").alias("linked"))
+    out = joined(sets.filter("n_shingles > 0").select("doc_id", *set_), cut(final), set_, "copies", "left").unionByName(sets.filter("n_shingles = 0").select("doc_id", *set_, F.lit(None).cast("long").alias("linked")))
+    if repeated:  # an id of which one row is empty belongs to the component of the others
+        own = label.select(F.col("node").alias("doc_id"), "component")
+        out = out.join(small(own), "doc_id", "left").withColumn("linked", F.least("linked", "component"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least("linked", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from codeflow.llm import minhash as M
+from codeflow.llm import common, minhash as M
 
 
 def shingles(text, k):
@@ -54,6 +54,45 @@ def test_large_buckets(make, prose, monkeypatch):
     assert got == brute(pairs, 3, 85)
 
 
+def brute_rows(rows, k, percent):
+    """Components of ids that have several texts: every row is compared, rows of an id are one node."""
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, (i, s) in enumerate(sets):
+        for j, t in sets[:x]:
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def test_ids_with_several_texts(make, prose, monkeypatch):
+    text = [prose(50, i) for i in range(12)]
+    rows = [(1, text[0]), (1, text[1]), (2, text[1]), (3, text[2]), (4, text[2]), (3, text[3]), (5, text[3]), (6, ""), (6, text[4]), (7, text[4]), (8, text[5])]
+    rows += [(2, edited(text[6], 1, 1)), (9, text[6]), (10, edited(text[0], 2, 2)), (8, text[5]), (8, text[5]), (11, edited(text[5], 1, 3))]
+    rows += [(20 + i, edited(text[7 + i % 3], i % 5, i)) for i in range(30)] + [(20 + i, edited(text[9 + i % 3], i % 4, 90 + i)) for i in range(0, 30, 2)]
+    for small in (8, 1):
+        monkeypatch.setattr(M, "SMALL_BUCKET", small)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in M.near_duplicates(make(rows), k=3, percent=85).collect())
+        assert got == brute_rows(rows, 3, 85)
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, i) for i in range(3000)] + [(i, i) for i in range(1, 50)], "key long, x long")
+    table = spark.createDataFrame([(0, "a", 3000), (1, "b", 1), (60, "c", 0)], "key long, v string, size long")
+    for how in ("inner", "left"):
+        want = sorted(rows.join(table.drop("size"), "key", how).collect(), key=str)
+        for bytes_ in (64 << 20, 600, 1):  # all, the hot keys, and nothing may be broadcast
+            monkeypatch.setattr(common, "BROADCAST_BYTES", bytes_)
+            assert sorted(common.joined(rows, table, ["key"], "size", how).select("key", "x", "v").collect(), key=str) == want
+
+
 def test_components_of_chains_and_cycles(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 3), (200, 201), (201, 200)]
     label = {r["node"]: r["component"] for r in M.components(spark.createDataFrame(links, "a long, b long")).collect()}
