@@ -2,7 +2,8 @@
 
 Every line of a text is good or bad. A line's features are shares of character classes, repetition and layout, of the
 line itself and of its neighbours; transitions tie lines that follow each other. The field is trained on the lines of
-labelled documents (each line takes its document's label) by gradient steps on the exact likelihood. The forward-backward
+labelled documents by gradient steps on the exact likelihood. Only documents have labels, so each line takes its
+document's, and the transitions learn that lines of a text are alike; which of them are good is told by their features. The forward-backward
 marginals of the good label, weighted by line length, give the document's raw quality; a logistic curve fitted on
 training documents turns it into the score, moved so that the decision threshold is the point of fewest training errors.
 
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, held_out, pieces, word_hashes, words
+from .common import bounded, cut, flat, held_out, pieces, word_hashes, words
 from .toxicity import labelled, logistic
 
-#: Labelled documents to learn from at most (those with the smallest hashes of their ids).
-MAX_LABELLED = 8_000
+#: Labelled documents to learn from at most (those with the smallest hashes of their ids), and lines of them in all: whole
+#: documents are taken, in the order of hashes of their lines, as long as they add up to no more.
+MAX_LABELLED, MAX_LINES = 8_000, 400_000
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 _STEPS, _RATE = 150, 0.1
@@ -144,7 +146,7 @@ def raw_quality(x: np.ndarray, size: np.ndarray, first: np.ndarray, weights: np.
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-4, 1 - 1e-4)
+    p = np.clip(p, 1e-9, 1 - 1e-9)
     return np.log(p / (1 - p))
 
 
@@ -186,9 +188,12 @@ def train(x: np.ndarray, size: np.ndarray, first: np.ndarray, y: np.ndarray) ->
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, max_labelled: int = MAX_LABELLED) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES) -> Model | None:
     """Learn from labelled rows whose crc32(doc_id as text) mod ``modulus`` is not ``remainder``."""
-    rows = labelled(docs, labels, "quality", modulus, remainder, max_labelled).mapInArrow(_features_of, "x binary, size array<long>, y int").collect()
+    found = cut(labelled(docs, labels, "quality", modulus, remainder, max_labelled).mapInArrow(_features_of, "x binary, size array<long>, y int").withColumn("order", F.xxhash64("x", "y")))
+    sizes = sorted((r["order"], r["n"]) for r in found.select("order", F.size("size").alias("n")).collect())  # two numbers of each labelled row
+    within = int(np.searchsorted(np.cumsum([n for _, n in sizes]), max_lines, "right"))
+    rows = found.filter(F.col("order") < sizes[within][0]).collect() if within < len(sizes) else found.collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["y"]))  # the order of arrival does not matter
     y = np.array([int(r["y"] == 1) for r in rows])
     if not 0 < y.sum() < len(y):
