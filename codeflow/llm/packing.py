@@ -116,10 +116,12 @@ def best_fit(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES
                 key = (price(fitting) / filled, -c)
                 best = min(best, (key, c)) if best else (key, c)
             c = best[1]
-            new = -(-(count - rank) // (c // length))
+            # the same choice again, for as long as there are enough pieces of this length for a bin of any capacity
+            each, widest = c // length, capacities[-1] // length
+            new = max(0, count - rank - widest) // each + 1
             run = Run(bins, new, c, 0)
             bins += new
-            rank += fill(run, length, rank, count - rank)
+            rank += fill(run, length, rank, min(count - rank, new * each))
     ended = sorted([*closed, *(r for rs in open_runs.values() for r in rs)], key=lambda r: r.first)
     return segments, np.array([r.first for r in ended], np.int64), np.array([capacities[bisect.bisect_left(capacities, r.used)] for r in ended], np.int32)
 
@@ -143,15 +145,16 @@ def _pieces(most: int):
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """doc_id, piece, start (first token), length, bin_id, bin_capacity, bin_offset of every piece of every row."""
     plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(plain.mapInArrow(_pieces(max(capacities)), "doc_id long, piece int, start long, length int"))
+    rows = cut(plain.mapInArrow(_pieces(max(capacities)), "doc_id long, piece int, start long, length int").withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     segments, first_bin, capacity = best_fit(histogram, capacities)
-    salts = 1 + sum(histogram.values()) // RANK_ROWS
-    salts = max(64, salts)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # lengths of many pieces are ranked in shares, dealt by row number: repeated rows and null ids are no hot key
+    shares = [(n, 1 + c // RANK_ROWS) for n, c in histogram.items() if c >= RANK_ROWS]
+    shares = F.broadcast(rows.sparkSession.createDataFrame(shares, "length int, shares int"))  # a row a length at most
+    salted = rows.join(shares, "length", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("shares", F.lit(1))).cast("int"))
     sums = cut(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
     before = sums.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row")) - 1
     ranked = salted.withColumn("own", own).join(small(before), ["length", "salt"]).select("doc_id", "piece", "start", "length", (F.col("own") + F.col("before")).alias("rank"))
     segments.sort()
     table = np.array(segments, np.int64).reshape(-1, 6)

@@ -30,6 +30,51 @@ def expand(segments, first, capacity):
     return rows
 
 
+def brute_best_fit(lengths, capacities, price=P.cost):
+    """One piece at a time in falling order: the open bin with the least room that holds it (of those, the one filled last
+    joins the others of its room last); else a bin of the capacity that is cheapest for each token it can be filled with."""
+    lengths = sorted(lengths, reverse=True)
+    bins = []  # [capacity, used]
+    for i, n in enumerate(lengths):
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        if fits:
+            min(fits, key=lambda b: b[0] - b[1])[1] += n
+            continue
+        best = None
+        for c in capacities:
+            if c < n:
+                continue
+            used = n
+            for m in lengths[i + 1 :]:
+                used += m if used + m <= c else 0
+            key = (price(min(x for x in capacities if x >= used)) / used, -c)
+            best = min(best, (key, c)) if best else (key, c)
+        bins.append([best[1], n])
+    return sorted(min(x for x in capacities if x >= used) for _, used in bins), sum(1 for _ in bins)
+
+
+def test_best_fit_against_one_piece_at_a_time():
+    """The rooms and the capacities opened do not depend on which of equal bins takes a piece, so the bins must agree."""
+    for seed in range(150):
+        r = random.Random(seed)
+        capacities = r.choice([(16, 32, 64), (10, 25, 64), (64,), (8, 16, 24, 40, 64)])
+        histogram = {r.randint(1, 64): r.randint(1, 6) for _ in range(r.randint(1, 9))}
+        histogram = {n: c for n, c in histogram.items() if n <= max(capacities)} or {3: 2}
+        _, first, capacity = P.best_fit(histogram, capacities)
+        rows = expand(*P.best_fit(histogram, capacities))
+        mine = {}
+        for x in rows:
+            mine.setdefault(x["bin_id"], []).append(x)
+        got = sorted(b[0]["bin_capacity"] for b in mine.values())
+        assert (got, len(mine)) == brute_best_fit([n for n, c in histogram.items() for _ in range(c)], capacities), (seed, histogram, capacities)
+
+
+def test_repeated_rows_and_null_ids_are_no_hot_key(make, monkeypatch):
+    monkeypatch.setattr(P, "RANK_ROWS", 50)
+    rows = P.pack(make([(None, "a b c")] * 400 + [(7, "d e f")] * 400 + [(i, "g h") for i in range(30)]), (16, 32, 64)).collect()
+    check(rows, [4] * 800 + [3] * 30, (16, 32, 64))
+
+
 def test_best_fit_plans():
     for seed in range(40):
         r = random.Random(seed)
