@@ -178,6 +178,26 @@ def test_language_model(make, odd, prose):
     assert lm.score_texts(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("given", [[(i, "one text for all") for i in range(50)] + [(7, "one text for all")] * 900, [(None, f"{'x' * (i % 3)}") for i in range(900)], [(None, None)] * 700])
+def test_sharding_of_repeated_rows(make, given):
+    """Keys that no boundary can divide are split by row number."""
+    rows = sharding.shard(make(given), 7).collect()
+    size, most = Counter(), max(r["size"] for r in rows)
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    assert len(rows) == len(given) and all(abs(n - sum(size.values()) / 7) <= most for n in size.values())
+    for s in range(7):
+        own = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert own == list(range(len(own)))
+
+
+def test_quality_takes_whole_documents_within_the_bound(labelled):
+    docs, labels = labelled
+    a, b = Q.fit(docs, labels), Q.fit(docs, labels, max_lines=100)
+    assert (a.weights != b.weights).any() and Q.fit(docs, labels, max_lines=0) is None
+    assert (a.weights == Q.fit(docs, labels, max_lines=10**9).weights).all()
+
+
 def brute_mixture(rows, held):
     """log10 of the interpolated trigram probability of each text, with dictionaries; n-grams before a text begin with None
     and texts end with an end."""
