@@ -3,7 +3,7 @@
 A tolerant scan of the page (comments, scripts, styles and other invisible elements fall out, open paragraphs, items and
 cells are closed by what follows them) gives its leaf blocks: stretches of text between borders of block elements. A
 block's features are its ancestors' tags and the words of their classes and ids, and its text: length, share of linked
-text, ending, position, and the length of its neighbours. The field is trained on labelled pages and its best labelling
+text, ending, and the length of its neighbours. The field is trained on labelled pages and its best labelling
 is found by Viterbi. By default the labelled pages come from ``training_pages``, a generator of page layouts.
 
 Defined results: a null or empty page has the empty text; references are decoded once; white space (also no-break) in a
@@ -18,6 +18,7 @@ import html as html_
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,14 +35,17 @@ from .quality import marginals
 TRAINING_PAGES = 1600
 _STEPS, _RATE = 150, 0.15
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: The end of a tag, or a quote that begins a value (elsewhere a quote is a sign like others).
+_NEXT = re.compile(r">|=[ \t\n\r\f]*([\"'])")
+_NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 # Element names of HTML.
 _UNSEEN = frozenset("head script style template noscript svg math iframe object canvas audio video select textarea".split())
 _RAW = frozenset("script style template noscript svg math iframe select textarea".split())
+_AFTER_VALUE = frozenset(["", " ", "\t", "\n", "\r", "\f", "/", ">"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open element of the first kind is closed by the start of one of the second, unless a border stands between.
 _CLOSES = {
     "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -64,8 +68,45 @@ def _named(tag: str, attributes: str) -> str:
     return " ".join([tag, *dict.fromkeys(words)]) if words else tag
 
 
+def _tag_end(page: str, at: int, nearest: dict[str, int]) -> int:
+    """Behind the tag whose attributes begin at ``at``. A quoted value reaches to the next such quote; if a '>' stands in it
+    and what follows that quote can't follow a value (or there is none), the quote was never closed, and the tag ends at
+    the '>'. ``nearest`` keeps where the next quotes stand, so that a page is searched once, however many are unclosed."""
+    n = len(page)
+    while m := _NEXT.search(page, at):
+        quote = m[1]
+        if not quote:
+            return m.end()
+        if nearest[quote] < m.end():
+            nearest[quote] = page.find(quote, m.end()) % (n + 1)  # none: n
+        close = nearest[quote]
+        inner = page.find(">", m.end(), close)
+        if inner >= 0 and not (close < n and page[close + 1 : close + 2] in _AFTER_VALUE):
+            return inner + 1
+        if close == n:
+            break
+        at = close + 1
+    return n
+
+
+def _token(page: str, at: int, nearest: dict[str, int]) -> tuple[int, int, str, str, str] | None:
+    """Begin, end, slash, name and attributes of the next tag; a comment or the like has no name."""
+    if not (m := _OPEN.search(page, at)):
+        return None
+    if m[5]:
+        end = _tag_end(page, m.end(), nearest)
+        return m.start(), end, m[4], m[5].lower(), page[m.end() : end - (page[end - 1] == ">")]
+    stop = "-->" if m[1] else "]]>" if m[2] else ">"
+    end = page.find(stop, m.start() + 2)
+    return m.start(), len(page) if end < 0 else end + len(stop), "", "", ""
+
+
+#: Elements around a block that its features come from: of deeper ones, the outer and the inner half.
+DEPTH = 128
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in page order."""
+    """The leaf blocks of a page in page order; in time proportional to its length, whatever its markup."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
@@ -77,41 +118,39 @@ def blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join(html_.unescape("".join(text)).split())
             if joined:
-                out.append(Block(tuple(n for _, n in stack), joined, linked))
+                around = stack if len(stack) <= DEPTH else stack[: DEPTH // 2] + stack[-DEPTH // 2 :]
+                out.append(Block(tuple(n for _, n in around), joined, linked))
             text.clear()
         linked = 0
 
     def close(i: int) -> None:
-        nonlocal links, unseen
+        nonlocal unseen
         flush()
         for tag, _ in stack[i:]:
             unseen -= tag in _UNSEEN
+            inside[tag] -= 1
         del stack[i:]
 
-    n = len(page)
+    n, nearest, inside = len(page), {'"': -1, "'": -1}, Counter()
     while at < n:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else n
+        token = _token(page, at, nearest)
+        stop = token[0] if token else n
         if stop > at and not unseen:
             part = page[at:stop]
             text.append(part)
             if links:
                 linked += len(part)
-        if not m:
+        if not token:
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        _, at, slash, tag, attributes = token
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if slash:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag not in _INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
+                if inside[tag]:
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
                 else:
                     flush()
             continue
@@ -120,7 +159,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _RAW:
             flush()
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 lower = lower or page.lower()
                 end = lower.find(f"</{tag}", at) if len(lower) == n else page.find(f"</{tag}", at)
                 gt = page.find(">", end) if end >= 0 else -1
@@ -135,17 +174,19 @@ def blocks(page: str) -> list[Block]:
         links = 0
         if tag == "body":
             stack = [s for s in stack if s[0] not in _UNSEEN]
-            unseen = 0
-        for i in range(len(stack) - 1, -1, -1):
-            name = stack[i][0]
-            if tag in _CLOSES.get(name, ()):
-                close(i)
-                if name not in ("td", "th"):
+            unseen, inside = 0, Counter(t for t, _ in stack)
+        if any(inside[name] for name, closers in _CLOSES.items() if tag in closers):
+            for i in range(len(stack) - 1, -1, -1):
+                name = stack[i][0]
+                if tag in _CLOSES.get(name, ()):
+                    close(i)
+                    if name not in ("td", "th"):
+                        break
+                elif tag in _BORDER and name in _BORDER[tag]:
                     break
-            elif tag in _BORDER and name in _BORDER[tag]:
-                break
-        if not m[3].endswith("/"):
-            stack.append((tag, _named(tag, m[3])))
+        if not attributes.endswith("/"):
+            stack.append((tag, _named(tag, attributes)))
+            inside[tag] += 1
             unseen += tag in _UNSEEN
     flush()
     return out
@@ -185,7 +226,6 @@ def _text_features(all_: list[Block], i: int) -> list[str]:
     links = 0 if not b.linked else 1 if share < 0.3 else 2 if share < 0.8 else 3
     out = [f"size {_size(n)}", f"links {links}", f"links {links} size {_size(n) // 2}", f"end {b.text[-1] in '.!?…:;'}", f"end {b.text[-1] in '.!?'} size {_size(n) // 2}", f"words {min(10, b.text.count(' ') // 3)}"]
     out += [f"before {_size(len(all_[i - 1].text)) // 2}" if i else "first", f"after {_size(len(all_[i + 1].text)) // 2}" if i + 1 < len(all_) else "last"]
-    out.append(f"place {10 * i // len(all_)}")
     if n < 400 and (m := _SIGNS.search(b.text)):
         out.append("sign")
         out.append(f"sign {m[0].lower()[:4]}")
@@ -280,11 +320,16 @@ _NAMES = {
 }
 
 
+@lru_cache(16)
+def _vocabulary(seed: int) -> list[str]:
+    rng = random.Random(seed)
+    letters = ["an", "be", "che", "do", "er", "fi", "gen", "ha", "in", "lo", "ma", "no", "ou", "pre", "re", "sti", "ta", "un", "ver", "wi", "é", "ü", "ñ"]
+    return ["".join(rng.choices(letters, k=rng.randint(1, 4))) for _ in range(3000)]
+
+
 class _Writer:
     def __init__(self, rng: random.Random):
-        self.r, self.good = rng, set()
-        letters = ["an", "be", "che", "do", "er", "fi", "gen", "ha", "in", "lo", "ma", "no", "ou", "pre", "re", "sti", "ta", "un", "ver", "wi", "é", "ü", "ñ"]
-        self.words = ["".join(rng.choices(letters, k=rng.randint(1, 4))) for _ in range(3000)]
+        self.r, self.good, self.words = rng, set(), _vocabulary(rng.randrange(16))
 
     def say(self, low: int, high: int, stop: bool = True) -> str:
         w = self.r.choices(self.words, k=self.r.randint(low, high))
@@ -415,6 +460,8 @@ class _Writer:
         if r.random() < 0.25:
             main = f"<div{self.name('main')}>{main}{comments}</div>"
             comments = ""
+        if r.random() < 0.1:  # a page of the article alone
+            return f"<!DOCTYPE html><html><body>{main}</body></html>"
         out += [main, "" if before else side, comments]
         if r.random() < 0.3:
             out.append(self.ad())

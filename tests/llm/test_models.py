@@ -286,6 +286,49 @@ def test_html_extraction(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+DIRTY = [
+    ("<p>One <img alt=it's> two.</p><p>Three don't stop.</p><p>Four.</p>", ["One two.", "Three don't stop.", "Four."]),
+    ('<p class="a>One two.', ["One two."]),
+    ('<p class="a>One two.</p><p class="b">Three.</p>', ["One two.", "Three."]),
+    ('<p class="a>He said "yes" and left.</p><p>End.</p>', ['He said "yes" and left.', "End."]),
+    ("<p title='x>One.</p><p title='y'>Two.</p><div id=z>Three.</div>", ["One.", "Two.", "Three."]),
+    ('<p title="a > b">One.</p><p title="<b>x</b>" class=c>Two.</p>', ["One.", "Two."]),
+    ('<p title="a"class="b">One.</p><a href=x=\'y\'>link</a> rest', ["One.", "link rest"]),
+    ("a < b and c > d <p>x<3</p> <!-- c --> <!-->y<!---->z<![CDATA[ q ]]>", ["a < b and c > d", "x<3", "yz"]),
+    ("<p>One<p", ["One"]), ("<p>One <!-- never closed <p>Two", ["One"]), ("<p>One</p", ["One"]), ('One<p a="', ["One"]),
+]
+
+
+@pytest.mark.parametrize("page,want", DIRTY)
+def test_dirty_markup(page, want):
+    assert [b.text for b in H.blocks(page)] == want
+
+
+@pytest.mark.parametrize("unit", ['<p class="a>x ', "<p class='a>x ", "<div>", "</section><div>", "<p title='a\">x", "<!-- ", "<p", '<a b="', "<td>", "<p><button>", "<script>", "&amp;<i>"])
+def test_blocks_take_linear_time(unit):
+    import time
+
+    def seconds(n):
+        page = unit * n
+        t = time.process_time()
+        H.blocks(page)
+        return time.process_time() - t
+
+    seconds(100)
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.05)
+    assert [b.text for b in H.blocks("<p class='a\">end</p>" * 3)] == ["end"] * 3
+
+
+def test_very_long_and_odd_pages(spark, odd):
+    long = "<nav><a href='/'>Home</a></nav><article><h1>A long article</h1>" + "".join(f"<p>Paragraph number {i} of a very long article, with some more words in it.</p>" for i in range(20_000)) + "</article><footer>&copy; example</footer>"
+    deep = "<div>" * 20_000 + "<p>Deep down stands a paragraph that has quite a few words to say, and it ends well.</p>"
+    pages = odd.selectExpr("doc_id as page_id", "lang as url", "text as html", "a as n_chars").union(spark.createDataFrame([(900, "u", long, 1), (901, None, deep, None)], "page_id long, url string, html string, n_chars int"))
+    rows = H.extract(pages).collect()
+    assert len(rows) == odd.count() + 2 and all(r["text"] is not None and r["n_chars"] == len(r["text"]) for r in rows)
+    (r,) = [r for r in rows if r["page_id"] == 900]
+    assert r["text"].count("Paragraph number") == 20_000 and r["text"].startswith("A long article Paragraph") and "example" not in r["text"]
+
+
 def test_html_held_out_pages():
     model, good, wrong, all_ = H.default_model(), 0, 0, 0
     for _, blocks, labels in H.training_pages(60, seed=77):
