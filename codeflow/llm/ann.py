@@ -2,15 +2,17 @@
 
 A bounded sample is halved again and again along its main split, so its clusters are balanced; their centroids form the
 index in memory, searched over a graph of near centroids. Every vector goes to its nearest list, and, when it lies near a
-boundary, to further lists (no two of them nearer to each other than to the vector). A list that grew beyond its share is
-read in parts. A query reads the lists whose centroid is at most ``RATIO`` times as far as the nearest one; the vectors
-there are compared with it, and the best are scored exactly on the original vectors in double precision.
+boundary, to further lists (no two of them nearer to each other than to the vector). A query reads the lists whose centroid
+is at most a ratio times as far as the nearest one; the ratio is the least at which the neighbours inside the sample are
+found with the wanted recall. A list of more than ``PART`` vectors is cut again, by centroids of its own, and read by the
+same rule. The vectors read are compared with the query, and the best are scored exactly on the original vectors in double
+precision. Small lists that lie side by side are compared in one task.
 
 Equal vectors are one entry with its smallest ids, as many as a result can show, so copies of one vector make no list
-hot. Defined results: vectors null, empty, zero or holding null or non-finite components, rows with a null id, and
-vectors of another length than the most common one take no part, as query or as candidate; repeated rows count once;
-equal scores are ordered by the smaller id; fewer candidates than asked for are returned all; an empty table gives an
-empty result. Only the id and the vector column are read, so further columns may have any name.
+hot. Defined results: vectors null, empty, zero or holding null or non-finite components and rows with a null id take no
+part, as query or as candidate; vectors of different lengths have no cosine, so each length has lists of its own; repeated
+rows count once; equal scores are ordered by the smaller id; fewer candidates than asked for are returned all; an empty
+table gives an empty result. Only the id and the vector column are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,19 +26,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import bounded, cut, small
 
 #: Vectors of the sample that the centroids come from at most, and floats of it at most.
 SAMPLE, SAMPLE_FLOATS = 20_000, 2_000_000
 #: Distinct vectors for each list to aim at, and lists at most.
-LIST_SIZE, MAX_LISTS = 50, 1024
+LIST_SIZE, MAX_LISTS = 50, 4096
 #: Lists that a vector may stand in, and how much farther than the nearest they may be.
 REPLICAS, CLOSURE = 4, 1.25
-#: Farthest list read, as a multiple of the distance to the nearest; lists read at least.
-RATIO, LEAST_LISTS = 1.6, 8
-#: Vectors of one part of a list.
-PART = 20_000
-_DEGREE, _BEAM = 24, 320
+#: Share of the neighbours of sampled queries that the lists read must hold, sampled queries, and lists read at least.
+RECALL, PROBES, LEAST_LISTS = 0.96, 512, 8
+#: Vectors that a task compares; longer lists are cut into parts of about as many, but into no more than MAX_PARTS by
+#: centroids (what is still longer is dealt by hash, and all of it read).
+PART, MAX_PARTS = 20_000, 256
+_DEGREE, _STEP = 16, 4
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square leaves the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _halves(x: np.ndarray, rows: np.ndarray, leaf: float, rng: np.random.Generator) -> list[np.ndarray]:
@@ -56,74 +65,110 @@ def _halves(x: np.ndarray, rows: np.ndarray, leaf: float, rng: np.random.Generat
 
 
 class Graph:
-    """Centroids and, for each, its nearest others; searched best first from one entry."""
+    """Centroids and, for each, its nearest others; searched best first from a few entries."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    def __init__(self, sample: np.ndarray, lists: int, neighbours: int = 5):
+        unit = _unit(sample)
         parts = _halves(unit, np.arange(len(unit)), len(unit) / lists, np.random.default_rng(7))
         centre = np.stack([unit[p].mean(0) for p in parts])
         self.centre = (centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-        like = self.centre @ self.centre.T
-        np.fill_diagonal(like, np.inf)
-        near = np.argsort(-like, axis=1, kind="stable")[:, : _DEGREE + 1]
+        k, near = len(self.centre), []
+        for a in range(0, k, 1024):
+            like = self.centre[a : a + 1024] @ self.centre.T
+            like[np.arange(len(like)), a + np.arange(len(like))] = np.inf
+            near.append(np.argsort(-like, axis=1, kind="stable")[:, : _DEGREE + 1])
         # each also knows the next on a ring, so that every centroid can be reached
-        self.near = np.concatenate([near, (np.arange(len(near))[:, None] + 1) % len(near)], 1)
-        self.entry = int(np.argmax(self.centre @ self.centre.mean(0)))
+        self.near = np.concatenate([np.concatenate(near), (np.arange(k)[:, None] + 1) % k], 1)
+        self.entries = np.unique(np.linspace(0, k - 1, 16).astype(np.int64))  # the halving order spreads them out
+        self.ratio, self.beam = self._calibrated(unit.astype(np.float32), neighbours)
 
-    def search(self, x: np.ndarray, beam: int = _BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """For unit vectors the lists found, nearest first, and their distances (infinite: not seen)."""
+    def _calibrated(self, unit: np.ndarray, k: int) -> tuple[float, int]:
+        """The least ratio at which sampled queries find RECALL of their k nearest of the sample, and the lists that nearly
+        all of them then read. (Where the index holds more than the sample, neighbours are nearer and found as well.)"""
+        probes = unit[np.linspace(0, len(unit) - 1, min(PROBES, len(unit))).astype(np.int64)]
+        far = np.maximum(1 - probes @ self.centre.T, 0)
+        ratio = far / np.maximum(far.min(axis=1, keepdims=True), 1e-6)
+        like = probes @ unit.T
+        near = np.argsort(-like, axis=1, kind="stable")[:, 1 : k + 1]
+        if not near.size:
+            return 1.0, LEAST_LISTS
+        lists = self.lists_of(unit[near.ravel()])
+        need = np.sort([ratio[i // near.shape[1], own].min() for i, own in enumerate(lists)])
+        wanted = float(need[min(len(need) - 1, int(RECALL * len(need)))]) * 1.001
+        return wanted, max(LEAST_LISTS, int(np.quantile((ratio <= wanted).sum(axis=1), 0.99)))
+
+    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """For unit vectors the lists found, nearest first, and their distances (infinite: not seen). Of the ``beam`` best
+        lists of a vector the nearest ones not yet opened are, a few at a time, until all of them have been."""
         n, k = len(x), len(self.centre)
         beam = min(beam, k)
-        like, done = np.full((n, k), -np.inf, np.float32), np.zeros((n, k), bool)
-        like[:, self.entry] = x @ self.centre[self.entry]
-        live = np.arange(n)
+        wide = max(beam, len(self.entries))
+        ids, like = np.zeros((n, wide), np.int64), np.full((n, wide), -np.inf, np.float32)
+        ids[:, : len(self.entries)], like[:, : len(self.entries)] = self.entries, x @ self.centre[self.entries].T
+        closed, seen = ~np.isfinite(like), np.zeros((n, k), bool)
+        seen[:, self.entries] = True
+        live, step = np.arange(n), min(_STEP, wide)
         while len(live):
-            open_ = np.where(done[live], -np.inf, like[live])
-            step = min(8, k)
-            best = np.argpartition(-open_, step - 1, axis=1)[:, :step]
-            value = np.take_along_axis(open_, best, 1)
-            worst = np.partition(like[live], k - beam, axis=1)[:, k - beam]
-            go = np.isfinite(value) & (value >= worst[:, None])
-            keep = go.any(1)
-            live, best, go = live[keep], best[keep], go[keep]
+            best = np.argpartition(np.where(closed[live], np.inf, -like[live]), step - 1, axis=1)[:, :step]
+            go = ~np.take_along_axis(closed[live], best, 1)
+            some = go.any(1)
+            live, best, go = live[some], best[some], go[some]
             if not len(live):
                 break
             r, c = np.nonzero(go)
-            rows, nodes = live[r], best[r, c]
-            done[rows, nodes] = True
-            to = self.near[nodes]
-            rows = np.repeat(rows, to.shape[1])
-            to = to.ravel()
-            new = ~np.isfinite(like[rows, to])
-            rows, to = rows[new], to[new]
-            like[rows, to] = np.einsum("ij,ij->i", x[rows], self.centre[to])
+            closed[live[r], best[r, c]] = True
+            to = self.near[ids[live[r], best[r, c]]]
+            key = np.repeat(r, to.shape[1]) * k + to.ravel()
+            key = np.unique(key[~seen[live[key // k], key % k]])
+            row, to = key // k, key % k
+            seen[live[row], to] = True
+            first = np.searchsorted(row, np.arange(len(live) + 1))
+            more = int(np.diff(first).max(initial=0))
+            if not more:
+                continue
+            place = np.arange(len(row)) - first[row]
+            new_ids, new_like = np.zeros((len(live), more), np.int64), np.full((len(live), more), -np.inf, np.float32)
+            new_ids[row, place] = to
+            new_like[row, place] = np.einsum("ij,ij->i", x[live[row]], self.centre[to])
+            all_like = np.concatenate([like[live], new_like], 1)
+            top = np.argpartition(-all_like, wide - 1, axis=1)[:, :wide]
+            like[live] = np.take_along_axis(all_like, top, 1)
+            ids[live] = np.take_along_axis(np.concatenate([ids[live], new_ids], 1), top, 1)
+            closed[live] = np.take_along_axis(np.concatenate([closed[live], ~np.isfinite(new_like)], 1), top, 1)
         order = np.argsort(-like, axis=1, kind="stable")[:, :beam]
-        return order, np.maximum(1 - np.take_along_axis(like, order, 1), 0)
+        return np.take_along_axis(ids, order, 1), np.maximum(1 - np.take_along_axis(like, order, 1), 0)
 
-    def lists_of(self, x: np.ndarray) -> Iterator[list[int]]:
+    def lists_of(self, x: np.ndarray) -> list[list[int]]:
         """The lists of each vector: the nearest and those just beyond a boundary, spread out."""
-        order, far = self.search(x, min(32, len(self.centre)))
-        for row, d in zip(order, far, strict=True):
-            own = [int(row[0])]
-            for c, dist in zip(row[1:].tolist(), d[1:].tolist(), strict=True):
-                if len(own) == REPLICAS or not dist <= CLOSURE * d[0]:
-                    break
-                if all(1 - float(self.centre[c] @ self.centre[o]) > dist * 0.8 for o in own):
-                    own.append(c)
-            yield own
-
-    def lists_for(self, x: np.ndarray) -> Iterator[list[int]]:
+        out = []
+        for a in range(0, len(x), 512):
+            order, far = self.search(x[a : a + 512], min(32, len(self.centre)))
+            centre = self.centre[order]
+            apart = 1 - centre @ centre.transpose(0, 2, 1)
+            shut = ~(far <= CLOSURE * far[:, :1])
+            rows, last = np.arange(len(order)), np.zeros(len(order), np.int64)
+            chosen = np.zeros(order.shape, bool)
+            chosen[:, 0] = True
+            for _ in range(REPLICAS - 1):  # the next list in order that no chosen one is too near to
+                shut |= (apart[rows, last] <= far * 0.8) | (np.arange(order.shape[1]) <= last[:, None])
+                last = np.where(shut.all(1), last, np.argmin(shut, axis=1))
+                chosen[rows, last] = True
+            out += [row[mine].tolist() for row, mine in zip(order, chosen, strict=True)]
+        return out
+
+    def lists_for(self, x: np.ndarray) -> list[list[int]]:
         """The lists that each query reads."""
-        order, far = self.search(x)
-        for row, d in zip(order, far, strict=True):
-            n = max(min(LEAST_LISTS, len(row)), int(np.count_nonzero(d <= RATIO * d[0])))
-            yield [int(c) for c, dist in zip(row[:n], d[:n], strict=True) if math.isfinite(dist)]
+        out = []
+        for a in range(0, len(x), 512):
+            order, far = self.search(x[a : a + 512], self.beam)
+            n = np.maximum(min(LEAST_LISTS, order.shape[1]), (far <= self.ratio * far[:, :1]).sum(axis=1))
+            out += [row[:m][np.isfinite(d[:m])].tolist() for row, d, m in zip(order, far, n.tolist(), strict=True)]
+        return out
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    flat = np.asarray(col.flatten(), np.float64)
-    x = flat.reshape(len(col), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Unit rows from a column of vectors of one length."""
+    return _unit(np.asarray(col.flatten(), np.float64).reshape(len(col), -1))
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -140,12 +185,116 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 becomes 0.0
 
 
+def _lists(graphs: dict[int, Graph], col: pa.Array, which: str) -> list[list[int]]:
+    """The lists of each vector of a column; all vectors of a length without a graph share one list."""
+    sizes = np.diff(col.offsets.to_numpy())
+    out = [[0]] * len(col)
+    for w in np.unique(sizes).tolist():
+        if w in graphs:
+            at = np.flatnonzero(sizes == w)
+            for a in range(0, len(at), 4096):
+                own = at[a : a + 4096]
+                for i, lists in zip(own.tolist(), getattr(graphs[w], which)(_matrix(col.take(pa.array(own))).astype(np.float32)), strict=True):
+                    out[i] = lists
+    return out
+
+
+def _router(graphs: dict[int, Graph], which: str, keep: list[int]):
+    """A row for each vector (second column) and list: its length, the list, and the columns kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                col = batch.column(1)
+                lists = _lists(graphs, col, which)
+                at = pa.array(np.repeat(np.arange(len(lists)), [len(own) for own in lists]))
+                sizes = pa.array(np.diff(col.offsets.to_numpy()), pa.int32())
+                yield pa.record_batch([sizes.take(at), pa.array([c for own in lists for c in own], pa.int32()), *(batch.column(j).take(at) for j in keep)], names=["w", "list", *(batch.schema.names[j] for j in keep)])
+
+    return run
+
+
+def _sub_centres(group: pa.Table) -> pa.Table:
+    """Centroids of the parts of one long list, from a sample of it."""
+    unit, parts = _matrix(group.column("v").combine_chunks()), group.column("parts")[0].as_py()
+    halves = _halves(unit, np.arange(len(unit)), len(unit) / parts, np.random.default_rng(7))
+    centre = _unit(np.stack([unit[p].mean(0) for p in halves]) + 1e-300)
+    return pa.table([group.column("w").slice(0, 1), group.column("list").slice(0, 1), pa.array([centre.ravel().tolist()], pa.list_(pa.float64()))], names=["w", "list", "centres"])
+
+
+def _part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, list, h, v, part) of vectors with the centroids (last column) of their list."""
+    for batch in batches:
+        part = [int(np.argmax(np.array(c).reshape(-1, w) @ _unit(np.array([v]))[0])) for w, v, c in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        yield pa.record_batch([*batch.columns[:4], pa.array(part, pa.int32())], names=["w", "list", "h", "v", "part"])
+
+
+def _parts_for(ratios: dict[int, float]):
+    """(w, list, query_id, own, part) for the parts that a query reads of a long list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts = [], []
+            for i, (w, q, c) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                far = np.maximum(1 - np.array(c).reshape(-1, w) @ _unit(np.array([q]))[0], 0)
+                order = np.argsort(far, kind="stable")
+                n = max(min(LEAST_LISTS, len(far)), int((far <= ratios.get(w, math.inf) * far.min()).sum()))
+                rows += [i] * n
+                parts += order[:n].tolist()
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch([*(c.take(at) for c in batch.columns[:4]), pa.array(parts, pa.int32())], names=["w", "list", "query_id", "own", "part"])
+
+    return run
+
+
+def _comparer(wide: int):
+    schema = pa.schema([("query_id", pa.int64()), ("own", pa.int64()), ("h", pa.int64()), ("near", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        x, q = _matrix(left.column("v").combine_chunks()), _matrix(right.column("q").combine_chunks())
+        of, h = left.column("list").to_numpy(), left.column("h").to_numpy()
+        asked = right.column("lists").combine_chunks()
+        asker, list_ = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
+        found = []
+        for c in np.unique(of).tolist():
+            mine, who = np.flatnonzero(of == c), asker[list_ == c]
+            for a in range(0, len(who), 256):
+                like = q[who[a : a + 256]] @ x[mine].T
+                top = np.argpartition(-like, min(wide, len(mine)) - 1, axis=1)[:, :wide]
+                found.append((np.repeat(who[a : a + 256], top.shape[1]), mine[top].ravel(), np.take_along_axis(like, top, 1).ravel()))
+        if not found:
+            return schema.empty_table()
+        i, j, near = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((h[j], -near, i))
+        i, j, near = i[order], j[order], near[order]
+        _, once = np.unique(np.stack([i, h[j]], 1), axis=0, return_index=True)  # a vector can stand in several lists
+        once.sort()
+        i, j, near = i[once], j[once], near[once]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < wide
+        i, j, near = i[best], j[best], near[best]
+        take = lambda name: right.column(name).combine_chunks().take(pa.array(i))
+        return pa.table([take("query_id"), take("own"), pa.array(h[j]), pa.array(near)], schema=schema)
+
+    return run
+
+
+def _fitted(index: DataFrame, n: int, k: int) -> dict[int, Graph]:
+    """For each length of vectors of the sample its graph; the sample is as many rows as the bounds allow."""
+    order = F.xxhash64("h")
+    sizes = index.select(order.alias("o"), F.size("v").alias("w")).orderBy("o").limit(SAMPLE).collect()
+    within = int(np.searchsorted(np.cumsum([r["w"] for r in sizes]), SAMPLE_FLOATS, "right")) or 1
+    rows = index.filter(order <= sizes[min(within, len(sizes)) - 1]["o"]).select("v").limit(SAMPLE).collect() if sizes else []
+    by: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: tuple(r["v"][:4])):
+        by.setdefault(len(r["v"]), []).append(r["v"])
+    return {w: Graph(np.array(own), max(1, min(MAX_LISTS, int(n * len(own) / len(rows)) // LIST_SIZE, len(own) // 8)), k) for w, own in by.items()}
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row whose id is divisible by ``every``."""
-    usable = _usable(vectors, id_col, vector_col)
-    sizes = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
-    width = sizes[0]["d"] if sizes else 0
-    rows = cut(usable.filter(F.size("v") == width).withColumn("h", F.xxhash64("v")))
+    rows = cut(_usable(bounded(vectors), id_col, vector_col).withColumn("h", F.xxhash64("v")))
     keep = k + 1
     # the smallest ids of each vector, first within shares of its copies
     first = rows.select("h", "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
@@ -153,49 +302,43 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))).filter(F.col("n") <= keep)
     ids = first.groupBy("h").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     index = cut(rows.groupBy("h").agg(F.first("v").alias("v")).join(ids, "h"))
-    n = index.count()
+    n, width = index.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     queries = cut(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "h").dropDuplicates(["query_id", "h"]))
-    result = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return vectors.sparkSession.createDataFrame([], result)
-    most = max(1, min(SAMPLE, SAMPLE_FLOATS // width))
-    sample = np.array([r["v"] for r in index.orderBy(F.xxhash64("h"), "h").limit(most).select("v").collect()])
-    graph = Graph(sample, max(1, min(MAX_LISTS, n // LIST_SIZE, len(sample) // 8)))
-
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                lists = [c for a in range(0, batch.num_rows, 512) for c in graph.lists_of(_matrix(batch.column(1).slice(a, 512)).astype(np.float32))]
-                at = pa.array(np.repeat(np.arange(len(lists)), [len(c) for c in lists]))
-                yield pa.record_batch([pa.array([c for own in lists for c in own], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "h", "v"])
-
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                lists = [c for a in range(0, batch.num_rows, 512) for c in graph.lists_for(_matrix(batch.column(1).slice(a, 512)).astype(np.float32))]
-                at = pa.array(np.repeat(np.arange(len(lists)), [len(c) for c in lists]))
-                yield pa.record_batch([pa.array([c for own in lists for c in own], pa.int32()), batch.column(0).take(at), batch.column(2).take(at), batch.column(1).take(at)], names=["list", "query_id", "own", "q"])
-
-    postings = cut(index.select("h", "v").mapInArrow(posted, "list int, h long, v array<double>"))
-    parts = F.broadcast(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))  # at most MAX_LISTS rows
-    postings = postings.join(parts, "list").withColumn("part", F.pmod("h", F.col("parts")).cast("int")).drop("parts")
-    asked = queries.mapInArrow(routed, "list int, query_id long, own long, q array<double>").join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    wide = keep + 8  # approximate order of the best may differ in the last bits
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("own", pa.int64()), ("h", pa.int64()), ("near", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        x, q = _matrix(left.column("v").combine_chunks()), _matrix(right.column("q").combine_chunks())
-        like = q @ x.T
-        top = np.argpartition(-like, min(wide, len(x)) - 1, axis=1)[:, :wide]
-        i = np.repeat(np.arange(len(q)), top.shape[1])
-        return pa.table([right.column("query_id").combine_chunks().take(pa.array(i)), right.column("own").combine_chunks().take(pa.array(i)), left.column("h").combine_chunks().take(pa.array(top.ravel())), pa.array(like[i, top.ravel()])], schema=schema)
-
-    near = postings.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(compare, "query_id long, own long, h long, near double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    graphs = _fitted(index, n, k)
+    postings = cut(index.select("h", "v").mapInArrow(_router(graphs, "lists_of", [0, 1]), "w int, list int, h long, v array<double>"))
+    asked = cut(queries.select("query_id", F.col("v").alias("q"), F.col("h").alias("own")).mapInArrow(_router(graphs, "lists_for", [0, 2]), "w int, list int, query_id long, own long"))
+    # small lists side by side are one bundle; long ones are cut into parts
+    sizes = postings.groupBy("w", "list").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("w").orderBy("list")) - F.col("n")
+    plan = cut(sizes.select("w", "list", F.least(F.ceil(F.col("n") / PART), F.lit(MAX_PARTS)).cast("int").alias("parts"), F.when(F.col("n") > PART, -1 - F.col("list")).otherwise(F.floor(before / PART)).cast("int").alias("bundle"), F.ceil(F.col("n") / PART / MAX_PARTS).cast("int").alias("salts")))
+    long_ = plan.filter("parts > 1")
+    vectors_of, wanted = postings.join(small(plan), ["w", "list"]), asked.join(small(plan), ["w", "list"])
+    text = queries.select("query_id", F.col("h").alias("own"), F.col("v").alias("q"))
+    text = small(text, row_bytes=8 * width + 64)
+    dealt, read = vectors_of.filter("parts = 1").select("w", "list", "h", "v", "bundle", F.lit(0).alias("part"), F.lit(0).alias("salt")), wanted.filter("parts = 1").select("w", "list", "query_id", "own", "bundle", F.lit(0).alias("part"), F.lit(0).alias("salt"))
+    if not long_.isEmpty():
+        sampled = vectors_of.filter("parts > 1").filter(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(PART)) < F.lit(64))  # about 64 of each part
+        one = F.row_number().over(Window.partitionBy("w", "list").orderBy("h"))  # (at least one of each list)
+        least = vectors_of.filter("parts > 1").groupBy("w", "list").agg(F.min("h").alias("h"))
+        sampled = sampled.select("w", "list", "parts", "h", "v").union(vectors_of.filter("parts > 1").join(least, ["w", "list", "h"]).select("w", "list", "parts", "h", "v"))
+        sampled = sampled.withColumn("at", one).filter(F.col("at") <= 64 * MAX_PARTS).drop("at", "h")
+        centres = cut(sampled.groupBy("w", "list").applyInArrow(_sub_centres, "w int, list int, centres array<double>"))
+        centres = small(centres, row_bytes=8 * width * MAX_PARTS)
+        cut_up = vectors_of.filter("parts > 1").select("w", "list", "h", "v").join(centres, ["w", "list"]).select("w", "list", "h", "v", "centres").mapInArrow(_part_of, "w int, list int, h long, v array<double>, part int")
+        salts = small(plan.select("w", "list", "bundle", "salts"))
+        dealt = dealt.unionByName(cut_up.join(salts, ["w", "list"]).withColumn("salt", F.pmod("h", F.col("salts")).cast("int")).drop("salts"))
+        ratios = {w: g.ratio for w, g in graphs.items()}
+        some = wanted.filter("parts > 1").select("w", "list", "query_id", "own").join(text, ["query_id", "own"]).join(centres, ["w", "list"]).select("w", "list", "query_id", "own", "q", "centres").mapInArrow(_parts_for(ratios), "w int, list int, query_id long, own long, part int")
+        read = read.unionByName(some.join(salts, ["w", "list"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
+    group, wide = ["w", "bundle", "part", "salt"], keep + 8  # approximate order of the best may differ in the last bits
+    read = read.groupBy(*group, "query_id", "own").agg(F.collect_list("list").alias("lists")).join(text, ["query_id", "own"])
+    read = read.toDF(*read.columns)  # columns of its own, as both sides come of the same plan table
+    near = dealt.groupBy(*group).cogroup(read.groupBy(*group)).applyInArrow(_comparer(wide), "query_id long, own long, h long, near double")
     near = near.groupBy("query_id", "own", "h").agg(F.max("near").alias("near"))
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.col("near").desc(), "h"))).filter(F.col("n") <= wide).select("query_id", F.col("own").alias("q_h"), "h")
-    best = near.join(index, "h").join(small(queries.select("query_id", F.col("h").alias("q_h"), F.col("v").alias("q")), 100_000), ["query_id", "q_h"])
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.col("near").desc(), "h"))).filter(F.col("n") <= wide).select("query_id", "own", "h")
+    best = near.join(index, "h").join(text, ["query_id", "own"])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

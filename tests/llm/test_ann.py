@@ -36,9 +36,9 @@ def test_recall_and_order(spark):
 
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (50, [1.0, 2.0, 3.0]), (2, [2.0, 0.0]), (100, [0.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (50, [1.0, 2.0, 3.0]), (2, [2.0, 0.0]), (100, [0.0, 0.0]), (150, [1.0]), (151, [-2.0])]
     got = [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in ann.nearest(frame(spark, rows)).collect()]
-    assert sorted(got) == [(0, 1, 2, 1.0), (0, 2, 1, 0.0)]
+    assert sorted(got) == [(0, 1, 2, 1.0), (0, 2, 1, 0.0), (150, 1, 151, -1.0)]  # (50 has no other vector of its length)
     assert ann.nearest(frame(spark, [])).count() == 0 and ann.nearest(frame(spark, [(50, [1.0])])).count() == 0
 
 
@@ -47,6 +47,63 @@ def test_graph_reaches_all_lists():
     g = ann.Graph(r.normal(size=(800, 8)), 64)
     x = r.normal(size=(20, 8))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    order, far = g.search(x)
+    order, far = g.search(x, 32)
     best = np.argmax(x @ g.centre.T, axis=1)
     assert (order[:, 0] == best).mean() > 0.9 and (np.diff(far, axis=1) >= 0).all()
+
+
+def recall(got, want):
+    found = {}
+    for x in got:
+        found.setdefault(x["query_id"], set()).add(x["vec_id"])
+    return np.mean([len(found.get(q, set()) & {i for i, _ in own}) / max(1, len(own)) for q, own in want.items()])
+
+
+def double(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def brute_double(rows, every, k):
+    out = {}
+    for i, q in rows:
+        if i % every == 0:
+            out[i] = sorted(((j, ann.exact_cosine(np.array(q), np.array(v))) for j, v in rows if j != i and len(v) == len(q)), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def test_extreme_norms(spark):
+    r = np.random.default_rng(4)
+    scale = [1e-200, 1e200, 1.0, 1e-308, 1e300]
+    rows = [(i, (r.normal(size=8) * scale[i % 5]).tolist()) for i in range(800)]
+    rows += [(900, [1e-200] * 8), (950, [1e200] + [1.0] * 7), (951, [5e-324] + [0.0] * 7)]
+    got = ann.nearest(double(spark, rows)).collect()
+    want = brute_double(rows, 50, 5)
+    assert recall(got, want) >= 0.9 and {(x["query_id"], x["rank"], x["vec_id"]) for x in got if x["query_id"] == 950 and x["rank"] == 1} == {(950, 1, 951)}
+    exact = {(q, i): s for q, own in brute_double(rows, 50, len(rows)).items() for i, s in own}
+    assert all(x["score"] == exact[x["query_id"], x["vec_id"]] for x in got)
+
+
+def test_lengths_have_lists_of_their_own(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=[6, 9, 14][i % 3]).tolist()) for i in range(1500)]
+    assert recall(ann.nearest(double(spark, rows)).collect(), brute_double(rows, 50, 5)) >= 0.9
+
+
+def test_long_lists_are_cut_again(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(ann, "MAX_LISTS", 6)
+    monkeypatch.setattr(ann, "PART", 60)
+    centre = r.normal(size=(40, 12))
+    rows = [(i, (centre[i % 40] + 0.4 * r.normal(size=12)).tolist()) for i in range(3000)]
+    want = brute_double(rows, 50, 5)
+    assert recall(ann.nearest(double(spark, rows)).collect(), want) >= 0.9
+    monkeypatch.setattr(ann, "MAX_PARTS", 2)  # and dealt by hash beyond that
+    assert recall(ann.nearest(double(spark, rows)).collect(), want) >= 0.9
+
+
+def test_clusters_need_few_lists():
+    r = np.random.default_rng(8)
+    centre = r.normal(size=(200, 32))
+    x = np.concatenate([centre + 0.2 * r.normal(size=centre.shape) for _ in range(40)])
+    g = ann.Graph(x, 160)
+    assert np.mean([len(own) for own in g.lists_for(ann._unit(x[:400]).astype(np.float32))]) < 24
