@@ -3,8 +3,8 @@
 A bounded sample is halved again and again along its main split, so its clusters are balanced; their centroids form the
 index in memory, searched over a graph of near centroids. Every vector goes to its nearest list, and, when it lies near a
 boundary, to further lists (no two of them nearer to each other than to the vector). A query reads the lists whose centroid
-is at most a ratio times as far as the nearest one; the ratio is the least at which the neighbours inside the sample are
-found with the wanted recall. A list of more than ``PART`` vectors is cut again, by centroids of its own, and read by the
+is at most a ratio times as far as the nearest one, up to a number of lists; ratio and number are those at which some sampled
+queries find the wanted share of their nearest in the whole index, which one pass over it tells, from the fewest lists. A list of more than ``PART`` vectors is cut again, by centroids of its own, and read by the
 same rule. The vectors read are compared with the query, and the best are scored exactly on the original vectors in double
 precision. Small lists that lie side by side are compared in one task.
 
@@ -35,7 +35,7 @@ LIST_SIZE, MAX_LISTS = 50, 4096
 #: Lists that a vector may stand in, and how much farther than the nearest they may be.
 REPLICAS, CLOSURE = 4, 1.25
 #: Share of the neighbours of sampled queries that the lists read must hold, sampled queries, and lists read at least.
-RECALL, PROBES, LEAST_LISTS = 0.96, 512, 8
+RECALL, PROBES, LEAST_LISTS = 0.95, 256, 8
 #: Vectors that a task compares; longer lists are cut into parts of about as many, but into no more than MAX_PARTS by
 #: centroids (what is still longer is dealt by hash, and all of it read).
 PART, MAX_PARTS = 20_000, 256
@@ -67,7 +67,7 @@ def _halves(x: np.ndarray, rows: np.ndarray, leaf: float, rng: np.random.Generat
 class Graph:
     """Centroids and, for each, its nearest others; searched best first from a few entries."""
 
-    def __init__(self, sample: np.ndarray, lists: int, neighbours: int = 5):
+    def __init__(self, sample: np.ndarray, lists: int):
         unit = _unit(sample)
         parts = _halves(unit, np.arange(len(unit)), len(unit) / lists, np.random.default_rng(7))
         centre = np.stack([unit[p].mean(0) for p in parts])
@@ -80,22 +80,24 @@ class Graph:
         # each also knows the next on a ring, so that every centroid can be reached
         self.near = np.concatenate([np.concatenate(near), (np.arange(k)[:, None] + 1) % k], 1)
         self.entries = np.unique(np.linspace(0, k - 1, 16).astype(np.int64))  # the halving order spreads them out
-        self.ratio, self.beam = self._calibrated(unit.astype(np.float32), neighbours)
+        self.ratio, self.beam = math.inf, k
 
-    def _calibrated(self, unit: np.ndarray, k: int) -> tuple[float, int]:
-        """The least ratio at which sampled queries find RECALL of their k nearest of the sample, and the lists that nearly
-        all of them then read. (Where the index holds more than the sample, neighbours are nearer and found as well.)"""
-        probes = unit[np.linspace(0, len(unit) - 1, min(PROBES, len(unit))).astype(np.int64)]
+    def calibrate(self, probes: np.ndarray, near: np.ndarray, of: np.ndarray) -> None:
+        """Takes the ratio and the number of lists (the nearest ones) within which unit queries ``probes`` find RECALL of
+        their neighbours ``near`` (each of the probe ``of``) and read the fewest lists."""
         far = np.maximum(1 - probes @ self.centre.T, 0)
         ratio = far / np.maximum(far.min(axis=1, keepdims=True), 1e-6)
-        like = probes @ unit.T
-        near = np.argsort(-like, axis=1, kind="stable")[:, 1 : k + 1]
-        if not near.size:
-            return 1.0, LEAST_LISTS
-        lists = self.lists_of(unit[near.ravel()])
-        need = np.sort([ratio[i // near.shape[1], own].min() for i, own in enumerate(lists)])
-        wanted = float(need[min(len(need) - 1, int(RECALL * len(need)))]) * 1.001
-        return wanted, max(LEAST_LISTS, int(np.quantile((ratio <= wanted).sum(axis=1), 0.99)))
+        rank = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1, kind="stable")
+        lists = list(zip(of.tolist(), self.lists_of(near), strict=True))
+        if not lists:
+            return
+        best, k = (math.inf, math.inf, len(self.centre)), len(self.centre)
+        for beam in sorted({min(k, int(LEAST_LISTS * 1.2**i)) for i in range(60)}):
+            need = np.sort([np.where(rank[i, own] < beam, ratio[i, own], np.inf).min() for i, own in lists])
+            within = float(need[min(len(need) - 1, int(RECALL * len(need)))]) * 1.001
+            if math.isfinite(within):
+                best = min(best, (float(np.minimum(beam, (ratio <= within).sum(axis=1)).mean()), within, beam))
+        _, self.ratio, self.beam = best
 
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For unit vectors the lists found, nearest first, and their distances (infinite: not seen). Of the ``beam`` best
@@ -107,7 +109,7 @@ class Graph:
         ids[:, : len(self.entries)], like[:, : len(self.entries)] = self.entries, x @ self.centre[self.entries].T
         closed, seen = ~np.isfinite(like), np.zeros((n, k), bool)
         seen[:, self.entries] = True
-        live, step = np.arange(n), min(_STEP, wide)
+        live, step = np.arange(n), min(max(_STEP, beam // 16), wide)
         while len(live):
             best = np.argpartition(np.where(closed[live], np.inf, -like[live]), step - 1, axis=1)[:, :step]
             go = ~np.take_along_axis(closed[live], best, 1)
@@ -142,7 +144,7 @@ class Graph:
         """The lists of each vector: the nearest and those just beyond a boundary, spread out."""
         out = []
         for a in range(0, len(x), 512):
-            order, far = self.search(x[a : a + 512], min(32, len(self.centre)))
+            order, far = self.search(x[a : a + 512], min(16, len(self.centre)))
             centre = self.centre[order]
             apart = 1 - centre @ centre.transpose(0, 2, 1)
             shut = ~(far <= CLOSURE * far[:, :1])
@@ -280,6 +282,41 @@ def _comparer(wide: int):
     return run
 
 
+def _calibrate(index: DataFrame, graphs: dict[int, Graph], sample: dict[int, np.ndarray], k: int) -> None:
+    """Holds PROBES queries of the sample against all vectors, and sets each graph's ratio by their nearest."""
+    probes = {w: _unit(x[np.unique(np.linspace(0, len(x) - 1, PROBES).astype(np.int64))]) for w, x in sample.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the nearest of each probe so far, and their likeness
+        for batch in batches:
+            col = batch.column(0)
+            sizes = np.diff(col.offsets.to_numpy())
+            for w in np.unique(sizes).tolist():
+                if w in probes:
+                    own = np.flatnonzero(sizes == w)
+                    for a in range(0, len(own), 4096):
+                        x = _matrix(col.take(pa.array(own[a : a + 4096])))
+                        like = probes[w] @ x.T
+                        like[like > 1 - 1e-12] = -np.inf  # itself, or one as good
+                        top = np.argpartition(-like, min(k, like.shape[1]) - 1, axis=1)[:, :k]
+                        near, like = x[top], np.take_along_axis(like, top, 1)
+                        if w in best:
+                            near, like = np.concatenate([best[w][0], near], 1), np.concatenate([best[w][1], like], 1)
+                            top = np.argpartition(-like, min(k, like.shape[1]) - 1, axis=1)[:, :k]
+                            near, like = np.take_along_axis(near, top[:, :, None], 1), np.take_along_axis(like, top, 1)
+                        best[w] = near, like
+        for w, (near, like) in best.items():
+            i, j = np.nonzero(np.isfinite(like))
+            yield pa.record_batch([pa.array(np.full(len(i), w), pa.int32()), pa.array(i, pa.int32()), pa.array(like[i, j]), pa.array(near[i, j].tolist(), pa.list_(pa.float64()))], names=["w", "probe", "near", "v"])
+
+    found = index.select("v").mapInArrow(run, "w int, probe int, near double, v array<double>")
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("w", "probe").orderBy(F.col("near").desc(), "v"))).filter(F.col("n") <= k).collect()  # k rows a probe
+    for w, graph in graphs.items():
+        mine = sorted((r["probe"], r["n"], r["v"]) for r in found if r["w"] == w)
+        if mine:
+            graph.calibrate(probes[w].astype(np.float32), np.array([v for *_, v in mine], np.float32), np.array([i for i, *_ in mine]))
+
+
 def _fitted(index: DataFrame, n: int, k: int) -> dict[int, Graph]:
     """For each length of vectors of the sample its graph; the sample is as many rows as the bounds allow."""
     order = F.xxhash64("h")
@@ -289,7 +326,10 @@ def _fitted(index: DataFrame, n: int, k: int) -> dict[int, Graph]:
     by: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: tuple(r["v"][:4])):
         by.setdefault(len(r["v"]), []).append(r["v"])
-    return {w: Graph(np.array(own), max(1, min(MAX_LISTS, int(n * len(own) / len(rows)) // LIST_SIZE, len(own) // 8)), k) for w, own in by.items()}
+    sample = {w: np.array(own) for w, own in by.items()}
+    graphs = {w: Graph(x, max(1, min(MAX_LISTS, int(n * len(x) / len(rows)) // LIST_SIZE, len(x) // 8))) for w, x in sample.items()}
+    _calibrate(index, graphs, sample, k)
+    return graphs
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -105,5 +105,7 @@ def test_clusters_need_few_lists():
     r = np.random.default_rng(8)
     centre = r.normal(size=(200, 32))
     x = np.concatenate([centre + 0.2 * r.normal(size=centre.shape) for _ in range(40)])
-    g = ann.Graph(x, 160)
+    g, unit = ann.Graph(x, 160), ann._unit(x).astype(np.float32)
+    near = np.argsort(-(unit[:100] @ unit.T), axis=1)[:, 1:6]
+    g.calibrate(unit[:100], unit[near.ravel()], np.repeat(np.arange(100), 5))
     assert np.mean([len(own) for own in g.lists_for(ann._unit(x[:400]).astype(np.float32))]) < 24
