@@ -8,8 +8,8 @@ No count table is collected or broadcast. Documents become chunks of word number
 n-grams once, along with how often it holds them; n-grams are dealt by hash, every part adds up all chunks' counts and
 answers each chunk in the order it asked. A task holds one chunk or one part. Chunks and parts both grow with the square
 root of the corpus, so that the rows exchanged (one for a chunk, a part and an order, of about ``ROW_TOKENS`` tokens) grow
-in proportion to it and not with its square. Unigrams are known by 64-bit hashes; longer n-grams by 40 bits inside their
-part.
+in proportion to it and not with its square. Unigrams are known by 64-bit hashes; longer n-grams by so many bits inside
+their part that one in half a million shares its key with another.
 
 Defined results: null and empty texts have one token, the end; a null doc_id counts as not held out; repeated rows count
 and are scored each; without training documents N and V are 0; an empty table gives an empty result. Only doc_id and
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import BLACK, PIECE_BYTES, bounded, cut, flat, held_out, mix, pieces, word_hashes, words
 
 #: Tokens of a row of the exchange, tokens of a chunk at least, and tokens of a part for each token of a chunk.
-ROW_TOKENS, LEAST_CHUNK, PART_SHARE = 1000, 50_000, 2
+ROW_TOKENS, LEAST_CHUNK, PART_SHARE = 1500, 50_000, 1
+#: Bits of a longer n-gram's key beyond those that number the tokens of a part.
+SPARE_BITS = 19
 #: Bytes of text that count as a token when chunks are sized.
 TOKEN_BYTES = 6
 #: One training document in so many is held out while the mixture weights are learned.
@@ -55,8 +57,8 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32 if size == 4 else np.uint64).ravel().astype(np.uint64)
 
 
-_CHUNKS = pa.schema([("chunk", pa.string()), ("em", pa.bool_()), ("trained", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("roles", pa.list_(pa.int32())), ("vocab", pa.binary()), ("ids", pa.binary())])
-_CHUNKS_SQL = "chunk string, em boolean, trained long, tokens long, types long, doc_ids array<long>, lens array<long>, roles array<int>, vocab binary, ids binary"
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("em", pa.bool_()), ("trained", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("roles", pa.list_(pa.int32())), ("vocab", pa.binary()), ("ids", pa.binary())])
+_CHUNKS_SQL = "chunk long, em boolean, trained long, tokens long, types long, doc_ids array<long>, lens array<long>, roles array<int>, vocab binary, ids binary"
 
 
 def _chunk_tokens(size: int) -> int:
@@ -81,7 +83,7 @@ def _chunks(most: int):
             seq[~last] = np.concatenate([p[3] for p in parts])
             vocab, ids = np.unique(seq, return_inverse=True)
             number += 1
-            return pa.record_batch([[f"{task}-{number}"], [em], [int(lens[roles != _HELD_OUT].sum())], [len(seq)], [len(vocab)], [[i for p in parts for i in p[0]]], [lens.tolist()], [roles.tolist()], [_pack(np.diff(vocab, prepend=np.uint64(0)))], [_pack(ids)]], schema=_CHUNKS)
+            return pa.record_batch([[task << 32 | number], [em], [int(lens[roles != _HELD_OUT].sum())], [len(seq)], [len(vocab)], [[i for p in parts for i in p[0]]], [lens.tolist()], [roles.tolist()], [_pack(np.diff(vocab, prepend=np.uint64(0)))], [_pack(ids)]], schema=_CHUNKS)
 
         for batch in batches:
             data, off = flat(batch.column(1))
@@ -106,14 +108,15 @@ def _chunks(most: int):
 class Chunk:
     """The tokens of a chunk again, and its distinct n-grams of each order in rising order of their keys."""
 
-    def __init__(self, row: dict, parts: int):
+    def __init__(self, row: dict, parts: int, part_tokens: int):
         self.lens = np.array(row["lens"], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lens)])[:-1]
         vocab = np.cumsum(_unpack(row["vocab"], row["types"]), dtype=np.uint64)
         w = vocab[_unpack(row["ids"], row["tokens"]).astype(np.int64)]
         one = self.shifted(w, 1, _BEGIN)
         self.trained = np.repeat(np.array(row["roles"]) != _HELD_OUT, self.lens)
-        self.bits = [64, 40 + max(1, (parts - 1).bit_length()), 40 + max(1, (parts - 1).bit_length())]
+        bits = min(64, SPARE_BITS + part_tokens.bit_length() + max(1, (parts - 1).bit_length()))
+        self.bits = [64, bits, bits]
         grams = [w, mix(one * _MULT[0] + w * _MULT[1]), mix(self.shifted(w, 2, _BEGIN) * _MULT[2] + one * _MULT[0] + w * _MULT[1] + np.uint64(1))]
         self.keys, self.back = zip(*(np.unique(g >> np.uint64(64 - bits), return_inverse=True) for g, bits in zip(grams, self.bits, strict=True)), strict=True)
 
@@ -132,14 +135,14 @@ class Chunk:
         return np.concatenate([np.searchsorted(self.keys[order], bounds), [len(self.keys[order])]])
 
 
-def _requests(parts: int):
-    schema = pa.schema([("part", pa.int32()), ("ord", pa.int32()), ("chunk", pa.string()), ("em", pa.bool_()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _requests(parts: int, part_tokens: int):
+    schema = pa.schema([("part", pa.int32()), ("ord", pa.int32()), ("chunk", pa.int64()), ("em", pa.bool_()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                chunk, rows = Chunk(row, parts), []
+                chunk, rows = Chunk(row, parts, part_tokens), []
                 for o in range(ORDERS):
                     keys, at = chunk.keys[o], chunk.cuts(o, parts)
                     counts = np.bincount(chunk.back[o], chunk.trained, len(keys)).astype(np.uint64)
@@ -149,10 +152,10 @@ def _requests(parts: int):
                             rows.append((p, o, row["chunk"], row["em"], len(own), _pack(np.diff(own, prepend=np.uint64((p << chunk.bits[o]) // parts))), _pack(counts[at[p] : at[p + 1]])))
                 yield pa.record_batch([pa.array([r[j] for r in rows], schema.types[j]) for j in range(7)], schema=schema)
 
-    return run, "part int, ord int, chunk string, em boolean, n long, keys binary, counts binary"
+    return run, "part int, ord int, chunk long, em boolean, n long, keys binary, counts binary"
 
 
-_ANSWERS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("ord", pa.int32()), ("n", pa.int64()), ("every", pa.binary()), ("kept", pa.binary()), ("types", pa.int64())])
+_ANSWERS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("ord", pa.int32()), ("n", pa.int64()), ("every", pa.binary()), ("kept", pa.binary()), ("types", pa.int64())])
 
 
 def _answers(group: pa.Table) -> pa.Table:
@@ -222,8 +225,9 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
     sums = chunks.agg(F.sum("trained"), F.sum("tokens"), F.sum(F.when(~F.col("em"), F.col("trained")))).first()
     n, tokens, n_kept = (int(x or 0) for x in sums)
     parts = max(1, -(-tokens // (PART_SHARE * most)))
-    ask, ask_sql = _requests(parts)
-    answers = chunks.select("chunk", "em", "tokens", "types", "lens", "roles", "vocab", "ids").mapInArrow(ask, ask_sql).groupBy("part", "ord").applyInArrow(_answers, "chunk string, part int, ord int, n long, every binary, kept binary, types long")
+    part_tokens = PART_SHARE * most
+    ask, ask_sql = _requests(parts, part_tokens)
+    answers = chunks.select("chunk", "em", "tokens", "types", "lens", "roles", "vocab", "ids").mapInArrow(ask, ask_sql).groupBy("part", "ord").applyInArrow(_answers, "chunk long, part int, ord int, n long, every binary, kept binary, types long")
     answers = cut(answers)
     v = int(answers.filter("ord = 0").agg(F.sum("types")).first()[0] or 0)
     trained = F.aggregate("roles", F.lit(0), lambda a, r: a + F.when(r != _HELD_OUT, 1).otherwise(0))
@@ -234,7 +238,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
         schema = pa.schema([("bucket", pa.int32()), ("q3", pa.int32()), ("q2", pa.int32()), ("q1", pa.int32()), ("number", pa.int64())])
         if not left.num_rows:
             return schema.empty_table()
-        chunk = Chunk(left.to_pylist()[0], parts)
+        chunk = Chunk(left.to_pylist()[0], parts, part_tokens)
         bucket, p = _components(chunk, _counts_of(chunk, right.to_pylist(), "kept"), docs_kept, n_kept, v)
         with np.errstate(divide="ignore"):
             q = np.where(p[:, :3] > 0, np.rint(-np.log2(np.maximum(p[:, :3], 1e-300)) / STEP), -1).astype(np.int64)
@@ -250,7 +254,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
         if not left.num_rows:
             return schema.empty_table()
         row = left.to_pylist()[0]
-        chunk = Chunk(row, parts)
+        chunk = Chunk(row, parts, part_tokens)
         counts = _counts_of(chunk, right.to_pylist(), "every")
         bucket, p = _components(chunk, counts, docs_all, n, v)
         add = lambda x: np.add.reduceat(x, chunk.first)
