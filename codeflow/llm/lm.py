@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import BLACK, PIECE_BYTES, bounded, cut, flat, held_out, mix, pieces, word_hashes, words
 
 #: Tokens of a row of the exchange, tokens of a chunk at least, and tokens of a part for each token of a chunk.
-ROW_TOKENS, LEAST_CHUNK, PART_SHARE = 1500, 50_000, 1
+ROW_TOKENS, LEAST_CHUNK, PART_SHARE = 1500, 50_000, 0.5
 #: Bits of a longer n-gram's key beyond those that number the tokens of a part.
 SPARE_BITS = 19
 #: Bytes of text that count as a token when chunks are sized.
@@ -224,8 +224,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
     chunks = cut(plain.select("doc_id", "text", role.alias("role")).mapInArrow(_chunks(most), _CHUNKS_SQL))
     sums = chunks.agg(F.sum("trained"), F.sum("tokens"), F.sum(F.when(~F.col("em"), F.col("trained")))).first()
     n, tokens, n_kept = (int(x or 0) for x in sums)
-    parts = max(1, -(-tokens // (PART_SHARE * most)))
-    part_tokens = PART_SHARE * most
+    parts = max(1, -(-tokens // max(1, int(PART_SHARE * most))))
+    part_tokens = max(1, int(PART_SHARE * most))
     ask, ask_sql = _requests(parts, part_tokens)
     answers = chunks.select("chunk", "em", "tokens", "types", "lens", "roles", "vocab", "ids").mapInArrow(ask, ask_sql).groupBy("part", "ord").applyInArrow(_answers, "chunk long, part int, ord int, n long, every binary, kept binary, types long")
     answers = cut(answers)
