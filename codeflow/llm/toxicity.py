@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     model.k = float(min(1.0, max(1e-6, 1 / max(1.0 if u is None else u, 1e-12))))
     price = F.log(F.greatest(F.lit(model.k) * F.greatest("n", F.lit(1)), F.lit(1e-300)))
     evidence = F.aggregate("all", F.lit(0.0), lambda a, v: a + F.greatest(F.lit(0.0), lam * v - price))
-    x = seen.select("y", F.log1p(evidence).alias("x")).orderBy("x", "y").toPandas()  # two numbers of each labelled row
+    x = seen.select("y", F.log1p(evidence).alias("x")).toPandas().sort_values(["x", "y"])  # two numbers of each labelled row
     model.bias, model.slope = logistic(x.x.to_numpy(), (x.y == 1).to_numpy(float))
     return model
 
