@@ -28,8 +28,8 @@ from .common import bounded, cut, flat, pieces, small, words
 
 #: Permitted sequence lengths.
 CAPACITIES = (256, 512, 1024, 2048, 4096)
-#: Rows of one rank task: lengths with more pieces are ranked in several.
-RANK_ROWS = 250_000
+#: Rows of one rank task: lengths with more pieces, or with more than their part of all pieces, are ranked in several.
+RANK_ROWS, RANK_PARTS = 250_000, 512
 
 
 def cost(capacity: int) -> float:
@@ -149,7 +149,8 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     segments, first_bin, capacity = best_fit(histogram, capacities)
     # lengths of many pieces are ranked in shares, dealt by row number: repeated rows and null ids are no hot key
-    shares = [(n, 1 + c // RANK_ROWS) for n, c in histogram.items() if c >= RANK_ROWS]
+    most = max(1, min(RANK_ROWS, sum(histogram.values()) // RANK_PARTS))
+    shares = [(n, 1 + c // most) for n, c in histogram.items() if c >= most]
     shares = F.broadcast(rows.sparkSession.createDataFrame(shares, "length int, shares int"))  # a row a length at most
     salted = rows.join(shares, "length", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("shares", F.lit(1))).cast("int"))
     sums = cut(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
