@@ -23,8 +23,10 @@ from .common import BLACK, bounded, cut, flat, joined, mix, pieces, shingle_hash
 CIRCLE = 1 << 20
 #: Rows of a bucket up to which its open pairs are listed; larger ones are compared block by block.
 SMALL_BUCKET = 8
+#: Pairs that are held against one copy of their leader's text.
+PAIRS_A_GROUP = 128
 #: Texts and shingles of a block.
-BLOCK_TEXTS, BLOCK_SHINGLES = 600, 400_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 400, 400_000
 #: Rows to a band, and bands: a pair at similarity 0.8 is missed with probability (1 - 0.8^6)^56 = 4e-8.
 ROWS, BANDS = 6, 56
 
@@ -115,7 +117,13 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, repeated:
     texts = texts.dropDuplicates(["doc_id", "t"]) if repeated else texts
     right = texts.select(F.col("doc_id").alias("b"), F.col("t").alias("t_b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("t").alias("t_a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, ["b", "t_b"]).join(left, ["a", "t_a"]).select("a", "b", "text_a", "text_b", "t_a")
+    # a leader of many pairs stands in several groups of them
+    many = cut(pairs.groupBy("a", "t_a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_GROUP).cast("int").alias("groups")).filter("groups > 1"))
+    if not many.isEmpty():
+        many = small(many)
+        pairs = pairs.join(many, ["a", "t_a"], "left").withColumn("g", F.pmod(F.xxhash64("b", "t_b"), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
+        left = left.join(many, ["a", "t_a"], "left").withColumn("g", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1))).drop("groups")
+    both = pairs.join(right, ["b", "t_b"]).join(left, [c for c in ("a", "t_a", "g") if c in pairs.columns]).select("a", "b", "text_a", "text_b", "t_a")
     return both.mapInArrow(_verifier(k, percent), "a long, b long")
 
 

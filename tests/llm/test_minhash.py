@@ -77,6 +77,7 @@ def test_ids_with_several_texts(make, prose, monkeypatch):
     rows = [(1, text[0]), (1, text[1]), (2, text[1]), (3, text[2]), (4, text[2]), (3, text[3]), (5, text[3]), (6, ""), (6, text[4]), (7, text[4]), (8, text[5])]
     rows += [(2, edited(text[6], 1, 1)), (9, text[6]), (10, edited(text[0], 2, 2)), (8, text[5]), (8, text[5]), (11, edited(text[5], 1, 3))]
     rows += [(20 + i, edited(text[7 + i % 3], i % 5, i)) for i in range(30)] + [(20 + i, edited(text[9 + i % 3], i % 4, 90 + i)) for i in range(0, 30, 2)]
+    monkeypatch.setattr(M, "PAIRS_A_GROUP", 3)
     for small in (8, 1):
         monkeypatch.setattr(M, "SMALL_BUCKET", small)
         got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in M.near_duplicates(make(rows), k=3, percent=85).collect())
