@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +31,17 @@ BATCH = 64
 
 
 def facts_of(application: str, uri: str, relative: str, source: str) -> dict:
-    """Facts of one file; a file that breaks the parser gives one diagnostic and no facts."""
+    """Facts of one file, however deep its expressions are nested; a file that breaks the parser gives one diagnostic and no
+    facts."""
+    limit = sys.getrecursionlimit()
     try:
         parser = FileParser(application, uri, relative, source)
-        out = parser.parse()
+        try:
+            out = parser.parse()
+        except RecursionError:  # frames of Python functions are on the heap: as many as the source can nest
+            sys.setrecursionlimit(limit + 20 * len(source))
+            parser = FileParser(application, uri, relative, source)
+            out = parser.parse()
         generate(parser)
         out["symbols"] = sorted(parser.symbols, key=lambda s: (s["loc"]["start"]["line"], s["loc"]["start"]["column"], s["id"]))
         for s in out["symbols"]:
@@ -44,6 +52,8 @@ def facts_of(application: str, uri: str, relative: str, source: str) -> dict:
         zero = {"line": 0, "column": 0}
         fault = {"code": "java.parseFailed", "severity": "error", "message": f"{relative}: {type(e).__name__}", "loc": {"uri": uri, "start": zero, "end": zero}}
         return {"namespace_name": None, "imports": [], "symbols": [], "invocations": [], "diagnostics": [fault]}
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,12 @@ from .framework import qualified_annotations
 
 BOOT = "org.springframework.boot.autoconfigure.SpringBootApplication"
 SCAN = "org.springframework.context.annotation.ComponentScan"
-#: Diagnostics of discovery.
+# Codes of the diagnostics of discovery, with their severity and message.
+_C = "spring.discovery."
 CODES = {
-    "discovery.noBuild": "no build descriptor was found", "discovery.noApplication": "no application was found", "discovery.rootOutside": "a source root lies outside of the workspace",
-    "discovery.rootMissing": "a source root has no files", "discovery.moduleOutside": "a module lies outside of the workspace", "discovery.candidateUnreadable": "a candidate file was not understood", "discovery.ambiguousEntry": "a file declares several applications",
+    "invalidWorkspaceUri": ("error", "The workspace URI is not a valid absolute URI."), "fileSearchFailed": ("warning", "A source root holds no readable files."),
+    "fileReadFailed": ("warning", "A Java source file could not be read or parsed during discovery."), "invalidSourceRoot": ("warning", "A configured source root is outside the workspace."),
+    "noApplications": ("information", "No application entry point was found."), "mavenPomNotFound": ("information", "No pom.xml was found in the workspace."), "gradleBuildNotFound": ("information", "No Gradle build was found in the workspace."),
 }
 
 
@@ -68,6 +71,28 @@ def find_modules(files: DataFrame, root: str) -> DataFrame:
     return ranked_first(marked.unionByName(included), ["module"], ["build"])
 
 
+def configured_roots(request: Request) -> tuple[list[str], list[str]]:
+    """The configured source roots inside of the workspace as URIs, and those outside of it as given."""
+    base, inside, outside = request.workspace_uri.rstrip("/"), [], []
+    for given in request.source_roots:
+        root, parts = given.replace("\\", "/"), []
+        absolute = "://" in root
+        if absolute and root.rstrip("/") != base and not root.startswith(f"{base}/"):
+            outside.append(given)
+            continue
+        for part in (root[len(base) :] if absolute else root).split("/"):
+            if part == ".." and not parts:
+                outside.append(given)
+                break
+            if part == "..":
+                parts.pop()
+            elif part not in ("", "."):
+                parts.append(part)
+        else:
+            inside.append("/".join([base, *parts]))
+    return inside, outside
+
+
 def source_files(files: DataFrame, modules: DataFrame, request: Request) -> DataFrame:
     """Java files under a source root with their nearest module and source root."""
     java = files.filter(F.endswith("uri", F.lit(".java")))
@@ -80,7 +105,7 @@ def source_files(files: DataFrame, modules: DataFrame, request: Request) -> Data
         java = java.filter(~F.arrays_overlap(F.split(inner, "/"), F.array(*map(F.lit, GENERATED))))
     placed = longest_prefix(java.select("uri"), "uri", modules.select("module"), "module")
     if request.source_roots:
-        roots = java.sparkSession.createDataFrame([(f"{request.workspace_uri.rstrip('/')}/{r.strip('/')}",) for r in request.source_roots], "source_root string")
+        roots = java.sparkSession.createDataFrame([(r,) for r in configured_roots(request)[0]], "source_root string")
         placed = longest_prefix(placed, "uri", roots, "source_root")
     else:
         placed = placed.withColumn("source_root", F.concat("module", F.lit("/src/main/java"))).filter(F.startswith("uri", F.concat("source_root", F.lit("/"))))
@@ -112,10 +137,20 @@ def discover(files: DataFrame, request: Request) -> Discovery:
     sources = source_files(files, modules, request)
     applications, issues = find_applications(sources, request)
     applications = cut(applications)
-    said = []
-    if modules.isEmpty():
-        said.append("discovery.noBuild")
-    if applications.isEmpty():
-        said.append("discovery.noApplication")
-    own = files.sparkSession.createDataFrame([(c, "warning", CODES[c], None) for c in said], f"code string, severity string, message string, loc {X.LOC}")
-    return Discovery(applications, modules, union_all([own, issues]).dropDuplicates(["code", "message", "loc"]))
+    zero, spark = {"line": 0, "column": 0}, files.sparkSession
+    said = [("invalidSourceRoot", r) for r in configured_roots(request)[1]]
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", request.workspace_uri):
+        said.append(("invalidWorkspaceUri", None))
+    elif modules.isEmpty():
+        said += [("mavenPomNotFound", None), ("gradleBuildNotFound", None)]
+    elif applications.isEmpty():
+        said.append(("noApplications", None))
+    if request.source_roots:
+        used = {r[0] for r in sources.select("source_root").distinct().collect()}  # as many as were configured, at most
+        said += [("fileSearchFailed", r) for r in configured_roots(request)[0] if r not in used]
+    own = spark.createDataFrame([(_C + c, *CODES[c], uri and {"uri": uri, "start": zero, "end": zero}) for c, uri in said], f"code string, severity string, message string, loc {X.LOC}")
+    at = F.struct(F.col("uri").alias("uri"), *(F.struct(F.lit(0).alias("line"), F.lit(0).alias("column")).alias(e) for e in ("start", "end")))
+    unread = sources.filter("content is null").select(*(F.lit(x).alias(n) for n, x in zip(("code", "severity", "message"), (_C + "fileReadFailed", *CODES["fileReadFailed"]), strict=True)), at.cast(X.LOC).alias("loc"))
+    broken = F.col("code") == "java.parseFailed"
+    issues = issues.withColumns({"message": F.when(broken, CODES["fileReadFailed"][1]).otherwise(F.col("message")), "severity": F.when(broken, "warning").otherwise(F.col("severity")), "code": F.when(broken, _C + "fileReadFailed").otherwise(F.col("code"))})
+    return Discovery(applications, modules, union_all([own, issues, unread]).dropDuplicates(["code", "message", "loc"]))

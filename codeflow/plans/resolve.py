@@ -26,12 +26,12 @@ GROUP_CALLS = 20_000
 JAVA_LANG = frozenset(
     """AbstractMethodError Appendable ArithmeticException ArrayIndexOutOfBoundsException ArrayStoreException AssertionError AutoCloseable Boolean BootstrapMethodError Byte
     CharSequence Character Class ClassCastException ClassCircularityError ClassFormatError ClassLoader ClassNotFoundException ClassValue CloneNotSupportedException Cloneable
-    Comparable Deprecated Double Enum EnumConstantNotPresentException Error Exception ExceptionInInitializerError Float FunctionalInterface IllegalAccessError
+    Comparable Compiler Deprecated Double Enum EnumConstantNotPresentException Error Exception ExceptionInInitializerError Float FunctionalInterface IllegalAccessError
     IllegalAccessException IllegalArgumentException IllegalCallerException IllegalMonitorStateException IllegalStateException IllegalThreadStateException
-    IncompatibleClassChangeError IndexOutOfBoundsException InheritableThreadLocal InstantiationError InstantiationException Integer InternalError InterruptedException Iterable
+    IncompatibleClassChangeError IndexOutOfBoundsException InheritableThreadLocal InstantiationError InstantiationException Integer InternalError InterruptedException IO Iterable
     LayerInstantiationException LinkageError Long MatchException Math Module ModuleLayer NegativeArraySizeException NoClassDefFoundError NoSuchFieldError NoSuchFieldException
     NoSuchMethodError NoSuchMethodException NullPointerException Number NumberFormatException Object OutOfMemoryError Override Package Process ProcessBuilder ProcessHandle
-    Readable Record ReflectiveOperationException Runnable Runtime RuntimeException RuntimePermission SafeVarargs ScopedValue SecurityException SecurityManager Short
+    Readable Record ReflectiveOperationException Runnable Runtime RuntimeException RuntimePermission SafeVarargs ScopedValue SecurityException SecurityManager Short StableValue
     StackOverflowError StackTraceElement StackWalker StrictMath String StringBuffer StringBuilder StringIndexOutOfBoundsException SuppressWarnings System Thread ThreadDeath
     ThreadGroup ThreadLocal Throwable TypeNotPresentException UnknownError UnsatisfiedLinkError UnsupportedClassVersionError UnsupportedOperationException VerifyError
     VirtualMachineError Void WrongThreadException""".split()
@@ -39,10 +39,8 @@ JAVA_LANG = frozenset(
 #: Primitive types in widening order, their boxes, and library supertypes in order of preference.
 WIDENING = ["byte", "short", "int", "long", "float", "double"]
 BOXES = {"boolean": "Boolean", "byte": "Byte", "char": "Character", "double": "Double", "float": "Float", "int": "Integer", "long": "Long", "short": "Short"}
-SUPERTYPES = {
-    "ArrayList": ["List", "Collection", "Iterable"], "Boolean": ["Comparable"], "Byte": ["Number", "Comparable"], "Character": ["Comparable"], "Double": ["Number", "Comparable"],
-    "Float": ["Number", "Comparable"], "Integer": ["Number", "Comparable"], "Long": ["Number", "Comparable"], "Short": ["Number", "Comparable"], "String": ["CharSequence", "Comparable"],
-}
+_NUMBER, _VALUE = ["Number", "Serializable", "Comparable", "Object"], ["Serializable", "Comparable", "Object"]
+SUPERTYPES = {"String": ["CharSequence", *_VALUE], "Boolean": _VALUE, "Character": _VALUE} | dict.fromkeys(["Byte", "Short", "Integer", "Long", "Float", "Double"], _NUMBER)
 # Annotations of the web framework.
 _S, _W = "org.springframework.stereotype.", "org.springframework.web.bind.annotation."
 ROLES = {
@@ -208,20 +206,32 @@ class Application:
 
     # ------------------------------------------------------------ overloads
 
-    def distance(self, argument: str, wanted: str, at: dict) -> int | None:
-        """Steps upwards from an indexed type to one of that simple name."""
-        best = None
+    def distance(self, argument: str, wanted: str, at: dict, seen: set[str] | None = None) -> int | None:
+        """Steps upwards from the types that a name means at a symbol to one of that simple name, as they are first met
+        depth first. A declared supertype counts by its name, indexed or not; it is looked up where it is declared."""
+        seen = set() if seen is None else seen
         for t in self.types_named(argument, at):
-            depth = {t["id"]: 0}
-            for x in self.upwards(t):
-                for p in self.parents(x):
-                    depth.setdefault(p["id"], depth[x["id"]] + 1)
-                if x["id"] != t["id"] and x["symbol"]["name"] == wanted:
-                    best = depth[x["id"]] if best is None else min(best, depth[x["id"]])
-        return best
+            if t["id"] in seen:
+                continue
+            if t["symbol"]["qualified_name"].rsplit(".", 1)[-1] == wanted:
+                return 0
+            seen.add(t["id"])
+            for above in t["super_types"] or ():
+                steps = 0 if erased(above) == wanted else self.distance(above, wanted, t, seen)
+                if steps is not None:
+                    return steps + 1
+        return None
+
+    @staticmethod
+    def primitive(a: str, w: str) -> int | None:
+        """Identity, widening by its steps, boxing."""
+        if a == w:
+            return 0
+        wider = WIDENING[2:] if a == "char" else WIDENING[WIDENING.index(a) + 1 :] if a in WIDENING else []
+        return wider.index(w) + 1 if w in wider else 10 if BOXES[a] == w else None
 
     def conversion(self, argument: str | None, wanted: str, at: dict) -> int | None:
-        """The cost of passing an argument, None if it cannot be passed."""
+        """The cost of passing an argument to a parameter of the callable ``at``, None if it cannot be passed."""
         if argument is None:
             return 0
         a, w = erased(argument), erased(wanted)
@@ -229,20 +239,11 @@ class Application:
             return None if w in BOXES else 30 if w == "Object" else 20
         if a == w:
             return 0
-        if a in BOXES and w in BOXES:
-            if a == "char" and w in WIDENING[2:]:
-                return WIDENING.index(w) - 1
-            if a in WIDENING and w in WIDENING and WIDENING.index(a) < WIDENING.index(w):
-                return WIDENING.index(w) - WIDENING.index(a)
-            return None
         if a in BOXES:
-            if w == BOXES[a]:
-                return 10
-            above = SUPERTYPES.get(BOXES[a], [])
-            return 11 + above.index(w) if w in above else 30 if w == "Object" else None
+            return self.primitive(a, w)
         opened = next((p for p, b in BOXES.items() if b == a), None)
         if opened and w in BOXES:
-            cost = self.conversion(opened, w, at)
+            cost = self.primitive(opened, w)
             return None if cost is None else cost + 10
         if w in (above := SUPERTYPES.get(a, [])):
             return above.index(w) + 1
@@ -251,14 +252,14 @@ class Application:
         steps = self.distance(argument, w, at)
         return None if steps is None else steps + 1
 
-    def overloads(self, found: list[dict], arguments: list[str | None], at: dict) -> list[dict]:
+    def overloads(self, found: list[dict], arguments: list[str | None]) -> list[dict]:
         """The cheapest ones, all of them on a tie; all if none fits."""
         if len(found) < 2:
             return found
         scored = []
         for m in found:
             parameters = self.parameters[m["id"]]
-            costs = [self.conversion(a, p["declared_type"], at) for a, p in zip(arguments, parameters) if p["declared_type"] is not None]
+            costs = [self.conversion(a, p["declared_type"], m) for a, p in zip(arguments, parameters) if p["declared_type"] is not None]
             if len(parameters) == len(arguments) and None not in costs:
                 scored.append((sum(costs), m))
         least = min((c for c, _ in scored), default=None)
@@ -329,14 +330,14 @@ class Resolver:
             arguments.append(shown or (inner["declared_type"] if inner else None))
         if call["kind"] == "constructor":
             types = app.types_named(call["member_name"], source)
-            found = app.overloads([c for t in types for c in app.members.get((t["id"], "<init>", call["argument_count"]), ())], arguments, source)
+            found = app.overloads([c for t in types for c in app.members.get((t["id"], "<init>", call["argument_count"]), ())], arguments)
             return self.result(found, "exact", "constructor type, arity, and argument types", None if types else app.full_name(call["member_name"], source))
         own = app.owner_type(source)
         if own is None:
             return self.result([], "unresolved", "invocation has no enclosing type", None)
         types, confidence, reason, fallback = self.receiver(call, source, own)
         every = app.methods_named(types, call["member_name"], call["argument_count"])
-        found = app.overloads(every, arguments, source)
+        found = app.overloads(every, arguments)
         if len(found) < len(every):
             reason += "; overload selected by argument types"
         return self.result(found, confidence, reason, None if found else fallback)

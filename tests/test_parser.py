@@ -79,7 +79,23 @@ def test_lombok():
     f = facts("import other.Data; import lombok.*; @Data class A { int id; }")
     assert not [s for s in f["symbols"] if s["generated_by"]]
     f = facts("import lombok.Builder; @Builder class A { int id; }")
-    assert {s["symbol"]["signature"] for s in f["symbols"] if s["generated_by"] and s["kind"] != "parameter"} == {"type:A.ABuilder", "A#method:builder():A.ABuilder", "A.ABuilder#method:id(int):A.ABuilder", "A.ABuilder#method:build():A"}
+    made = {s["symbol"]["signature"]: s for s in f["symbols"] if s["generated_by"] and s["kind"] != "parameter"}
+    assert set(made) == {"A#constructor(int)", "type:A.ABuilder", "A#method:builder():A.ABuilder", "A.ABuilder#method:id(int):A.ABuilder", "A.ABuilder#method:build():A"}
+    assert {s["generated_by"] for s in made.values()} == {"lombok"} and made["A#constructor(int)"]["modifiers"] == [] and made["A#method:builder():A.ABuilder"]["modifiers"] == ["public", "static"]
+    assert {s["method_behavior"] for s in made.values() if s["kind"] == "method"} == {"trivialBuilder"}
+    generated = lambda source: {s["symbol"]["signature"] for s in facts(source)["symbols"] if s["generated_by"] and s["kind"] != "parameter"}
+    assert generated("import lombok.*; @Data class A { final int id = 1; }") == {"A#method:getId():int"}
+    assert generated("import lombok.*; @Value @RequiredArgsConstructor class A { int id; }") == {"A#method:getId():int"}
+    assert generated("import lombok.*; @AllArgsConstructor @NoArgsConstructor class A { final int id = 1; static int n; }") == {"A#constructor()", "A#constructor(int)"}
+    assert generated("import lombok.*; @Builder @NoArgsConstructor class A { }") == {"A#constructor()", "type:A.ABuilder", "A#method:builder():A.ABuilder", "A.ABuilder#method:build():A"}
+    assert generated("import lombok.*; @Slf4j class A { }") == {"A#field:log:org.slf4j.Logger"} == generated("import lombok.extern.slf4j.Slf4j; @Slf4j class A { }")
+    assert generated("import lombok.*; @Data @Getter(AccessLevel . NONE) class A { int id; }") == {"A#method:getId():int", "A#method:setId(int):void"}
+    assert generated("import lombok.*; @Getter(AccessLevel.NONE) class A { @Getter int id; String NONEs; }") == {"A#method:getId():int"}
+
+
+def test_deep_nesting_keeps_all_facts():
+    f = facts("class A { int a = " + "(" * 3000 + "1" + ")" * 3000 + "; void m() { " + "f(" * 2000 + ")" * 2000 + "; } void n() { g(); } }")
+    assert {"a", "m", "n"} <= {s["symbol"]["name"] for s in f["symbols"]} and {"f", "g"} <= {c["member_name"] for c in f["invocations"]} and not f["diagnostics"]
 
 
 def test_faults_are_reported_and_skipped():

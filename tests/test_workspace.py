@@ -168,7 +168,7 @@ def test_publication(spark, request_, analysis, tmp_path):
 
 def test_no_application(spark):
     a = W.analyze(S.from_memory(spark, [(f"{ROOT}/x/A.java", "class A {}")]), Request(ROOT))
-    assert {r["code"] for r in a.discovery.diagnostics.collect()} == {"discovery.noBuild", "discovery.noApplication"}
+    assert {r["code"] for r in a.discovery.diagnostics.collect()} == {"spring.discovery.mavenPomNotFound", "spring.discovery.gradleBuildNotFound"}
     assert a.index.nodes.count() == 0 and a.index.edges.count() == 0
 
 
@@ -225,3 +225,66 @@ def test_session(spark, tmp_path):
     assert s.last is not None and s.store.load() is not None  # the last good result stays
     s.clear()
     assert s.store.load() is None
+
+
+def analysed(spark, java, **request):
+    head = "package a;\nimport org.springframework.boot.autoconfigure.SpringBootApplication;\n@SpringBootApplication public class App {}\n"
+    files = [(f"{ROOT}/pom.xml", "<project/>"), (f"{ROOT}/src/main/java/a/App.java", head)]
+    files += [(f"{ROOT}/src/main/java/a/{n}.java", "package a;\n" + t) for n, t in java.items()]
+    return W.analyze(S.from_memory(spark, files), Request(ROOT, **request))
+
+
+def calls_of(a):
+    names = a.index.nodes.selectExpr("id", "symbol.signature as s")
+    e = a.index.edges.join(names.toDF("source", "caller"), "source").join(names.toDF("target", "callee"), "target")
+    return sorted((r["caller"].split("#")[1], r["callee"], r["confidence"]) for r in e.select("caller", "callee", "confidence").collect())
+
+
+def test_overloads(spark):
+    a = analysed(spark, {
+        "Job": "public class Job extends Base implements Runnable { }",
+        "Base": "import java.util.function.Supplier; public abstract class Base implements Supplier<String> { }",
+        "T": """public class T {
+          void run(Runnable r) { } void run(String s) { }
+          void f(Object o) { } void f(String s) { }
+          void g(Comparable c) { } void g(Object o) { }
+          void h(Serializable s) { } void h(Comparable c) { }
+          void k(Object o) { } void k(Supplier s) { }
+          void n(long l) { } void n(Integer i) { } void n(double d) { }
+          void z(int i) { } void z(String s) { } void z(Object o) { }
+          void m1() { run(new Job()); }
+          void m2() { f(1); }
+          void m3() { g("x"); }
+          void m4() { h("x"); }
+          void m5() { k(new Job()); }
+          void m6() { n(1); }
+          void m7(Integer i) { n(i); }
+          void m8() { z(null); }
+        }""",
+    })
+    got = [(c, t.split("#")[1], k) for c, t, k in calls_of(a) if c.startswith("method:m") and "constructor" not in t]
+    by = {c.split("(")[0][7:]: sorted(t[7:] for d, t, _ in got if d == c) for c, _, _ in got}
+    assert by == {
+        "m1": ["run(Runnable):void"],  # a declared supertype counts by its name
+        "m2": ["f(Object):void", "f(String):void"],  # a primitive is widened or boxed, nothing else: neither fits
+        "m3": ["g(Comparable):void"],  # third of the supertypes of String, Object the fourth
+        "m4": ["h(Serializable):void"], "m5": ["k(Supplier):void"], "m6": ["n(long):void"], "m7": ["n(Integer):void"],
+        "m8": ["z(String):void"],  # null: no primitive, and rather not Object
+    }
+    assert {k for c, _, k in got if c.startswith("method:m2")} == {"ambiguous"} and {k for c, _, k in got if c.startswith("method:m1")} == {"exact"}
+
+
+def test_java_lang_names():
+    from codeflow.plans.resolve import JAVA_LANG, SUPERTYPES
+
+    assert len(JAVA_LANG) == 109 and {"Compiler", "IO", "StableValue"} <= JAVA_LANG
+    assert SUPERTYPES["String"] == ["CharSequence", "Serializable", "Comparable", "Object"] and len(SUPERTYPES) == 9
+
+
+def test_discovery_diagnostics(spark):
+    codes = lambda a: sorted(r["code"].rsplit(".", 1)[-1] for r in a.discovery.diagnostics.collect())
+    a = analysed(spark, {}, source_roots=["src/main/java", "../else", "file:///other/src", "src/none"])
+    assert codes(a) == ["fileSearchFailed", "invalidSourceRoot", "invalidSourceRoot"] and a.discovery.applications.count() == 1
+    files = [(f"{ROOT}/pom.xml", "<project/>"), (f"{ROOT}/src/main/java/a/A.java", None)]
+    assert codes(W.analyze(S.from_memory(spark, files), Request(ROOT))) == ["fileReadFailed", "noApplications"]
+    assert codes(W.analyze(S.from_memory(spark, files[:1]), Request("no uri"))) == ["invalidWorkspaceUri"]
