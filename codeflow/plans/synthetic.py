@@ -1,4 +1,4 @@
-"""Synthetic workspaces for benchmarks and checks: one controller and a chain of services, each calling the next."""
+"""Synthetic workspaces for benchmarks and checks: a chain of services that call each other, and classes made of table rows."""
 
 from __future__ import annotations
 
@@ -27,3 +27,51 @@ def chain(spark: SparkSession, n: int, fan: int = 1) -> DataFrame:
     services = spark.range(0, max(0, n - 2)).select(F.concat(F.lit(f"{_DIR}/Service"), s, F.lit(".java")).alias("uri"), text.alias("content"))
     fixed = spark.createDataFrame([(f"{ROOT}/pom.xml", "<project/>"), (f"{_DIR}/App.java", app), (f"{_DIR}/Web.java", web)], "uri string, content string")
     return fixed.union(services)
+
+
+_TABLE_APP = "package com.acme;\nimport org.springframework.boot.autoconfigure.SpringBootApplication;\n@SpringBootApplication\npublic class App {}\n"
+_REGION = "package com.acme;\npublic interface Region%d {\n  String label(int n);\n}\n"
+_DTO = "package com.acme;\nimport lombok.*;\n@Data\n@Builder\npublic class Dto%d {\n  private int id;\n  private final boolean isOpen = true;\n}\n"
+_NATION = """package com.acme;
+import org.springframework.stereotype.Service;
+@Service
+public class Nation%d extends Missing implements Region%d {
+  public String label(int n) { return "x" + n; }
+  public void note(String text) { }
+  public void note(Object any) { }
+}
+"""
+_SUPPLIER = """package com.acme;
+import org.springframework.web.bind.annotation.*;
+@RestController
+@RequestMapping("/s%d")
+public class Supplier%d {
+  private final Nation%d nation;
+  private Region%d region;
+  @GetMapping("/show")
+  public String show(int k) { return nation.label(k); }
+  @PostMapping({"/b", "/a"})
+  public void save(String text) {
+    nation.note(text);
+    nation.note(region.label(2));
+    show(1);
+    Other.go();
+    new Nation%d();
+  }
+}
+"""
+
+
+def of_tables(nation: DataFrame, region: DataFrame, supplier: DataFrame) -> DataFrame:
+    """files (uri, content): an interface and a data class for each region, a service for each nation, a controller for each
+    supplier."""
+    spark = nation.sparkSession
+    made = lambda df, name, text, *keys: df.select(F.format_string(f"{_DIR}/{name}%d.java", F.col(keys[0])).alias("uri"), F.format_string(text, *map(F.col, keys)).alias("content"))
+    places = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # as many nations as there are
+    out = spark.createDataFrame([(f"{ROOT}/pom.xml", "<project/>"), (f"{_DIR}/App.java", _TABLE_APP)], "uri string, content string")
+    for more in (
+        made(region, "Region", _REGION, "r_regionkey"), made(region, "Dto", _DTO, "r_regionkey"), made(nation, "Nation", _NATION, "n_nationkey", "n_regionkey"),
+        made(places, "Supplier", _SUPPLIER, "s_suppkey", "s_suppkey", "n_nationkey", "n_regionkey", "n_nationkey"),
+    ):
+        out = out.union(more)
+    return out

@@ -462,9 +462,9 @@ def visibility(t):
     return shown.select("n_nationkey", "c_custkey")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'e')")
 def search(t):
-    return P.search(t.part, "p_name", "  1 ").select("p_partkey", "p_name")
+    return P.search(t.part, "p_name", "  E ").select("p_partkey", "p_name")
 
 
 @query("SELECT n_nationkey, NOT (n_regionkey = 2) AS dimmed, CAST(n_regionkey % 10 AS BIGINT) AS colour FROM nation")
@@ -564,37 +564,115 @@ def diagnostic_dedupe(t):
     return I.merge_diagnostics(d, d.limit(0), ["event_type", "user_id", "v"])
 
 
-# ---------------------------------------------------------------- Java sources (no SQL can say them)
+# ---------------------------------------------------------------- Java sources made of table rows
 
 
-def _java(t, n: int = 60):
+def _java(t):
     from .plans import synthetic, workspace
     from .plans.discovery import Request
 
-    return workspace.analyze(synthetic.chain(t.spark, n, fan=2), Request(synthetic.ROOT))
+    return workspace.analyze(synthetic.of_tables(t.nation, t.region, t.supplier), Request(synthetic.ROOT))
 
 
-@query(None)
-def java_endpoint_graph(t):
-    """Nodes of the one endpoint's graph of a synthetic workspace, with their depth."""
-    from .plans import workspace
+_P = "'com.acme."
+_N, _S, _R, _D = f"{_P}Nation' || n_nationkey", f"{_P}Supplier' || s_suppkey", f"{_P}Region' || r_regionkey", f"{_P}Dto' || r_regionkey"
+_PLACED = "supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey"
 
-    index = _java(t).index
-    nodes, _ = workspace.endpoint_graph(index, index.endpoints.first()["id"])
-    return nodes.select(F.col("symbol.qualified_name").alias("name"), "role", _long("depth"))
+
+def _listed(source: str, rows: list[tuple], names: list[str]) -> str:
+    """SQL of a table of so many rows for each row of the source."""
+    return " UNION ALL ".join("SELECT " + ", ".join(f"{v} AS {n}" for v, n in zip(row, names, strict=True)) + f" FROM {source}" for row in rows)
+
+
+def _members(source: str, q: str, rows: list[tuple[str, str, str, str]]) -> str:
+    return _listed(source, [(f"{q} || '{sign}'" if sign else f"'type:' || {q}", f"'{kind}'", type_, f"'{by}'" if by else "NULL") for sign, kind, type_, by in rows], ["signature", "kind", "declared_type", "generated_by"])
+
+
+@query(" UNION ALL ".join([
+    _members("(SELECT 1)", f"{_P}App'", [("", "type", "NULL", ""), ("#constructor()", "constructor", f"{_P}App'", "")]),
+    _members("region", _R, [("", "type", "NULL", ""), ("#method:label(int):String", "method", "'String'", "")]),
+    _members("region", _D, [
+        ("", "type", "NULL", ""), ("#constructor(int,boolean)", "constructor", _D, "lombok"), ("#method:getId():int", "method", "'int'", "lombok"), ("#method:setId(int):void", "method", "'void'", "lombok"),
+        ("#method:isOpen():boolean", "method", "'boolean'", "lombok"),
+    ]),
+    f"SELECT {_D} || '#method:builder():' || {_D} || '.Dto' || r_regionkey || 'Builder', 'method', {_D} || '.Dto' || r_regionkey || 'Builder', 'lombok' FROM region",
+    f"SELECT 'type:' || {_D} || '.Dto' || r_regionkey || 'Builder', 'type', NULL, 'lombok' FROM region",
+    " UNION ALL ".join(f"SELECT {_D} || '.Dto' || r_regionkey || 'Builder#method:{n}({x}):' || {_D} || '.Dto' || r_regionkey || 'Builder', 'method', {_D} || '.Dto' || r_regionkey || 'Builder', 'lombok' FROM region" for n, x in (("id", "int"), ("isOpen", "boolean"))),
+    f"SELECT {_D} || '.Dto' || r_regionkey || 'Builder#method:build():' || {_D}, 'method', {_D}, 'lombok' FROM region",
+    _members("nation", _N, [
+        ("", "type", "NULL", ""), ("#constructor()", "constructor", _N, ""), ("#method:label(int):String", "method", "'String'", ""), ("#method:note(String):void", "method", "'void'", ""), ("#method:note(Object):void", "method", "'void'", ""),
+    ]),
+    _members("supplier", _S, [("", "type", "NULL", ""), ("#constructor()", "constructor", _S, ""), ("#method:show(int):String", "method", "'String'", ""), ("#method:save(String):void", "method", "'void'", "")]),
+]))
+def java_symbols(t):
+    """Types, methods and constructors, declared, implicit and generated."""
+    from .javafacts import extract as X
+
+    s = X.symbols(_java(t).facts).filter("kind in ('type', 'method', 'constructor')")
+    return s.select(F.col("symbol.signature").alias("signature"), "kind", "declared_type", "generated_by")
+
+
+@query(
+    f"SELECT {_S} AS controller, 'show' AS handler, 'GET' AS methods, '/s' || s_suppkey || '/show' AS paths FROM supplier"
+    f" UNION ALL SELECT {_S}, 'save', 'POST', '/s' || s_suppkey || '/a,/s' || s_suppkey || '/b' FROM supplier"
+)
+def java_endpoints(t):
+    """Endpoints with the paths of class and method combined."""
+    a = _java(t)
+    name = a.index.nodes.select(F.col("id").alias("handler_symbol_id"), F.substring_index("symbol.qualified_name", "#", 1).alias("controller"), F.col("symbol.name").alias("handler"))
+    e = a.index.endpoints.select("handler_symbol_id", F.array_join("http_methods", "|").alias("methods"), F.array_join("paths", ",").alias("paths"))
+    return e.join(name, "handler_symbol_id").drop("handler_symbol_id")
 
 
-@query(None)
+#: What each supplier calls: (caller, callee, confidence, calls). A field's type is inferred, a call of the own type and of a
+#: constructor exact; the argument of note() is the String that the nested call returns; Other is not indexed.
+_CALLS = [
+    (f"{_S} || '#method:show(int):String'", f"{_N} || '#method:label(int):String'", "'inferred'", "1"), (f"{_S} || '#method:save(String):void'", f"{_N} || '#method:note(String):void'", "'inferred'", "2"),
+    (f"{_S} || '#method:save(String):void'", f"{_R} || '#method:label(int):String'", "'inferred'", "1"), (f"{_S} || '#method:save(String):void'", f"{_S} || '#method:show(int):String'", "'exact'", "1"),
+    (f"{_S} || '#method:save(String):void'", "'Other#method:go():'", "'inferred'", "1"), (f"{_S} || '#method:save(String):void'", f"{_N} || '#constructor()'", "'exact'", "1"),
+]
+
+
+@query(_listed(_PLACED, [(a, b, c, f"CAST({n} AS BIGINT)") for a, b, c, n in _CALLS], ["caller", "callee", "confidence", "occurrence_count"]))
 def java_call_edges(t):
+    """Calls resolved over fields, interfaces, nested calls, overloads, own methods, constructors and unknown types."""
     index = _java(t).index
-    name = index.nodes.select("id", F.col("symbol.qualified_name").alias("name"))
+    name = index.nodes.select("id", F.col("symbol.signature").alias("name"))
     e = index.edges.join(name.withColumnsRenamed({"id": "source", "name": "caller"}), "source").join(name.withColumnsRenamed({"id": "target", "name": "callee"}), "target")
-    return e.select("caller", "callee", "confidence", "occurrence_count")
+    return e.select("caller", "callee", "confidence", _long("occurrence_count"))
 
 
-@query(None)
-def java_endpoints(t):
-    return _java(t).index.endpoints.select("id", F.array_join("http_methods", "|").alias("methods"), F.array_join("paths", ",").alias("paths"))
+@query(
+    "WITH n AS (SELECT count(*) AS n FROM nation), r AS (SELECT count(*) AS n FROM region), s AS (SELECT count(*) AS n FROM supplier) SELECT role, kind, trivial, CAST(n AS BIGINT) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT '{role}' AS role, '{kind}' AS kind, {trivial} AS trivial, {n} AS n" for role, kind, trivial, n in [
+        ("helper", "type", "false", "1 + 3 * (SELECT n FROM r)"), ("helper", "constructor", "true", "1 + (SELECT n FROM r)"), ("helper", "method", "false", "(SELECT n FROM r)"), ("helper", "method", "true", "7 * (SELECT n FROM r)"),
+        ("service", "type", "false", "(SELECT n FROM n)"), ("service", "constructor", "true", "(SELECT n FROM n)"), ("service", "method", "false", "3 * (SELECT n FROM n)"),
+        ("controller", "type", "false", "(SELECT n FROM s)"), ("controller", "constructor", "true", "(SELECT n FROM s)"), ("controller", "method", "false", "2 * (SELECT n FROM s)"),
+        ("ambiguous", "type", "false", "1"), ("ambiguous", "method", "false", "1"),
+    ]) + ")"
+)
+def java_nodes(t):
+    """Nodes by role, kind and signal, stand-ins included."""
+    n = _java(t).index.nodes
+    return n.groupBy("role", F.col("metadata.symbol_kind").alias("kind"), F.array_contains("filter_ids", "trivial").alias("trivial")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_FIRST = f"(SELECT * FROM {_PLACED} ORDER BY s_suppkey LIMIT 1)"
+
+
+@query(_listed(_FIRST, [
+    (f"{_S} || '#method:save(String):void'", "CAST(0 AS BIGINT)"), (f"{_N} || '#method:note(String):void'", "CAST(1 AS BIGINT)"), (f"{_R} || '#method:label(int):String'", "CAST(1 AS BIGINT)"), (f"{_S} || '#method:show(int):String'", "CAST(1 AS BIGINT)"),
+    ("'Other#method:go():'", "CAST(1 AS BIGINT)"), (f"{_N} || '#constructor()'", "CAST(1 AS BIGINT)"), (f"{_N} || '#method:label(int):String'", "CAST(2 AS BIGINT)"),
+], ["name", "depth"]))
+def java_endpoint_graph(t):
+    """Nodes below one endpoint (save of the first supplier), with their depth."""
+    from .plans import workspace
+
+    index = _java(t).index
+    first = t.supplier.agg(F.min("s_suppkey")).first()[0]
+    at = index.nodes.filter(F.col("symbol.qualified_name") == f"com.acme.Supplier{first}#save").select(F.col("id").alias("handler_symbol_id"))
+    nodes, _ = workspace.endpoint_graph(index, index.endpoints.join(at, "handler_symbol_id").first()["id"])
+    return nodes.select(F.col("symbol.signature").alias("name"), _long("depth"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
