@@ -190,7 +190,7 @@ def components(links: DataFrame) -> DataFrame:
         parent, moving = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))), True
         while moving:
             up = parent.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-            jumped = cut(parent.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")))
+            jumped = cut(parent.join(small(up), "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")))
             parent, moving = jumped.select("node", "component"), not jumped.filter("moved").isEmpty()
         labels = parent if labels is None else cut(_then(labels, parent))
         edges = _contracted(edges, parent)
@@ -199,7 +199,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
     """The links between different components, as links between their least nodes."""
-    a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("x")), labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    a, b = small(labels.select(F.col("node").alias("a"), F.col("component").alias("x"))), small(labels.select(F.col("node").alias("b"), F.col("component").alias("y")))
     ends = links.join(b, "b", "left").withColumn("y", F.coalesce("y", "b")).filter("y != a").join(a, "a", "left").select(F.coalesce("x", "a").alias("x"), "y")
     return cut(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
