@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,12 @@ ENGINE_VERSION = "1"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """The folder that spark.checkpoint.dir names. Where none is set, a local master gets a temporary one, and any other is
+    an error: executors of several machines don't share a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="codeflow-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
