@@ -6,7 +6,7 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -88,3 +88,13 @@ def imports(facts: DataFrame) -> DataFrame:
 
 def diagnostics(facts: DataFrame) -> DataFrame:
     return facts.select("application_id", F.explode("diagnostics").alias("d")).select("application_id", "d.*")
+
+
+def shape() -> Column:
+    """A digest of what other files can see of a file: namespace, imports and symbols without their places. While the shapes
+    of an application's files stay as they are, calls in the other files keep their targets."""
+    imports_ = F.transform("imports", lambda i: F.struct(i["qualified_name"], i["is_static"], i["is_wildcard"]))
+    note = lambda a: F.struct(a["name"], F.transform(a["arguments"], lambda x: F.struct(x["name"], x["expression"])))
+    plain = ("id", "kind", "owner_symbol_id", "symbol", "declared_type", "modifiers", "declaration_kind", "super_types", "param_index")
+    symbols_ = F.transform("symbols", lambda s: F.struct(*(s[c].alias(c) for c in plain), F.transform(s["annotations"], note).alias("notes")))
+    return F.sha2(F.to_json(F.struct("namespace_name", imports_.alias("imports"), symbols_.alias("symbols"))), 256)

@@ -31,6 +31,16 @@ NODE_FILTERS = [
 ]
 
 
+@dataclass
+class FileTables:
+    """Tables that each file makes by itself; calls need the other files of their application too."""
+
+    symbols: DataFrame
+    notes: DataFrame
+    routes: DataFrame
+    calls: DataFrame | None = None
+
+
 @dataclass
 class FrameworkIndex:
     """B12."""
@@ -39,6 +49,7 @@ class FrameworkIndex:
     nodes: DataFrame
     edges: DataFrame
     diagnostics: DataFrame
+    tables: FileTables | None = None
 
 
 def node_filters(spark) -> DataFrame:
@@ -197,22 +208,43 @@ def exclude(nodes: DataFrame, edges: DataFrame, packages: list[str]) -> tuple[Da
     return kept, G.induced(edges, kept.select("id"))
 
 
-def build_index(facts: DataFrame, applications: DataFrame, excluded: list[str] | None = None) -> FrameworkIndex:
-    """The index of the facts in scope of their applications."""
-    facts = in_scope(facts, applications)
-    symbols = ranked_first(X.symbols(facts), ["application_id", "id"], [F.col("uri").desc(), F.col("ord").desc()])  # the last one counts
-    symbols = cut(symbols)
+def file_tables(facts: DataFrame) -> FileTables:
+    """Symbols, annotations and endpoints of facts in scope."""
+    symbols = cut(ranked_first(X.symbols(facts), ["application_id", "id"], [F.col("uri").desc(), F.col("ord").desc()]))  # the last one counts
     notes = cut(qualified_annotations(symbols, X.imports(facts)))
-    roles = type_roles(symbols, notes)
-    endpoints = cut(build_endpoints(symbols, notes, roles))
-    nodes = build_nodes(symbols, notes, roles, endpoints)
-    calls = cut(resolve_calls(facts))
-    own = nodes.select(F.col("id").alias("source_id"))
-    calls = calls.join(own, "source_id", "left_semi")
-    stand_ins, more = fallback_nodes(calls, nodes)
-    edges = build_edges(calls, stand_ins)
+    return FileTables(symbols, notes, cut(build_endpoints(symbols, notes, type_roles(symbols, notes))))
+
+
+def assemble(tables: FileTables, diagnostics: DataFrame, excluded: list[str] | None) -> FrameworkIndex:
+    roles = type_roles(tables.symbols, tables.notes)
+    nodes = build_nodes(tables.symbols, tables.notes, roles, tables.routes)
+    stand_ins, more = fallback_nodes(tables.calls, nodes)
+    edges = build_edges(tables.calls, stand_ins)
     nodes, edges = exclude(nodes.unionByName(more), edges, excluded or [])
-    return FrameworkIndex(endpoints.drop("base_paths", "method_paths"), nodes, edges, X.diagnostics(facts))
+    return FrameworkIndex(tables.routes.drop("base_paths", "method_paths"), nodes, edges, diagnostics, tables)
 
 
-__all__ = ["NODE_FILTERS", "FrameworkIndex", "build_index", "in_scope", "node_filters"]
+def build_index(facts: DataFrame, applications: DataFrame, excluded: list[str] | None = None) -> FrameworkIndex:
+    """The index of the facts in scope of their applications."""
+    facts = in_scope(facts, applications)
+    tables = file_tables(facts)
+    tables.calls = cut(resolve_calls(facts).join(tables.symbols.select(F.col("id").alias("source_id")), "source_id", "left_semi"))
+    return assemble(tables, X.diagnostics(facts), excluded)
+
+
+def update_index(old: FileTables, facts: DataFrame, parsed: DataFrame, gone: DataFrame, stale: DataFrame, applications: DataFrame, excluded: list[str] | None = None) -> FrameworkIndex:
+    """The index of ``facts``, of which ``parsed`` are new, made from the tables of the index before: rows of the files
+    ``gone`` (application_id, uri: changed or deleted) are replaced, and calls are resolved again in the new files and in
+    the ``stale`` applications. The applications must be those of the index before."""
+    facts, parsed = in_scope(facts, applications), in_scope(parsed, applications)
+    new, key = file_tables(parsed), ["application_id", "uri"]
+    keep = lambda before, after: before.join(gone, key, "left_anti").unionByName(after).select(*before.columns)
+    place = lambda df: df.withColumn("uri", F.col("loc.uri"))
+    asked = parsed.select(key).unionByName(facts.select(key).join(stale, "application_id", "left_semi")).distinct()
+    calls = cut(resolve_calls(facts, asked))
+    kept = old.calls.join(gone, key, "left_anti").join(stale, "application_id", "left_anti").select(*old.calls.columns)
+    tables = FileTables(keep(old.symbols, new.symbols), keep(old.notes, new.notes), keep(place(old.routes), place(new.routes)).drop("uri"), kept.unionByName(calls))
+    return assemble(tables, X.diagnostics(facts), excluded)
+
+
+__all__ = ["NODE_FILTERS", "FileTables", "FrameworkIndex", "assemble", "build_index", "in_scope", "node_filters", "update_index"]

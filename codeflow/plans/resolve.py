@@ -397,15 +397,23 @@ class Resolver:
 RESOLVED = f"application_id string, uri string, ord int, source_id string, target_id string, confidence string, reason string, candidates int, fallback_owner string, kind string, member_name string, argument_types array<string>, loc {X.LOC}"
 
 
-def resolve_calls(facts: DataFrame) -> DataFrame:
-    """A row for each call and candidate (one with a null target where there is none)."""
-    symbols = X.symbols(facts).withColumn("part", F.lit("symbol"))
+#: What lookups need of a symbol.
+NEEDED = ["uri", "namespace_name", "ord", "id", "kind", "owner_symbol_id", "symbol", "declared_type", "modifiers", "annotations", "declaration_kind", "super_types", "param_index"]
+
+
+def resolve_calls(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """A row for each call and candidate (one with a null target where there is none). With ``files`` (application_id, uri)
+    only their calls are resolved; symbol tables go out for the applications that have such calls."""
+    symbols = X.symbols(facts)
     imports = X.imports(facts)
-    calls = X.invocations(facts)
+    calls = X.invocations(facts if files is None else facts.join(files, ["application_id", "uri"], "left_semi"))
     n = calls.groupBy("application_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / GROUP_CALLS)).cast("int").alias("groups"))
     dealt = calls.join(n, "application_id").withColumn("g", F.pmod(F.xxhash64("enclosing_symbol_id"), F.col("groups")).cast("int")).drop("groups").withColumnRenamed("application_id", "app").withColumnRenamed("g", "group")
     everywhere = lambda df: df.join(n, "application_id").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-    tables = everywhere(symbols.select("application_id", F.struct("uri", "namespace_name", "ord", *[c for c in symbols.columns if c not in ("application_id", "uri", "relative_uri", "namespace_name", "ord", "part")]).alias("s"), F.lit(None).cast(f"struct<uri:string,ord:int,{X.IMPORT[7:-1]}>").alias("i")).unionByName(imports.select("application_id", F.lit(None).alias("s"), F.struct("uri", "ord", "qualified_name", "is_static", "is_wildcard", "loc").alias("i"))))
+    note = lambda a: F.struct(a["name"].alias("name"), F.transform(a["arguments"], lambda x: F.struct(x["name"].alias("name"), x["expression"].alias("expression"))).alias("arguments"))
+    used = symbols.withColumn("annotations", F.transform("annotations", note)).select("application_id", F.struct(*NEEDED).alias("s"))  # no places: lookups don't need them
+    named = imports.select("application_id", F.struct("uri", "ord", "qualified_name", "is_static", "is_wildcard").alias("i"))
+    tables = everywhere(used.unionByName(named, allowMissingColumns=True))
 
     arrow = to_arrow_schema(StructType.fromDDL(RESOLVED))
 

@@ -100,7 +100,7 @@ class Session:
         tag = f"codeflow-{mine}"
         self.spark.addTag(tag)
         try:
-            before = None if cold else W.previous_facts(self.store, self.request)
+            before = None if cold else W.previous_analysis(self.store, self.request, self.excluded)
             result = choose(files).analyze(files, self.request, previous=before, excluded=self.excluded)
             self.timings = {"analyze_ms": (time.time() - began) * 1000}
             with self._saving:  # saves happen in the order of their generations

@@ -12,7 +12,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-ENGINE_VERSION = "1"
+ENGINE_VERSION = "2"
 
 
 def shared_folder(spark: SparkSession) -> str:

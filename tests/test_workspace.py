@@ -147,6 +147,65 @@ def test_incremental_is_cold(spark, request_, analysis):
     assert (again.indexed, again.reused) == (0, 6)
 
 
+def same(warm, cold):
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    for name in ("endpoints", "nodes", "edges", "diagnostics"):
+        assert rows(getattr(warm.index, name)) == rows(getattr(cold.index, name)), name
+    assert rows(warm.discovery.applications) == rows(cold.discovery.applications)
+    for name in ("symbols", "notes", "routes", "calls"):
+        assert rows(getattr(warm.index.tables, name).select(sorted(getattr(warm.index.tables, name).columns))) == rows(getattr(cold.index.tables, name).select(sorted(getattr(cold.index.tables, name).columns))), name
+
+
+def test_updates_are_cold(spark, request_, analysis, monkeypatch):
+    """Each update follows the one before: a body, a signature, an annotation, a deletion, a new file that makes a call
+    ambiguous, a new application; by events and by digests."""
+    repo, web, impl = f"{SRC}/service/OrderRepository.java", f"{SRC}/web/OrderController.java", f"{SRC}/service/OrderServiceImpl.java"
+    steps = [
+        ({repo: ("void store(Order o) { }", "void store(Order o) { o.getName(); }")}, 1),
+        ({repo: ("Order load(long id)", "Order load(Long id, int... more)")}, 1),
+        ({web: ('"/orders/{id}"', '"/orders/{key}"'), impl: ("@Service", '@Service("other")')}, 2),
+        ({f"{SRC}/broken/Broken.java": None}, 0),
+        ({f"{SRC}/service/Second.java": "package com.acme.service;\npublic class Second implements OrderService { public Order find(long id) { return null; } }\n"}, 1),
+        ({impl: ("implements OrderService", "")}, 1),
+        ({f"{SRC}/service/Second.java": None, f"{ROOT}/shop/notes.txt": "x"}, 0),
+    ]
+    monkeypatch.setattr(W, "MERGE_AFTER", 3)
+    found = W.discover
+    monkeypatch.setattr(W, "discover", lambda *a: pytest.fail("discovery was repeated"))
+    now, warm = dict(FILES), analysis
+    for k, (edits, indexed) in enumerate(steps):
+        for uri, edit in edits.items():
+            if edit is None:
+                del now[uri]
+            else:
+                now[uri] = now[uri].replace(*edit) if isinstance(edit, tuple) else edit
+        files = S.from_memory(spark, now.items())
+        events = spark.createDataFrame([(u, e is None) for u, e in edits.items()], "uri string, deleted boolean")
+        given = files.join(events.filter("not deleted"), "uri", "left_semi") if k % 2 else files  # unchanged files are not needed
+        warm = W.analyze(given, request_, previous=warm, changes=events if k % 2 else None)
+        assert (warm.indexed, warm.indexed + warm.reused) == (indexed, sum(u.endswith(".java") for u in now)), k
+        with monkeypatch.context() as m:
+            m.setattr(W, "discover", found)
+            same(warm, W.analyze(files, request_))
+    monkeypatch.setattr(W, "discover", found)
+    now[f"{SRC}/App.java"] = now[f"{SRC}/App.java"].replace("@SpringBootApplication", '@SpringBootApplication(scanBasePackages = "com.acme.service")')
+    files = S.from_memory(spark, now.items())
+    warm = W.analyze(files, request_, previous=warm)
+    assert warm.indexed == 1
+    same(warm, W.analyze(files, request_))
+
+
+def test_update_from_store(spark, request_, analysis, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    W.publish(store, request_, analysis)
+    before = W.previous_analysis(store, request_)
+    now = dict(FILES) | {f"{SRC}/web/Extra.java": "package com.acme.web;\nclass Extra { void go(OrderController c) { c.find(1L); } }\n"}
+    files = S.from_memory(spark, now.items())
+    warm = W.analyze(files, request_, previous=before)
+    assert (warm.indexed, warm.reused) == (1, 7) and W.previous_analysis(store, Request(ROOT, include_generated=True)) is None
+    same(warm, W.analyze(files, request_))
+
+
 def test_exclusion(spark, request_):
     a = W.analyze(S.from_memory(spark, FILES.items()), request_, excluded=["java.util.*", "LOG"])
     assert not any(s.startswith(("java.util", "LOG")) for s in named(a.index).values())
