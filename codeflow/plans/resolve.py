@@ -1,15 +1,17 @@
 """Call resolution inside an application.
 
-Calls are dealt into groups by application and enclosing symbol; each group gets the application's symbol tables and
-resolves its calls in one grouped map. So the number of calls in a task does not grow with an application; its symbol
-tables, which every lookup needs, are what one task must hold.
+Calls are dealt into groups, and each group resolves its calls in one grouped map. In an application of at most
+WHOLE_SYMBOLS symbols every group gets all of them. In a larger one a group begins with the files of its calls; where a
+lookup needs types that the group does not have, it asks for them by name, and is run again with their files, until no
+lookup asks. So neither the calls nor the symbols in a task grow with an application.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import cached_property
+from collections.abc import Iterator
+from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,9 +20,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..javafacts import extract as X
+from ..sources.snapshots import cut
 
 #: Calls that one group should hold.
 GROUP_CALLS = 20_000
+#: Symbols of an application up to which each group gets all of them.
+WHOLE_SYMBOLS = 30_000
+#: Calls that one group of a larger application should hold.
+ASKING_CALLS = 4_000
 
 # Types of java.lang.
 JAVA_LANG = frozenset(
@@ -141,6 +148,9 @@ class Application:
             return self.by_qualified.get(imported, [])  # an import decides, even if nothing is indexed under it
         if at["namespace_name"] and (found := self.by_qualified.get(f"{at['namespace_name']}.{name}")):
             return found
+        return self.types_called(name)
+
+    def types_called(self, name: str) -> list[dict]:
         return self.by_name.get(name, [])
 
     def full_name(self, written: str, at: dict) -> str:
@@ -174,8 +184,17 @@ class Application:
                         out[a["id"]].append(t)
         return out
 
+    def below(self, t: dict) -> list[dict]:
+        return self.implementations.get(t["id"], [])
+
     # ------------------------------------------------------------ members
 
+    def caller(self, id_: str) -> dict:
+        return self.by_id[id_]
+
+    def open(self, t: dict) -> None:
+        """Called before the members of a type are looked at."""
+
     def fields_named(self, types: list[dict], name: str) -> list[dict]:
         """On every branch upwards the nearest declaration."""
         out: dict[str, dict] = {}
@@ -185,6 +204,7 @@ class Application:
             if t["id"] in seen:
                 continue
             seen.add(t["id"])
+            self.open(t)
             if own := self.fields.get((t["id"], name)):
                 out.update((f["id"], f) for f in own)
             else:
@@ -197,6 +217,7 @@ class Application:
         for root in types:
             hidden = set()
             for t in self.upwards(root):
+                self.open(t)
                 for m in self.members.get((t["id"], name, arity), ()):
                     key = tuple(erased(p["declared_type"] or "") for p in self.parameters[m["id"]])
                     if key not in hidden:
@@ -283,7 +304,7 @@ class Application:
         """The class that an injected interface stands for."""
         if len(types) != 1 or types[0]["declaration_kind"] != "interface":
             return types, None
-        below = self.implementations.get(types[0]["id"], [])
+        below = self.below(types[0])
         note = next((a for a in variable["annotations"] or () if annotation_name(a["name"], self.imports[variable["uri"]], variable["namespace_name"]) == QUALIFIER), None)
         if note:
             value = next((v for x in note["arguments"] if x["name"] in (None, "value") and (v := literal(x["expression"])) is not None), None)
@@ -292,6 +313,107 @@ class Application:
         return (below, "single interface implementation") if len(below) == 1 else (types, "interface fallback without a unique implementation")
 
 
+class Missing(Exception):
+    """A lookup needs types that the group does not have."""
+
+
+def last(name: str) -> str:
+    return name.rsplit(".", 1)[-1]
+
+
+class Slice(Application):
+    """The symbols that a group of calls has. Names whose types it has are ``known``: q:full name, n:simple name, and
+    s:simple name of a supertype. A lookup of another name adds it to ``missing`` and is given up."""
+
+    def __init__(self, symbols: list[dict], imports: list[dict], known: set[str]):
+        super().__init__(symbols, imports)
+        self.known, self.missing = known, set()
+        self._below: dict[str, list[dict]] = {}
+
+    def ask(self, *keys: str) -> bool:
+        new = [k for k in keys if k not in self.known]
+        self.missing.update(new)
+        return bool(new)
+
+    def need(self, *keys: str) -> None:
+        if self.ask(*keys):
+            raise Missing
+
+    def types_named(self, written: str, at: dict) -> list[dict]:
+        name, inside = bare(written), at["namespace_name"]
+        if "." in name:
+            keys = [name, f"{inside}.{name}"] if inside else [name]
+        else:
+            keys, outer = [], self.owner_type(at)
+            while outer is not None:
+                keys.append(f"{outer['symbol']['qualified_name']}.{name}")
+                outer = self.owner_type(self.by_id.get(outer["owner_symbol_id"]))
+            if imported := self.explicit_import(name, at):
+                keys.append(imported)
+            elif inside:
+                keys.append(f"{inside}.{name}")
+        self.need(*(f"q:{k}" for k in keys))
+        return super().types_named(written, at)
+
+    def types_called(self, name: str) -> list[dict]:
+        self.need(f"n:{name}")
+        return super().types_called(name)
+
+    def whole(self, t: dict) -> bool:
+        """Whether all files that declare the type are there with its members; else they are asked for."""
+        return f"n:{t['symbol']['name']}" in self.known or not self.ask(f"q:{t['symbol']['qualified_name']}")
+
+    def open(self, t: dict) -> None:
+        if not self.whole(t):
+            raise Missing
+
+    def caller(self, id_: str) -> dict:
+        own = self.owner_type(self.by_id[id_])
+        if own is not None:
+            self.whole(own)  # the lookups go on: they show what else to ask for
+        return self.by_id[id_]
+
+    def parents(self, t: dict) -> list[dict]:
+        if t["id"] not in self._parents:
+            gaps = False
+            for name in t["super_types"] or ():
+                try:
+                    self.types_named(name, t)
+                except Missing:
+                    gaps = True
+            if gaps:
+                raise Missing
+        return super().parents(t)
+
+    @cached_property
+    def heirs(self) -> dict[str, list[tuple[dict, str]]]:
+        out = defaultdict(list)
+        for t in self.types:
+            for name in t["super_types"] or ():
+                out[last(bare(name))].append((t, name))
+        return out
+
+    def below(self, t: dict) -> list[dict]:
+        """X10 for one type, downwards over the types that name it."""
+        if t["id"] not in self._below:
+            seen, stack, gaps = {t["id"]}, [t], False
+            while stack:
+                x = stack.pop()
+                for name in {x["symbol"]["name"], last(x["symbol"]["qualified_name"])}:
+                    gaps |= self.ask(f"s:{name}")
+                    for heir, written in self.heirs.get(name, ()):
+                        try:
+                            if heir["id"] not in seen and any(p["id"] == x["id"] for p in self.types_named(written, heir)):
+                                seen.add(heir["id"])
+                                stack.append(heir)
+                        except Missing:
+                            gaps = True
+            if gaps:
+                raise Missing
+            self._below[t["id"]] = [h for h in self.types if h["id"] in seen and h["id"] != t["id"] and h["declaration_kind"] == "class" and "abstract" not in (h["modifiers"] or ())]
+        return self._below[t["id"]]
+
+
 def _at(p: dict) -> tuple[int, int]:
     return p["line"], p["column"]
 
@@ -323,13 +445,15 @@ class Resolver:
         return self.done[key]
 
     def _resolve(self, call: dict) -> dict:
-        app, source = self.app, self.app.by_id[call["enclosing_symbol_id"]]
+        app, source = self.app, self.app.caller(call["enclosing_symbol_id"])
         arguments = []
         for shown, expression in zip(call["argument_types"], call["argument_expressions"], strict=True):
             inner = self.nested(expression, call) if shown is None else None
             arguments.append(shown or (inner["declared_type"] if inner else None))
         if call["kind"] == "constructor":
             types = app.types_named(call["member_name"], source)
+            for t in types:
+                app.open(t)
             found = app.overloads([c for t in types for c in app.members.get((t["id"], "<init>", call["argument_count"]), ())], arguments)
             return self.result(found, "exact", "constructor type, arity, and argument types", None if types else app.full_name(call["member_name"], source))
         own = app.owner_type(source)
@@ -404,14 +528,44 @@ NEEDED = ["uri", "namespace_name", "ord", "id", "kind", "owner_symbol_id", "symb
 def resolve_calls(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """A row for each call and candidate (one with a null target where there is none). With ``files`` (application_id, uri)
     only their calls are resolved; symbol tables go out for the applications that have such calls."""
+    sizes = facts.groupBy("application_id").agg(F.sum(F.size("symbols")).alias("n"))
+    large = cut(sizes.filter(F.col("n") > WHOLE_SYMBOLS).select("application_id"))
+    if large.isEmpty():
+        return resolve_whole(facts, files)
+    rest, big = facts.join(large, "application_id", "left_anti"), facts.join(large, "application_id", "left_semi")
+    return resolve_whole(rest, files).unionByName(resolve_asking(big, files)[0])
+
+
+def _note(a):
+    return F.struct(a["name"].alias("name"), F.transform(a["arguments"], lambda x: F.struct(x["name"].alias("name"), x["expression"].alias("expression"))).alias("arguments"))
+
+
+def _rows(resolver: Resolver, calls: list[dict]) -> list[dict]:
+    out = []
+    for c in calls:
+        r = resolver.resolve(c)
+        for t in r["targets"] or [None]:
+            out.append({"application_id": c["app"], "uri": c["uri"], "ord": c["ord"], "source_id": c["enclosing_symbol_id"], "target_id": t and t["id"], "confidence": r["confidence"], "reason": r["reason"], "candidates": len(r["targets"]), "fallback_owner": r["fallback"], "kind": c["kind"], "member_name": c["member_name"], "argument_types": c["argument_types"], "loc": c["loc"]})
+    return out
+
+
+def _invocations(facts: DataFrame, files: DataFrame | None) -> DataFrame:
+    return X.invocations(facts if files is None else facts.join(files, ["application_id", "uri"], "left_semi"))
+
+
+def _groups(calls: DataFrame, most: int) -> DataFrame:
+    return calls.groupBy("application_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias("groups"))
+
+
+def resolve_whole(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Calls by the whole symbol tables of their application."""
     symbols = X.symbols(facts)
     imports = X.imports(facts)
-    calls = X.invocations(facts if files is None else facts.join(files, ["application_id", "uri"], "left_semi"))
-    n = calls.groupBy("application_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / GROUP_CALLS)).cast("int").alias("groups"))
+    calls = _invocations(facts, files)
+    n = _groups(calls, GROUP_CALLS)
     dealt = calls.join(n, "application_id").withColumn("g", F.pmod(F.xxhash64("enclosing_symbol_id"), F.col("groups")).cast("int")).drop("groups").withColumnRenamed("application_id", "app").withColumnRenamed("g", "group")
     everywhere = lambda df: df.join(n, "application_id").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-    note = lambda a: F.struct(a["name"].alias("name"), F.transform(a["arguments"], lambda x: F.struct(x["name"].alias("name"), x["expression"].alias("expression"))).alias("arguments"))
-    used = symbols.withColumn("annotations", F.transform("annotations", note)).select("application_id", F.struct(*NEEDED).alias("s"))  # no places: lookups don't need them
+    used = symbols.withColumn("annotations", F.transform("annotations", _note)).select("application_id", F.struct(*NEEDED).alias("s"))  # no places: lookups don't need them
     named = imports.select("application_id", F.struct("uri", "ord", "qualified_name", "is_static", "is_wildcard").alias("i"))
     tables = everywhere(used.unionByName(named, allowMissingColumns=True))
 
@@ -422,11 +576,74 @@ def resolve_calls(facts: DataFrame, files: DataFrame | None = None) -> DataFrame
         symbols_ = sorted((r["s"] for r in rows if r["s"]), key=lambda s: (s["uri"], s["ord"]))
         app = Application(symbols_, [r["i"] for r in rows if r["i"]])
         own = [c for c in right.to_pylist() if c["enclosing_symbol_id"] in app.by_id]
-        resolver, out = Resolver(app, own), []
-        for c in own:
-            r = resolver.resolve(c)
-            for t in r["targets"] or [None]:
-                out.append({"application_id": c["app"], "uri": c["uri"], "ord": c["ord"], "source_id": c["enclosing_symbol_id"], "target_id": t and t["id"], "confidence": r["confidence"], "reason": r["reason"], "candidates": len(r["targets"]), "fallback_owner": r["fallback"], "kind": c["kind"], "member_name": c["member_name"], "argument_types": c["argument_types"], "loc": c["loc"]})
-        return pa.Table.from_pylist(out, schema=arrow)
+        return pa.Table.from_pylist(_rows(Resolver(app, own), own), schema=arrow)
 
     return tables.groupBy("application_id", "g").cogroup(dealt.groupBy("app", "group")).applyInArrow(run, RESOLVED)
+
+
+def _names(files: DataFrame) -> DataFrame:
+    """(application_id, key, uri): the files of the types that a name of ``Slice`` stands for."""
+    types = F.transform(F.filter("symbols", lambda s: s["kind"] == "type"), lambda s: F.struct(s["symbol"]["name"].alias("name"), s["symbol"]["qualified_name"].alias("full"), s["super_types"].alias("above")))
+    schema = pa.schema([("application_id", pa.string()), ("key", pa.string()), ("uri", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                keys = {k for t in r["types"] for k in (f"q:{t['full']}", f"n:{t['name']}", *(f"s:{last(bare(a))}" for a in t["above"] or ()))}
+                out += ((r["application_id"], k, r["uri"]) for k in sorted(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] or [pa.array([], pa.string())] * 3, schema=schema)
+
+    return files.select("application_id", "uri", types.alias("types")).mapInArrow(run, "application_id string, key string, uri string")
+
+
+def resolve_asking(facts: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(calls as ``resolve_whole`` gives them, the files (application_id, g, uri, full) that each group had in the end):
+    calls by the symbols that their group asks for, in rounds. Of a file found by a supertype's name a group gets the types
+    only, until it looks at members."""
+    symbols_ = F.transform("symbols", lambda s: F.struct(*(s[c].alias(c) for c in NEEDED if c not in ("uri", "namespace_name", "ord", "annotations")), F.transform(s["annotations"], _note).alias("annotations")))
+    imports_ = F.transform("imports", lambda i: F.struct(*(i[c].alias(c) for c in ("qualified_name", "is_static", "is_wildcard"))))
+    lean = cut(facts.select("application_id", "uri", "namespace_name", symbols_.alias("symbols"), imports_.alias("imports")))
+    names, calls = cut(_names(lean)), _invocations(facts, files)
+    dealt = calls.join(_groups(calls, ASKING_CALLS), "application_id").withColumn("group", F.pmod(F.xxhash64("uri"), F.col("groups")).cast("int")).drop("groups")
+    dealt = cut(dealt.withColumnRenamed("application_id", "app"))
+    at = ["application_id", "g"]
+    had = cut(dealt.select(F.col("app").alias("application_id"), F.col("group").alias("g"), "uri", F.lit(True).alias("full")).distinct())
+    schema = f"{RESOLVED}, g int, key string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, imports, known = [], [], set()
+        for r in left.select(["uri", "namespace_name", "symbols", "imports", "key"]).to_pylist():
+            if r["key"] is not None:
+                known.add(r["key"])
+                continue
+            found += ({"uri": r["uri"], "namespace_name": r["namespace_name"], "ord": i, **s} for i, s in enumerate(r["symbols"]))
+            imports += ({"uri": r["uri"], "ord": i, **x} for i, x in enumerate(r["imports"]))
+        app = Slice(sorted(found, key=lambda s: (s["uri"], s["ord"])), imports, known)
+        own = [c for c in right.to_pylist() if c["enclosing_symbol_id"] in app.by_id]
+        resolver = Resolver(app, own)
+        for c in own:
+            try:
+                resolver.resolve(c)
+            except Missing:
+                pass
+        asked = [{"application_id": own[0]["app"], "g": own[0]["group"], "key": k} for k in sorted(app.missing)]
+        return pa.Table.from_pylist(asked or _rows(resolver, own), schema=arrow)
+
+    known, open_, done = None, None, []
+    while True:
+        tables = had.join(lean, ["application_id", "uri"]).withColumn("symbols", F.when(F.col("full"), F.col("symbols")).otherwise(F.filter("symbols", lambda s: s["kind"] == "type"))).drop("full")
+        tables = tables.withColumn("key", F.lit(None).cast("string")) if known is None else tables.unionByName(known, allowMissingColumns=True)
+        asking = dealt
+        if open_ is not None:
+            tables, asking = tables.join(open_, at, "left_semi"), dealt.join(open_.toDF("app", "group"), ["app", "group"], "left_semi")
+        out = cut(tables.groupBy(*at).cogroup(asking.groupBy("app", "group")).applyInArrow(run, schema))
+        done.append(out.filter("key is null").drop("g", "key"))
+        new = out.filter("key is not null").select(*at, "key")
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, done), had
+        known = new if known is None else known.unionByName(new)
+        open_ = new.select(*at).distinct()
+        more = new.join(names, ["application_id", "key"]).select(*at, "uri", (~F.startswith("key", F.lit("s:"))).alias("full"))
+        had = cut(had.unionByName(more).groupBy(*at, "uri").agg(F.max("full").alias("full")))

@@ -347,3 +347,55 @@ def test_discovery_diagnostics(spark):
     files = [(f"{ROOT}/pom.xml", "<project/>"), (f"{ROOT}/src/main/java/a/A.java", None)]
     assert codes(W.analyze(S.from_memory(spark, files), Request(ROOT))) == ["fileReadFailed", "noApplications"]
     assert codes(W.analyze(S.from_memory(spark, files[:1]), Request("no uri"))) == ["invalidWorkspaceUri"]
+
+
+NEEDY = {
+    f"{ROOT}/pom.xml": "<project/>",
+    f"{ROOT}/src/main/java/a/App.java": "package a;\nimport org.springframework.boot.autoconfigure.SpringBootApplication;\n@SpringBootApplication\npublic class App { }\n",
+    f"{ROOT}/src/main/java/a/Base.java": "package a;\npublic abstract class Base extends Root { protected Gate gate; Leaf leaf() { return null; } }\n",
+    f"{ROOT}/src/main/java/a/Root.java": "package a;\npublic class Root extends Unknown { void top(Gate g) { } void top(Object o) { } class Inner { void in() { } } }\n",
+    f"{ROOT}/src/main/java/a/Gate.java": "package a;\npublic interface Gate { Leaf pass(); }\n",
+    f"{ROOT}/src/main/java/a/Half.java": "package a;\npublic abstract class Half implements Gate { void half() { } }\n",
+    f"{ROOT}/src/main/java/a/Full.java": "package a;\npublic class Full extends Half { public Leaf pass() { half(); return new Leaf(1); } }\n",
+    f"{ROOT}/src/main/java/a/Leaf.java": "package a;\npublic class Leaf { Leaf(int n) { } Leaf next() { return this; } b.Far far; }\n",
+    f"{ROOT}/src/main/java/b/Far.java": "package b;\nimport a.*;\npublic class Far { Leaf back() { return null; } static void go(Full f) { } }\n",
+    f"{ROOT}/src/main/java/a/User.java": """package a;
+import b.Far;
+public class User extends Base {
+  void use(Full full) { gate.pass().next().next(); leaf().next(); top(full); top(gate); Far.go(full); new Inner(); new Leaf(2); }
+  void more(String s) { Elsewhere.run(s); full.x(); gate.pass(); super.leaf(); this.top(null); Twin.twin(); }
+}
+""",
+    f"{ROOT}/src/main/java/c/Twin.java": "package c;\npublic class Twin { static void twin() { } }\n",
+    f"{ROOT}/src/main/java/d/Twin.java": "package d;\npublic class Twin { static void twin() { } }\n",
+}
+
+
+@pytest.mark.parametrize("made", ["written", "tables"])
+def test_calls_that_ask_for_symbols(spark, monkeypatch, made):
+    """Groups that ask for the symbols they need resolve calls as those that get all, and don't get all."""
+    from codeflow.plans import resolve, synthetic
+    from codeflow.plans.discovery import discover
+    from codeflow.plans.framework import in_scope
+
+    root, size = ROOT, 4
+    if made == "tables":
+        root, size = synthetic.ROOT, 40
+        nation = spark.createDataFrame([(n, n % 3) for n in range(6)], "n_nationkey long, n_regionkey long")
+        files = synthetic.of_tables(nation, spark.range(3).toDF("r_regionkey"), spark.range(60).selectExpr("id as s_suppkey", "id % 6 as s_nationkey"))
+    else:
+        files = S.from_memory(spark, (FILES | NEEDY).items())
+    request = Request(root)
+    found = discover(files, request)
+    everything = found.applications.withColumn("source_namespaces", F.array(F.lit("")))
+    facts = in_scope(W.X.extract(W.pending_files(files, everything, request)), everything).cache()
+    rows = lambda df: sorted(map(repr, df.select("uri", "ord", "source_id", "target_id", "confidence", "reason", "candidates", "fallback_owner", "kind", "member_name", "argument_types", "loc").collect()))
+    whole = rows(resolve.resolve_whole(facts))
+    monkeypatch.setattr(resolve, "ASKING_CALLS", size)
+    got, had = resolve.resolve_asking(facts)
+    assert rows(got) == whole and len(whole) > 5
+    monkeypatch.setattr(resolve, "WHOLE_SYMBOLS", 0)
+    one = facts.filter(F.col("uri") == facts.agg(F.max("uri")).first()[0]).select("application_id", "uri")
+    assert rows(resolve.resolve_calls(facts, one)) == rows(resolve.resolve_whole(facts, one))
+    if made == "tables":
+        assert max(r["count"] for r in had.groupBy("g").count().collect()) < facts.count() / 2
