@@ -27,6 +27,8 @@ SMALL_BUCKET = 8
 PAIRS_A_GROUP = 128
 #: Texts and shingles of a block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 400, 400_000
+#: Bits of the filter of shared band keys: 8 to 16 a key, at most 2^29 (64 MB); with more keys it lets more others through.
+FILTER_BITS, FILTER_PART = 1 << 29, 1 << 22
 #: Rows to a band, and bands: a pair at similarity 0.8 is missed with probability (1 - 0.8^6)^56 = 4e-8.
 ROWS, BANDS = 6, 56
 
@@ -87,6 +89,46 @@ def _digest(k: int, rows: int, bands: int):
     return run
 
 
+def _key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys with two probes a key, made in parts of FILTER_PART bits."""
+    bits = min(FILTER_BITS, 1 << max(16, (8 * keys.count()).bit_length()))
+    part = min(bits, FILTER_PART)
+    probes = F.array(F.col("key").bitwiseAND(bits - 1), F.shiftrightunsigned("key", 32).bitwiseAND(bits - 1))
+    out = pa.schema([("part", pa.int64()), ("bits", pa.binary())])
+
+    def run(group: pa.Table) -> pa.Table:
+        at, on = group.column("at").to_numpy(), np.zeros(part, bool)
+        on[at % part] = True
+        return pa.table([pa.array([int(at[0]) // part]), pa.array([np.packbits(on, bitorder="little").tobytes()])], schema=out)
+
+    placed = keys.select(F.explode(probes).alias("at")).groupBy(F.floor(F.col("at") / part).alias("p")).applyInArrow(run, "part long, bits binary")
+    all_ = np.zeros(bits // 8, np.uint8)
+    for r in placed.toLocalIterator():
+        all_[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
+    return all_
+
+
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """(rep, t, n, key) of the band keys that several classes have, and a few others: most keys stand alone, so that first
+    the bare keys are counted, and only rows that pass a filter of the shared ones are dealt by key with what they carry."""
+    shared = cut(classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"))
+    sent = classes.sparkSession.sparkContext.broadcast(_key_filter(shared))
+    out = pa.schema([(c, pa.int64()) for c in ("rep", "t", "n", "key")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = sent.value
+        mask = np.uint64(8 * len(filter_) - 1)
+        for batch in batches:
+            lists = batch.column(3)
+            key, rows = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            on = np.ones(len(key), bool)
+            for at in (key.view(np.uint64) & mask, (key.view(np.uint64) >> np.uint64(32)) & mask):
+                on &= (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows[on])) for i in range(3)), pa.array(key[on])], schema=out)
+
+    return classes.select("rep", "t", F.col("n_shingles").alias("n"), "bands").mapInArrow(run, "rep long, t long, n long, key long")
+
+
 def _verifier(k: int, percent: int):
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -222,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sets.filter("n_shingles > 0").withColumn("known", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     named = named.groupBy(set_).agg(least("known", "t").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"), F.count("doc_id").alias("ids"))
     classes = cut(named.filter("ids > 0").select(*set_, F.col("rep.known").alias("rep"), F.col("rep.t").alias("t"), "bands", "copies"))
-    keyed = classes.select("rep", "t", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    keyed = cut(_shared_keys(classes))
     heads = cut(keyed.groupBy("key").agg(least("rep", "t", "n").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     buckets = cut(joined(keyed, heads.select("key", F.col("head.rep").alias("head"), F.col("head.t").alias("head_t"), F.col("head.n").alias("head_n"), "size"), ["key"], "size"))
     stars = buckets.filter("rep != head").groupBy(F.col("head").alias("a"), F.col("head_t").alias("t_a"), F.col("rep").alias("b"), F.col("t").alias("t_b")).agg(F.max("n").alias("n_b"), F.max("head_n").alias("n_a"))

@@ -94,6 +94,27 @@ def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
             assert sorted(common.joined(rows, table, ["key"], "size", how).select("key", "x", "v").collect(), key=str) == want
 
 
+def test_only_shared_keys_are_dealt(spark, monkeypatch):
+    """Of keys that one class has few are left, of the others all; also where the filter has several parts or is too small."""
+    r = random.Random(5)
+    alone = [[r.randrange(-(1 << 63), 1 << 63) for _ in range(20)] for _ in range(2000)]
+    for i in range(600):
+        alone[i][0] = alone[i + 600][0]
+        alone[i][1] = alone[0][1]
+    alone[1999] = []
+    df = spark.createDataFrame([(i, 0, 9, b) for i, b in enumerate(alone)], "rep long, t long, n_shingles long, bands array<long>").repartition(3)
+    count = {}
+    for b in alone:
+        for k in b:
+            count[k] = count.get(k, 0) + 1
+    want = {(i, 0, 9, k) for i, b in enumerate(alone) for k in b if count[k] > 1}
+    for bits, part, most in ((1 << 29, 1 << 22, 0.1), (1 << 29, 1 << 10, 0.1), (1 << 10, 1 << 10, 1)):
+        monkeypatch.setattr(M, "FILTER_BITS", bits)
+        monkeypatch.setattr(M, "FILTER_PART", part)
+        got = [tuple(x) for x in M._shared_keys(df).collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and len(got) - len(want) <= most * 40_000
+
+
 def test_components_of_chains_and_cycles(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 3), (200, 201), (201, 200)]
     label = {r["node"]: r["component"] for r in M.components(spark.createDataFrame(links, "a long, b long")).collect()}
