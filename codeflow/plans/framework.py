@@ -208,9 +208,19 @@ def exclude(nodes: DataFrame, edges: DataFrame, packages: list[str]) -> tuple[Da
     return kept, G.induced(edges, kept.select("id"))
 
 
+def last_symbols(symbols: DataFrame) -> DataFrame:
+    """Of the symbols of an application with one id the last. Only the ids that occur again are dealt by key (hashes tell
+    which can), and whole rows stay where they are."""
+    key, at = ["application_id", "id"], F.struct("uri", "ord")
+    places = symbols.select(*key, "uri", "ord", F.xxhash64(*key).alias("h"))
+    shared = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    last = cut(places.join(shared, "h", "left_semi").groupBy(*key).agg(F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    return symbols.join(last, key, "left").filter(F.col("last").isNull() | (F.col("last") == at)).select(*symbols.columns)
+
+
 def file_tables(facts: DataFrame) -> FileTables:
     """Symbols, annotations and endpoints of facts in scope."""
-    symbols = cut(ranked_first(X.symbols(facts), ["application_id", "id"], [F.col("uri").desc(), F.col("ord").desc()]))  # the last one counts
+    symbols = cut(last_symbols(X.symbols(facts)))
     notes = cut(qualified_annotations(symbols, X.imports(facts)))
     return FileTables(symbols, notes, cut(build_endpoints(symbols, notes, type_roles(symbols, notes))))
 

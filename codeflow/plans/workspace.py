@@ -20,6 +20,8 @@ from .framework import FileTables, FrameworkIndex, assemble, build_index, in_sco
 PARSER_ID = "spring-java"
 #: Updates after which the tables are written anew, so that plans stay short.
 MERGE_AFTER = 8
+#: Files that one task parses.
+TASK_FILES = 500
 
 
 @dataclass
@@ -50,6 +52,13 @@ def pending_files(files: DataFrame, applications: DataFrame, request: Request) -
     return held.select("application_id", "uri", T.relative_uri_within(F.lit(request.workspace_uri), "uri").alias("relative_uri"), "content")
 
 
+def parse(pending: DataFrame, files: int) -> DataFrame:
+    """Facts of pending files, dealt out by their number: sources are small beside their facts, so a task's share is not
+    left to the size of the sources."""
+    dealt = pending.repartition(max(1, -(-files // TASK_FILES)), "uri")
+    return cut(X.extract(dealt).withColumn("shape", X.shape()))
+
+
 def analyze(files: DataFrame, request: Request, previous: Analysis | DataFrame | None = None, excluded: list[str] | None = None, changes: DataFrame | None = None) -> Analysis:
     """A workspace analysis. With a ``previous`` one of the same request, only changed files are parsed, discovery is
     repeated only where a change can concern it, and the index is brought up to date from its tables; with facts alone
@@ -65,11 +74,11 @@ def analyze(files: DataFrame, request: Request, previous: Analysis | DataFrame |
     found = discover(files, request)
     pending = pending_files(files, found.applications, request)
     if previous is None:
-        facts = cut(X.extract(pending).withColumn("shape", X.shape()))
+        facts = parse(pending, inputs.count())
         return Analysis(found, facts, build_index(facts, found.applications, excluded), facts.count(), 0, request, inputs)
     pending = pending.withColumn("content_version", T.content_version("content"))
     kept, new = I.split_reuse(previous, pending, ["application_id", "uri", "content_version"])
-    kept, parsed = cut(kept.select(*previous.columns)), cut(X.extract(new.drop("content_version")).withColumn("shape", X.shape()))
+    kept, parsed = cut(kept.select(*previous.columns)), parse(new.drop("content_version"), inputs.count())
     facts = kept.unionByName(parsed)
     return Analysis(found, facts, build_index(facts, found.applications, excluded), parsed.count(), kept.count(), request, inputs)
 

@@ -399,3 +399,27 @@ def test_calls_that_ask_for_symbols(spark, monkeypatch, made):
     assert rows(resolve.resolve_calls(facts, one)) == rows(resolve.resolve_whole(facts, one))
     if made == "tables":
         assert max(r["count"] for r in had.groupBy("g").count().collect()) < facts.count() / 2
+
+
+def test_symbols_of_one_id(spark):
+    """The last of the symbols with one id counts, and rows are dealt by key for none of the others."""
+    from codeflow.operators.lookup import ranked_first
+    from codeflow.plans.framework import last_symbols
+
+    rows = [(a, f"s{i}", f"f{i % 7}", i, f"{a}{i}") for a in "ab" for i in range(300)]
+    rows += [("a", "s5", "f9", 1, "later file"), ("a", "s5", "f9", 0, "same file"), ("b", "s6", "f0", 999, "earlier file"), ("a", "s7", "f0", 7_000, "later place")]
+    symbols = spark.createDataFrame(rows, "application_id string, id string, uri string, ord int, what string")
+    found = last_symbols(symbols)
+    want = ranked_first(symbols, ["application_id", "id"], [F.col("uri").desc(), F.col("ord").desc()])
+    assert sorted(found.collect()) == sorted(want.collect()) and found.count() == 600
+    assert {(r["application_id"], r["id"]): r["what"] for r in found.collect() if r["id"] in ("s5", "s6", "s7")} == {("a", "s5"): "later file", ("a", "s6"): "a6", ("a", "s7"): "later place", ("b", "s5"): "b5", ("b", "s6"): "b6", ("b", "s7"): "b7"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_parsing_is_dealt_by_files(spark, request_, analysis, monkeypatch):
+    """Small sources make large facts: tasks get so many files each, however small these are."""
+    monkeypatch.setattr(W, "TASK_FILES", 1)
+    found = W.analyze(S.from_memory(spark, FILES.items()), request_)
+    assert len(found.facts.inputFiles()) > 2 >= len(analysis.facts.inputFiles())
+    assert found.facts.exceptAll(analysis.facts).isEmpty() and found.facts.count() == analysis.facts.count()
